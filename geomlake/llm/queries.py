@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geomlake.llm import common, packing, token_count, token_files
+from geomlake.llm import common, language_id, packing, token_count, token_files
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -30,8 +30,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(common.table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op5_token_files, op6_packing)}
+    return {f.__name__: f for f in (op4_token_counts, op5_token_files, op6_packing, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
