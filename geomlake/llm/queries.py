@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geomlake.llm import common, language_id, packing, token_count, token_files
+from geomlake.llm import common, language_id, near_dups, packing, token_count, token_files
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -34,8 +34,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(common.table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(common.table(spark, sf_dir, "documents"), k=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op5_token_files, op6_packing, op8_language_id)}
+    return {f.__name__: f for f in (op4_token_counts, op5_token_files, op6_packing, op8_language_id, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
