@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside an Arrow batch; bounds a Python worker's memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
