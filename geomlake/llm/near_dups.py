@@ -40,7 +40,7 @@ from geomlake.llm.components import components
 
 TREES, TOKENS, MATCHES, LEAF = 20, 64, 36, 512
 #: Most classes of a node, and shingles of a cluster, in one task.
-NODE, CLUSTER = 20_000, 8_000_000
+NODE, CLUSTER = 100_000, 8_000_000
 _ODD = np.random.default_rng(77).integers(1 << 20, 1 << 32, TOKENS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -182,15 +182,18 @@ def branched(classes: DataFrame, start: list[str]) -> DataFrame:
 
 
 def bounded(rows: DataFrame, weight, most: int) -> DataFrame:
-    """Branches nodes heavier than `most` by further tokens, while there are any."""
+    """Branches nodes heavier than `most` by further tokens, while there are any.
+
+    The rows are made anew for each look at their weights: that is cheaper than to move them.
+    """
     for depth in range(1, TOKENS):
-        heavy = rows.groupBy("node").agg(F.sum(weight).alias("weight")).where(F.col("weight") > most).select("node")
+        heavy = common.saved(rows.groupBy("node").agg(F.sum(weight).alias("weight")).where(F.col("weight") > most).select("node"), "heavy")
         if heavy.isEmpty():
             break
         place = F.element_at(F.array(*[F.lit(coordinate(t, depth)) for t in range(TREES)]), F.col("tree") + 1)
         deeper = F.xxhash64("node", F.col("sig").substr(place + 1, F.lit(1)), F.lit(depth))
-        marked = rows.join(heavy.withColumn("heavy", F.lit(True)), "node", "left")
-        rows = common.saved(marked.select("tree", F.when(F.col("heavy"), deeper).otherwise(F.col("node")).alias("node"), "rep", "n", "sig"), "branches")
+        marked = rows.join(small(heavy.withColumn("heavy", F.lit(True))), "node", "left")
+        rows = marked.select("tree", F.when(F.col("heavy"), deeper).otherwise(F.col("node")).alias("node"), "rep", "n", "sig")
     return rows
 
 
