@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geomlake.llm import common, language_id, license_scan, near_dups, packing, token_count, token_files
+from geomlake.llm import common, language_id, license_scan, near_dups, nearest, packing, token_count, token_files
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -34,6 +35,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(common.table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(common.table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op4_token_counts, op5_token_files, op6_packing, op8_language_id, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_license_scan, op4_token_counts, op5_token_files, op6_packing, op7_nearest_neighbours, op8_language_id, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
