@@ -33,7 +33,6 @@ SYMBOLS, WIDTH, UND, WEIGHT = 64, 512, "und", 1_000_000
 #: Texts scored together: bounds the dense block of trigram counts.
 BLOCK = 96
 _PLACE: list[np.ndarray] = []
-_ROWS: dict[int, tuple[np.ndarray, list]] = {}
 
 
 def symbol_table() -> np.ndarray:
@@ -89,6 +88,9 @@ class TrigramVectors:
         return self.made[self.row[codes]]
 
 
+_ROWS: dict[int, TrigramVectors] = {}
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that take no part in learning."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 4 == 2, F.lit(False))
@@ -146,7 +148,7 @@ def score_texts(texts: list[str | None], names: list[str], vectors: np.ndarray,
 
 
 def identified(docs: DataFrame, names: list[str], vectors: np.ndarray) -> DataFrame:
-    """docs (any columns, with text) with lang_pred and score appended."""
+    """docs (any columns, with text) with lang_pred and score appended; those names of its own go."""
     shared = docs.sparkSession.sparkContext.broadcast((names, vectors))
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
@@ -160,6 +162,19 @@ def identified(docs: DataFrame, names: list[str], vectors: np.ndarray) -> DataFr
     return docs.select(*kept).mapInArrow(predict, schema)
 
 
+def spoken(docs: DataFrame, names: list[str], vectors: np.ndarray, least: float) -> DataFrame:
+    """The rows of docs whose language is known and scores `least` at least."""
+    shared = docs.sparkSession.sparkContext.broadcast((names, vectors))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _ROWS.setdefault(WIDTH, TrigramVectors(vectors.shape[1]))
+        for batch in common.slices(batches):
+            langs, scores = score_texts(batch.column(batch.schema.get_field_index("text")).to_pylist(), *shared.value, cache)
+            yield batch.filter(pa.array([lang != UND and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def languages(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score; learned from the rows that are not held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")

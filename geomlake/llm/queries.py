@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geomlake.llm import common, language_id, license_scan, near_dups, nearest, packing, piece_sampling, token_count, token_files
+from geomlake.llm import common, language_id, license_scan, near_dups, nearest, packing, piece_sampling, quality, token_count, token_files
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -47,12 +47,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(common.table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.learned(docs, common.table(spark, sf_dir, "labels")))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(common.table(spark, sf_dir, "documents"), k=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_piece_sampling, op4_token_counts, op5_token_files, op6_packing, op7_nearest_neighbours, op8_language_id, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_license_scan, op3_piece_sampling, op4_token_counts, op5_token_files, op6_packing, op7_nearest_neighbours, op8_language_id, op9_quality_classifier, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
