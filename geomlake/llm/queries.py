@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geomlake.llm import common, language_id, license_scan, near_dups, nearest, packing, piece_sampling, quality, token_count, token_files
+from geomlake.llm import common, language_id, license_scan, near_dups, nearest, packing, piece_sampling, quality, token_count, token_files, topk_search
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -21,6 +21,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scanned(common.table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.similar(common.table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0)
+
+
 def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.sampled(common.table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
@@ -57,7 +61,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_piece_sampling, op4_token_counts, op5_token_files, op6_packing, op7_nearest_neighbours, op8_language_id, op9_quality_classifier, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_license_scan, op2_topk_search, op3_piece_sampling, op4_token_counts, op5_token_files, op6_packing, op7_nearest_neighbours, op8_language_id, op9_quality_classifier, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
