@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from geomlake.plans import registry
 
 FLAGSHIP = "rdm_label_summary"
+MODULES = ("q_windows", "q_pairs")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"geomlake.plans.{name}")
+
+
+def queries() -> dict[str, registry.Query]:
+    _load()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(registry.SQL)
