@@ -6,7 +6,8 @@ score does not depend on the shard. A query visits a shard with a threshold, the
 so far: for blocks of BLOCK documents the bound is the sum of its terms' largest weights in the
 block; blocks are scored from the largest bound down, and when the pivot bound falls below the
 threshold the rest is skipped. Equal scores are kept until the end, so ties are exact. The shards'
-best are merged by score, then doc_id.
+best are merged by score, then doc_id; a root of the shards is visited first, and its k-th best is
+where the others start from.
 
 Queries travel in chunks of QUERIES, each a bounded broadcast; the index is a stored table.
 
@@ -21,6 +22,7 @@ empty table gives no row; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from geomlake.llm import common
 
-K1, B, SHARD, BLOCK, QUERIES, TERMS = 1.2, 0.75, 2_000_000, 64, 16_384, 32
+K1, B, SHARD, BLOCK, QUERIES, TERMS = 1.2, 0.75, 6_000_000, 64, 16_384, 32
 _TABLE = np.array([b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256)], np.uint8)
 
 
@@ -151,8 +153,8 @@ class Shard:
         self.head = np.append(head, len(at))
         self.blocks = np.searchsorted(term[head], np.arange(len(terms) + 1))
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """doc_ids and scores of the k best, all terms by their number among the chunk's."""
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """doc_ids and scores of the k best with at least `floor`; terms by their number among the chunk's."""
         a, n = self.blocks[terms], self.blocks[terms + 1] - self.blocks[terms]
         if not n.sum():
             return self.doc_ids[:0], np.zeros(0)
@@ -163,7 +165,7 @@ class Shard:
         order = np.argsort(-bound, kind="stable")
         by_block = np.argsort(place, kind="stable")
         opens = np.concatenate([[0], np.cumsum(np.bincount(place))])
-        ids, scores, threshold, at, step = self.doc_ids[:0], np.zeros(0), -np.inf, 0, max(4, k // 2)
+        ids, scores, threshold, at, step = self.doc_ids[:0], np.zeros(0), floor, 0, max(4, k // 2)
         while at < len(order) and bound[order[at]] >= threshold - 1e-8:
             pivot = order[at : at + step]
             pivot = pivot[bound[pivot] >= threshold - 1e-8]
@@ -178,9 +180,9 @@ class Shard:
             best = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[best], scores[best]
             if len(ids) == k:
-                threshold = scores[-1]
+                threshold = max(floor, scores[-1])
             at, step = at + step, step * 2
-        return ids, scores
+        return ids[scores >= floor], scores[scores >= floor]
 
 
 def search(shards: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -190,27 +192,38 @@ def search(shards: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     mean = stats["w"] / max(1, stats["n"]) or 1.0
     n_queries = queries.agg(F.count_distinct("query_id")).first()[0]
     chunks = max(1, -(-n_queries // QUERIES))
-    schema, found = "query_id long, doc_id long, score double", None
+    schema, parts = "query_id long, doc_id long, score double", []
+    # A root of the shards goes first: the others then give only what passes a query's k-th best there.
+    ahead = max(1, round(shards.count() ** 0.5))
+    first_ones = F.pmod(F.xxhash64("shard"), F.lit(ahead)) == 0
     for chunk in range(chunks):
         rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == chunk).toPandas().sort_values(["query_id", "term"])
         terms, number = np.unique(rows["term"].to_numpy(np.int64), return_inverse=True)
         names, first = np.unique(rows["query_id"].to_numpy(np.int64), return_index=True)
-        asked = spark.sparkContext.broadcast((terms, number, rows["weight"].to_numpy(float), names, np.append(first, len(rows))))
-
-        def visit(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
-            terms, number, weights, names, first = asked.value
-            for batch in batches:
-                for row in batch.to_pylist():
-                    shard, out = Shard(row, terms, mean), []
-                    for i, name in enumerate(names.tolist()):
-                        part = slice(first[i], first[i + 1])
-                        ids, scores = shard.search(number[part], weights[part], k)
-                        out.append((np.full(len(ids), name), ids, scores))
-                    cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["query_id", "doc_id", "score"])
-
-        part = shards.select("doc_ids", "lengths", "terms", "starts", "docs", "tfs").mapInArrow(visit, schema)
-        found = part if found is None else found.union(part)
+        floors = np.full(len(names), -np.inf)
+        for turn in (first_ones, ~first_ones):
+            asked = spark.sparkContext.broadcast((terms, number, rows["weight"].to_numpy(float), names, np.append(first, len(rows)), floors))
+
+            def visit(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+                terms, number, weights, names, first, floors = asked.value
+                for batch in batches:
+                    for row in batch.to_pylist():
+                        shard, out = Shard(row, terms, mean), []
+                        for i, name in enumerate(names.tolist()):
+                            part = slice(first[i], first[i + 1])
+                            ids, scores = shard.search(number[part], weights[part], k, floors[i])
+                            out.append((np.full(len(ids), name), ids, scores))
+                        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["query_id", "doc_id", "score"])
+
+            found = shards.where(turn).select("doc_ids", "lengths", "terms", "starts", "docs", "tfs").mapInArrow(visit, schema)
+            if ahead > 1 and turn is first_ones:
+                found = common.saved(found, "search-first")
+                kth = found.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).where(F.size("s") >= k).select("query_id", F.col("s")[k - 1].alias("floor")).toPandas()
+                floors = np.full(len(names), -np.inf)
+                floors[np.searchsorted(names, kth["query_id"].to_numpy(np.int64))] = kth["floor"].to_numpy(float)
+            parts.append(found)
+    found = functools.reduce(DataFrame.union, parts)
     entry = F.struct((-F.col("score")).alias("s"), "doc_id")
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("best")).select("query_id", F.posexplode("best").alias("at", "x"))
     return best.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.doc_id").alias("doc_id"), (-F.col("x.s")).alias("score"))
