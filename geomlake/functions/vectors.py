@@ -68,4 +68,4 @@ def r6(x) -> Column:
 
 def near6(x) -> Column:
     """Six decimals of values that may be exact halves of the sixth: nudged, so that engines agree."""
-    return F.round(x + F.lit(1.7e-10), 6) + F.lit(0.0)
+    return F.round((F.col(x) if isinstance(x, str) else x) + F.lit(1.7e-10), 6) + F.lit(0.0)

@@ -80,4 +80,4 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("subject", "unit", "block").agg(F.avg("value").alias("value"))
 
 
-SQL_SUB = "sub AS (SELECT l_suppkey AS subject, l_returnflag || l_linestatus AS unit, year(l_shipdate) AS block, avg(l_extendedprice * (1 - l_discount) / 1000) AS value FROM lineitem GROUP BY ALL)"
+SQL_SUB = "sub AS (SELECT l_suppkey AS subject, l_returnflag || l_linestatus AS unit, year(l_shipdate)::INT AS block, avg(l_extendedprice * (1 - l_discount) / 1000) AS value FROM lineitem GROUP BY ALL)"
