@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from geomlake.llm import common
 
-LABELLED, POOL, ROUNDS, GAIN, SURE = 12_000, 8_000, 5, 400, 0.97
+LABELLED, POOL, ROUNDS, GAIN, SURE = 8_000, 4_000, 5, 300, 0.97
 PAIRS, LANGS, SOURCES, PASS = 256, 8, 32, 0.998
 _FIELDS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -87,6 +87,7 @@ class Regression(NamedTuple):
 
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> Regression:
     """By Newton's method with a ridge penalty."""
+    x = np.asarray(x, float)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w, penalty = np.zeros(z.shape[1]), np.full(z.shape[1], ridge)
@@ -154,15 +155,16 @@ def learned(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             a, b = features(batch)
-            rows = [pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays([*rows, batch.column(5), batch.column(6)], ["a", "b", "y", "key"])
+            rows = pa.array([x.tobytes() for x in np.concatenate([a, b], axis=1).astype("<f4")], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows, batch.column(5), batch.column(6)], ["x", "y", "key"])
 
     chosen = F.broadcast(common.saved(chosen, "quality-sample"))  # at most labelled + pool rows
     sample = _fields(docs).join(chosen, "doc_id").dropDuplicates(["doc_id"]).select(*_FIELDS, "y", "key")
-    rows = sample.mapInArrow(extract, "a array<float>, b array<float>, y double, key long").toPandas().sort_values("key", kind="stable")
-    if not len(rows):
+    rows = sample.mapInArrow(extract, "x binary, y double, key long").toArrow().sort_by("key")
+    if not rows.num_rows:
         return None
-    return co_trained(np.stack(rows["a"]).astype(float), np.stack(rows["b"]).astype(float), rows["y"].to_numpy(float), rows["key"].to_numpy(np.int64))
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), "<f4").reshape(rows.num_rows, -1)
+    return co_trained(x[:, : PAIRS + 5], x[:, PAIRS + 5 :], rows["y"].to_numpy().astype(float), rows["key"].to_numpy())
 
 
 def _fields(docs: DataFrame) -> DataFrame:
