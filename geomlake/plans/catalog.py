@@ -7,7 +7,7 @@ import importlib
 from geomlake.plans import registry
 
 FLAGSHIP = "rdm_label_summary"
-MODULES = ("q_windows", "q_pairs", "q_geometry", "q_aggregates")
+MODULES = ("q_windows", "q_pairs", "q_geometry", "q_aggregates", "q_inference", "q_models", "q_tables")
 
 
 def _load() -> None:
