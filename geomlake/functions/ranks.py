@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 
 def average_rank(value: str, *groups: str) -> Column:
-    """Rank from 1 inside the groups, equal values sharing their mean rank."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*groups, value))
-    return F.rank().over(Window.partitionBy(*groups).orderBy(value)) + (ties - 1) / F.lit(2.0)
+    """Rank from 1 inside the groups, equal values sharing their mean rank.
+
+    The mean of the ranks from below and from above: both windows have the groups' partitioning,
+    where counting ties would take a shuffle by value.
+    """
+    w = Window.partitionBy(*groups)
+    n = F.count(F.lit(1)).over(w)
+    return (F.rank().over(w.orderBy(value)) + n + 1 - F.rank().over(w.orderBy(F.desc(value)))) / F.lit(2.0)
 
 
 def ordinal_rank(value: str, *groups: str, ties: tuple[str, ...]) -> Column:

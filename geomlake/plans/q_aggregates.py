@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geomlake.functions import vectors as V
 from geomlake.functions.vectors import r6
 from geomlake.operators import aggregates as E
-from geomlake.operators import pairs as P
+from geomlake.operators import blocked
 from geomlake.plans import q_geometry as Q2
 from geomlake.plans import q_pairs as Q
 from geomlake.plans.registry import query
@@ -119,10 +119,7 @@ SQL_CL = T.SQL_V + ", k AS (SELECT label, count(*) AS n FROM v GROUP BY label),
 
 @query("E14", f"WITH {SQL_CL} SELECT label, count(*) AS n, round(avg((b - a) / greatest(a, b)), 6) + 0.0 AS silhouette FROM sl GROUP BY label")
 def cluster_report(spark, sf_dir):
-    x = T.patterns(spark, sf_dir).select("vec_id", "label", "x")
-    d = P.every(x, "vec_id").select(F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), F.col("a.label").alias("li"), F.col("b.label").alias("lj"), F.sqrt(V.squared_distance("a.x", "b.x")).alias("d"))
-    both = d.select("i", "li", "lj", "d").union(d.select("j", "lj", "li", "d")).toDF("i", "label", "other", "d")
-    m = both.groupBy("i", "label", "other").agg(F.avg("d").alias("m"))
+    m = blocked.group_means(T.patterns(spark, sf_dir))
     same = F.col("label") == F.col("other")
     s = m.groupBy("i", "label").agg(F.max(F.when(same, F.col("m"))).alias("a"), F.min(F.when(~same, F.col("m"))).alias("b"))
     return s.groupBy("label").agg(F.count("*").alias("n"), r6(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("silhouette"))

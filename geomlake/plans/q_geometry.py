@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from geomlake.functions import ranks
 from geomlake.functions import vectors as V
 from geomlake.functions.vectors import r6
+from geomlake.operators import blocked
 from geomlake.operators import geometry as G
 from geomlake.operators import pairs as P
 from geomlake.plans import q_pairs as Q
@@ -19,10 +21,8 @@ BANDS = (("a", 1, 20), ("v", 21, 40), ("j", 41, 64))
 
 def _rdms(spark, sf_dir):
     """label, i, j and squared distances da, dv, dj of the bands, d of all features."""
-    x = T.patterns(spark, sf_dir)
-    rows = x.select("vec_id", "label", "x", *[F.slice("x", s, e - s + 1).alias(n) for n, s, e in BANDS])
-    pairs = P.within(rows, "vec_id", "label")
-    return pairs.select("label", F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), *[V.squared_distance(f"a.{n}", f"b.{n}").alias(f"d{n}") for n, _, _ in BANDS], V.squared_distance("a.x", "b.x").alias("d"))
+    measures = {f"d{n}": blocked.band(blocked.squared, first, last) for n, first, last in BANDS}
+    return blocked.within(T.patterns(spark, sf_dir), measures | {"d": blocked.squared})
 
 
 SQL_B = T.SQL_V + ", pb AS (SELECT s.label, s.vec_id AS i, t.vec_id AS j, " + ", ".join(f"list_distance(s.x[{s}:{e}], t.x[{s}:{e}]) ** 2 AS d{n}" for n, s, e in BANDS) + ", list_distance(s.x, t.x) ** 2 AS d FROM v s JOIN v t ON s.label = t.label AND s.vec_id > t.vec_id)"
@@ -123,9 +123,8 @@ SQL_GRAM = T.SQL_V + ", f AS (SELECT label, vec_id, x FROM v), gr AS (SELECT s.l
 
 def _grams(spark, sf_dir):
     """label, i, j and double-centred Grams ka, kv, kj of the bands and k of all features."""
-    rows = T.patterns(spark, sf_dir).select("label", "vec_id", "x", *[F.slice("x", s, e - s + 1).alias(n) for n, s, e in BANDS])
-    side = lambda name: rows.select("label", F.struct("vec_id", "x", "a", "v", "j").alias(name))
-    grams = side("p").join(side("q"), "label").select("label", F.col("p.vec_id").alias("i"), F.col("q.vec_id").alias("j"), *[V.dot(f"p.{n}", f"q.{n}").alias(f"k{n}") for n in "avj"], V.dot("p.x", "q.x").alias("k"))
+    measures = {f"k{n}": blocked.band(np.inner, first, last) for n, first, last in BANDS}
+    grams = blocked.within(T.patterns(spark, sf_dir), measures | {"k": np.inner}, full=True)
     w = Q.Window.partitionBy
     return grams.select("label", "i", "j", *[(F.col(c) - F.avg(c).over(w("label", "i")) - F.avg(c).over(w("label", "j")) + F.avg(c).over(w("label"))).alias(c) for c in ("ka", "kv", "kj", "k")])
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from geomlake.functions import ranks, special
 from geomlake.functions import vectors as V
 from geomlake.functions.vectors import r6
+from geomlake.operators import blocked
 from geomlake.operators import pairs as P
 from geomlake.plans.registry import query
 from geomlake.sources import tables as T
@@ -20,12 +21,11 @@ SQL_Q = T.SQL_C + ", q AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS la, b
 
 
 def within_labels(spark, sf_dir):
-    return P.rdm(T.patterns(spark, sf_dir), "label")
+    return blocked.within(T.patterns(spark, sf_dir), {"d_corr": blocked.correlation, "d_euc": blocked.squared})
 
 
 def all_pairs(spark, sf_dir):
-    rows = P.with_units(T.patterns(spark, sf_dir)).select("vec_id", "label", "z")
-    return P.every(rows, "vec_id").select(F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), F.col("a.label").alias("la"), F.col("b.label").alias("lb"), P.correlation_distance().alias("d"))
+    return blocked.pairs(T.patterns(spark, sf_dir))
 
 
 @query("S07 J01 G01 G02 R01 G03 A10", f"WITH {SQL_P}, {SQL_RANK} SELECT label, count(*) AS n_pairs, round(avg(d_corr), 6) AS mean_d, round(corr(ra, rb), 6) AS rho FROM r GROUP BY label")
@@ -95,8 +95,7 @@ def ordinal_rank(spark, sf_dir):
 
 @query("J05 J06 R06", f"WITH {SQL_Q}, b AS (SELECT i, j, d FROM q UNION ALL SELECT j, i, d FROM q), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rk FROM b) SELECT i, j, CAST(rk AS INT) AS rk, round(d, 6) AS d FROM k WHERE rk <= 5")
 def knn_topk(spark, sf_dir):
-    near = P.nearest(P.both_ways(all_pairs(spark, sf_dir).select("i", "j", "d")), "i", "d", "j", 5)
-    return near.select("i", "j", "rk", F.round("d", 6).alias("d"))
+    return blocked.nearest(T.patterns(spark, sf_dir), 5).select("i", "j", "rk", F.round("d", 6).alias("d"))
 
 
 SQL_GRID = "g AS (SELECT u.d AS d, u.d // 8 AS row, u.d % 8 AS col FROM (SELECT unnest(range(64))::INT AS d) u), gn AS (SELECT a.d AS centre, b.d AS nbr, row_number() OVER (PARTITION BY a.d ORDER BY (a.row - b.row) ** 2 + (a.col - b.col) ** 2, b.d) AS rk FROM g a JOIN g b ON a.d <> b.d)"
