@@ -313,3 +313,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, cluster: int
     out = sketched.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     label = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     return out.select("doc_id", "n_shingles", label.alias("component_id"), F.coalesce(F.col("doc_id") == label, F.lit(True)).alias("kept"))
+
+
+def oracle(percent: int = 80) -> str:
+    """The result for two-word shingles as DuckDB SQL: every pair that shares a shingle, then a walk over the links."""
+    return f"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{common.ASCII_UPPER}', '{common.ASCII_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda q: q <> '') AS ws FROM documents
+    ), s AS (
+      SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS sh FROM w
+    ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+    ), p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS both_n FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL
+    ), l AS (SELECT i, j FROM p JOIN n x ON x.doc_id = i JOIN n y ON y.doc_id = j WHERE 100 * both_n >= {percent} * (x.n + y.n - both_n)
+    ), e AS (SELECT i AS src, j AS dst FROM l UNION ALL SELECT j, i FROM l
+    ), walk AS (SELECT DISTINCT src AS doc_id, src AS seen FROM e UNION SELECT walk.doc_id, e.dst FROM walk JOIN e ON e.src = walk.seen
+    ), c AS (SELECT doc_id, min(seen) AS low FROM walk GROUP BY doc_id)
+    SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.low, d.doc_id) AS component_id, coalesce(c.low, d.doc_id) = d.doc_id AS kept
+    FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""

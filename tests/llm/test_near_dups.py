@@ -66,6 +66,13 @@ def test_whole_table_equals_brute_force(spark):
     assert got == brute(rows, 2)
 
 
+def test_whole_table_equals_sql(spark):
+    from tests.compare import differences
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert not differences(near_dups.near_duplicates(docs, 2), near_dups.oracle(), "/root/testdata/sf0.001")
+
+
 def test_empty_and_unlinked(spark):
     assert near_dups.near_duplicates(frame(spark, [])).count() == 0
     got = near_dups.near_duplicates(frame(spark, [(1, "a b c"), (2, None)])).collect()
