@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from geomlake.llm import common
 from geomlake.llm.components import components
 
-TREES, TOKENS, MATCHES, LEAF = 20, 64, 36, 512
+TREES, TOKENS, MATCHES, LEAF = 20, 64, 36, 1024
 #: Most classes of a node, and shingles of a cluster, in one task.
 NODE, CLUSTER = 100_000, 8_000_000
 _ODD = np.random.default_rng(77).integers(1 << 20, 1 << 32, TOKENS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -95,48 +95,64 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 class Links:
-    """Union-find over positions, some of them connected beforehand; the smallest position leads."""
+    """Union-find over positions, some of them connected beforehand; the smallest position leads.
 
-    def __init__(self, labels: np.ndarray):
+    A pivot is tested against all that it isn't connected with. Two unconnected positions are not
+    both in the largest group, so once every position outside it was a pivot, all unconnected pairs
+    were tested. alike(pivot, others) says which of the others are linked with the pivot.
+    """
+
+    def __init__(self, labels: np.ndarray, alike):
         _, first, place = np.unique(labels, return_index=True, return_inverse=True)
-        self.top = first[place]
-
-    def linked(self, alike, rest=None) -> np.ndarray:
-        """Leaders after testing pairs with alike(pivot, others) until none is left untested.
-
-        A pivot is tested against all that it isn't connected with. Two unconnected positions
-        are not both in the largest group, so once every position outside it was a pivot, all
-        unconnected pairs were tested.
-        """
-        n = len(self.top)
-        todo = np.ones(n, bool)
-        while True:
-            sizes = np.bincount(self.top, minlength=n)
-            largest = sizes.argmax()
-            open_ = np.flatnonzero(todo & (self.top != largest)) if sizes[largest] > 1 or not todo.all() else np.arange(n)[:1]
-            if not len(open_):
-                return self.top
-            pivot = int(open_[0])
-            todo[pivot] = False
-            others = np.flatnonzero(self.top != self.top[pivot])
-            if not len(others):
-                return self.top
-            hit = others[alike(pivot, others)]
-            if len(hit):
-                tops = np.unique(np.append(self.top[hit], self.top[pivot]))
-                self.top[np.isin(self.top, tops)] = tops[0]
-
-
-def leaves(rows: np.ndarray, tokens: np.ndarray, tree: int, limit: int, depth: int = 1) -> Iterator[np.ndarray]:
-    """Branches a node's rows by further tokens until at most `limit` are left, or no token."""
-    if len(rows) <= limit or depth >= TOKENS:
-        yield rows
-        return
-    byte = tokens[rows, coordinate(tree, depth)]
-    order = np.argsort(byte, kind="stable")
-    for part in np.split(rows[order], np.flatnonzero(np.diff(byte[order])) + 1):
-        if len(part) > 1:
-            yield from leaves(part, tokens, tree, limit, depth + 1)
+        self.top, self.alike, self.todo = first[place], alike, np.ones(len(labels), bool)
+
+    def waiting(self) -> np.ndarray:
+        """Positions still to be pivots."""
+        sizes = np.bincount(self.top, minlength=len(self.top))
+        return np.flatnonzero(self.todo & (self.top != sizes.argmax()))
+
+    def test(self, pivot: int) -> None:
+        self.todo[pivot] = False
+        others = np.flatnonzero(self.top != self.top[pivot])
+        hit = others[self.alike(pivot, others)] if len(others) else others
+        if len(hit):
+            tops = np.unique(np.append(self.top[hit], self.top[pivot]))
+            self.top[np.isin(self.top, tops)] = tops[0]
+
+    def finish(self) -> np.ndarray:
+        """The leaders once no unconnected pair is untested."""
+        while len(open_ := self.waiting()):
+            self.test(int(open_[0]))
+        return self.top
+
+
+def visited(rows: np.ndarray, reps: np.ndarray, tokens: np.ndarray, n: np.ndarray, tree: int, similarity: float, depth: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Stars (a, b) of a node's rows, ordered by rep, that may be alike.
+
+    A few spread pivots connect what is alike on the whole. If the pairs that then remain are no
+    more than those of a small node, they are all compared; else the node branches by the next token.
+    """
+    sig, size = tokens[rows], n[rows]
+
+    def alike(p, others):
+        near = np.minimum(size[others], size[p]) >= similarity * np.maximum(size[others], size[p]) - 1e-9
+        near[near] = (sig[others[near]] == sig[p]).sum(axis=1) >= MATCHES
+        return near
+
+    links = Links(reps[rows], alike)
+    if len(rows) > LEAF:
+        for p in range(0, len(rows), -(-len(rows) // 8)):
+            links.test(p)
+    whole = len(links.waiting()) * len(rows) <= LEAF * LEAF or depth >= TOKENS
+    top = links.finish() if whole else links.top
+    tied = top != np.arange(len(rows))
+    yield reps[rows[tied]], reps[rows[top[tied]]]
+    if not whole:
+        byte = tokens[rows, coordinate(tree, depth)]
+        order = np.argsort(byte, kind="stable")
+        for part in np.split(rows[order], np.flatnonzero(np.diff(byte[order])) + 1):
+            if len(part) > 1:
+                yield from visited(part, reps, tokens, n, tree, similarity, depth + 1)
 
 
 def coordinate(tree: int, depth: int) -> int:
@@ -205,19 +221,9 @@ def starred(rows: DataFrame, similarity: float) -> DataFrame:
         for node in runs(batches, "node"):
             reps, n = node["rep"].to_numpy(), node["n"].to_numpy()
             tokens = np.frombuffer(b"".join(node["sig"].to_pylist()), np.uint8).reshape(-1, TOKENS)
-            for part in leaves(np.arange(len(reps)), tokens, node["tree"][0].as_py(), LEAF):
-                part = part[np.argsort(reps[part], kind="stable")]
-                sig, size = tokens[part], n[part]
-
-                def alike(p, others, sig=sig, size=size):
-                    near = np.minimum(size[others], size[p]) >= similarity * np.maximum(size[others], size[p]) - 1e-9
-                    near[near] = (sig[others[near]] == sig[p]).sum(axis=1) >= MATCHES
-                    return near
-
-                top = Links(reps[part]).linked(alike)
-                tied = top != np.arange(len(part))
-                a.append(reps[part[tied]])
-                b.append(reps[part[top[tied]]])
+            for x, y in visited(np.argsort(reps, kind="stable"), reps, tokens, n, node["tree"][0].as_py(), similarity):
+                a.append(x)
+                b.append(y)
             if len(a) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
                 a, b = [], []
@@ -257,7 +263,7 @@ def confirmed(groups: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
                     near &= 100 * both >= percent * (len(own) + size[others] - both)
                 return near
 
-            top = Links(np.array([label[r] for r in reps.tolist()])).linked(alike)
+            top = Links(np.array([label[r] for r in reps.tolist()]), alike).finish()
             tied = np.flatnonzero(top != np.arange(len(reps)))
             if len(tied):
                 yield pa.RecordBatch.from_arrays([pa.array(reps[tied]), pa.array(reps[top[tied]])], ["a", "b"])
