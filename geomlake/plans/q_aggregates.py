@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geomlake.functions import vectors as V
-from geomlake.functions.vectors import r6
+from geomlake.functions.vectors import near6, r6
 from geomlake.operators import aggregates as E
 from geomlake.operators import blocked
 from geomlake.plans import q_geometry as Q2
@@ -15,11 +15,11 @@ from geomlake.plans.registry import query
 from geomlake.sources import tables as T
 
 
-@query("E01", f"WITH {T.SQL_SUB} SELECT unit, block, round(avg(value), 6) AS m, count(*) AS n FROM sub GROUP BY ALL HAVING count(*) = (SELECT count(DISTINCT subject) FROM sub)")
+@query("E01", f"WITH {T.SQL_SUB} SELECT unit, block, round(avg(value) + 1.7e-10, 6) + 0.0 AS m, count(*) AS n FROM sub GROUP BY ALL HAVING count(*) = (SELECT count(DISTINCT subject) FROM sub)")
 def group_average(spark, sf_dir):
     s = T.subjects(spark, sf_dir)
     n = s.agg(F.count_distinct("subject").alias("all"))
-    means = s.groupBy("unit", "block").agg(F.round(F.avg("value"), 6).alias("m"), F.count("*").alias("n"))
+    means = s.groupBy("unit", "block").agg(near6(F.avg("value")).alias("m"), F.count("*").alias("n"))
     return means.join(F.broadcast(n), F.col("n") == F.col("all")).drop("all")  # one row
 
 
