@@ -123,3 +123,10 @@ def merge_saddle(values: np.ndarray, near: list[list[int]], a: int, b: int) -> f
         if a in top and b in top and find(a) == find(b):
             return float(values[v])
     return -np.inf
+
+
+def contour(mask: DataFrame, edges: DataFrame, n_vertices: int, most: float = 0.9) -> DataFrame:
+    """src, dst of edges from the mask outwards: its border; none for an empty mask or one that covers more than `most`."""
+    fits = mask.agg(F.count(F.lit(1)).alias("n")).where(f"n > 0 AND n <= {most * n_vertices}")
+    crossing = edges.join(mask.select(F.col("vertex").alias("src")), "src", "left_semi").join(mask.select(F.col("vertex").alias("dst")), "dst", "left_anti")
+    return crossing.join(F.broadcast(fits)).select("src", "dst")  # one row

@@ -241,3 +241,9 @@ def smooth_basis_projection(spark, sf_dir):
     basis = K.smooth_basis([sorted(r["dst"] for r in pairs if r["src"] == d) for d in range(64)], 6)
     power = F.array(*[V.dot("x", F.array(*map(F.lit, map(float, b)))) for b in basis.T])
     return T.patterns(spark, sf_dir).select("vec_id", F.round(V.dot(power, power), 6).alias("smooth_power"))
+
+
+@query("K07 N02 J14", f"WITH {SQL_SHEET} SELECT src, dst FROM ed JOIN mask ON src = mask.d WHERE dst NOT IN (SELECT d FROM mask) AND (SELECT count(*) FROM mask) BETWEEN 1 AND 57")
+def border_edges(spark, sf_dir):
+    edges, mask = _sheet(spark, sf_dir)
+    return N.contour(mask, edges, 64)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from geomlake.functions.vectors import near6, r6
 from geomlake.plans.registry import query
-from geomlake.sources import store, timing
+from geomlake.sources import registry, store, timing
 from geomlake.sources import tables as T
 from geomlake.streaming import running
 
@@ -116,3 +116,16 @@ def mask_union(spark, sf_dir):
 @query("S05 E01", "SELECT event_type AS unit, date_trunc('day', ts) AS day, count(*) AS n, round(avg(value), 6) AS m FROM events GROUP BY ALL")
 def streamed_day_means(spark, sf_dir):
     return running.day_means(spark, f"{sf_dir}/events.parquet")
+
+
+@query("F07", "SELECT * FROM (VALUES ('en', 'src0'), ('en', 'src99'), ('it', 'src1'), ('de', 'src2')) t(model, stream) WHERE NOT EXISTS (SELECT 1 FROM documents WHERE lang = model AND source = stream)")
+def registry_check(spark, sf_dir):
+    declared = registry.Registry({"en": ("src0", "src99"), "it": ("src1",), "de": ("src2",)}, (registry.Run("en_without_de", "en.src0", ("de.src2",)),))
+    present = T.read(spark, sf_dir, "documents").select(F.col("lang").alias("model"), F.col("source").alias("stream"))
+    return declared.missing(present, spark)
+
+
+@query("K12", "WITH t AS (SELECT r_name, count(*) AS n FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name) SELECT CAST(0 AS INT) AS line_no, '| r_name | n |' AS line UNION ALL SELECT 1, '|-|-|' UNION ALL SELECT CAST(row_number() OVER (ORDER BY r_name) + 1 AS INT), '| ' || r_name || ' | ' || n || ' |' FROM t")
+def markdown_report(spark, sf_dir):
+    r = T.read(spark, sf_dir, "region").join(T.read(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return registry.markdown(r.groupBy("r_name").agg(F.count("*").alias("n")), "r_name", "n", order="r_name")

@@ -285,3 +285,15 @@ def test_strict_classes(spark):
     assert timing.strict_classes(good, 2, "i", "c", ("a", "b")).count() == 0
     bad = spark.createDataFrame([(0, "a"), (0, "z"), (3, "a")], "i int, c string")
     assert {(r[0], r[1]) for r in timing.strict_classes(bad, 2, "i", "c", ("a", "b")).collect()} == {("missing", "1"), ("index", "0"), ("index", "3"), ("class", "z"), ("empty", "b")}
+
+
+def test_registry_rejects_what_it_does_not_know():
+    from geomlake.sources.registry import Registry, Run
+
+    r = Registry({"m": ("a", "v", "av"), "n": ("a",)}, (Run("m_less_n", "m.av", ("n.a",)),))
+    assert r.joint("m") and not r.joint("n") and r.run("m_less_n").nuisance == ("n.a",)
+    for call in (lambda: r.model("x"), lambda: r.run("x"), lambda: Registry({"m": ("a",)}, (Run("r", "x.a"),))):
+        with pytest.raises(KeyError):
+            call()
+    with pytest.raises(ValueError):
+        Registry({"m": ("a",)}, (Run("r", "m.a", ("m.a",)),))
