@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geomlake.sources import store
+
 
 def r2(rows: DataFrame, y: str, p: str, *groups: str, whole: tuple[str, ...] = ()) -> DataFrame:
     """groups, n, r2: 1 - SSE / SST, null if SST is below 1e-12. With `whole`, the mean is taken over these columns' groups."""
@@ -75,3 +77,21 @@ def relabelled(rows: DataFrame, raw: str) -> DataFrame:
     names = rows.select(raw).where(F.col(raw) != -1).distinct()
     keys = names.withColumn("key", F.row_number().over(Window.orderBy(raw)))
     return rows.join(keys, raw, "left").withColumn("key", F.coalesce("key", F.lit(0)))
+
+
+def global_rank(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """Adds a rank from 1 over all rows without bringing them to one task.
+
+    Rows are range-partitioned by the order and stored with their place in their partition; the
+    partitions' sizes, one number each, become offsets. Orders must be total for one answer.
+    """
+    at = F.monotonically_increasing_id()
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = store.stored(placed.withColumns({"_part": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}), "ranked")
+    sizes = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, total = [], 0
+    for part, n in sizes:
+        offsets.append((part, total))
+        total += n
+    table = rows.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    return placed.join(F.broadcast(table), "_part").withColumn(name, (F.col("_before") + F.col("_at") + 1).cast("int")).drop("_part", "_at", "_before")  # a row for each partition

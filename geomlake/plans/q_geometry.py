@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geomlake.functions import ranks
 from geomlake.functions import vectors as V
 from geomlake.functions.vectors import r6
-from geomlake.operators import blocked
+from geomlake.operators import aggregates, blocked
 from geomlake.operators import geometry as G
 from geomlake.operators import pairs as P
 from geomlake.plans import q_pairs as Q
@@ -272,4 +272,4 @@ def convergence(spark, sf_dir):
     s = T.subjects(spark, sf_dir).groupBy("subject", "unit").agg(F.avg("value").alias("value"))
     z = s.select("subject", ((F.col("value") - F.avg("value").over(w)) / F.stddev_pop("value").over(w)).alias("z"))
     m = z.groupBy("subject").agg(F.avg("z").alias("m"), F.count_if(F.col("z") > 0).alias("positive"))
-    return m.select("subject", r6("m").alias("m"), "positive", F.row_number().over(Q.Window.orderBy(F.desc("m"), "subject")).alias("rank"))
+    return aggregates.global_rank(m, F.desc("m"), F.col("subject")).select("subject", r6("m").alias("m"), "positive", "rank")

@@ -297,3 +297,11 @@ def test_registry_rejects_what_it_does_not_know():
             call()
     with pytest.raises(ValueError):
         Registry({"m": ("a",)}, (Run("r", "m.a", ("m.a",)),))
+
+
+def test_global_rank_spans_partitions(spark):
+    rows = spark.range(1000).withColumn("v", (F.col("id") * 7919) % 1009).repartition(7)
+    found = {r["id"]: r["rank"] for r in aggregates.global_rank(rows, F.desc("v"), F.col("id")).collect()}
+    want = sorted(range(1000), key=lambda i: (-(i * 7919 % 1009), i))
+    assert found == {i: k + 1 for k, i in enumerate(want)}
+    assert aggregates.global_rank(rows.limit(0), F.col("v")).count() == 0
