@@ -13,7 +13,7 @@
 4. Components of the confirmed links give the result.
 
 A pair at the threshold with a node depth d is missed by all trees with probability
-(1 - 0.8 ** d) ** TREES: 6e-9 at the usual depth of 2, 9e-7 at 3.
+(1 - 0.8 ** d) ** TREES: 1e-9 at a depth of 2, 6e-7 at 3, more in deeper nodes.
 
 No pair list is made: tasks give at most one link for each class and tree, and a task tests only
 pairs that are not connected yet. Exact copies collapse by a map-side aggregation before.
