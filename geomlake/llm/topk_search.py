@@ -1,23 +1,26 @@
-"""Exact BM25 top-k search: shards with inverted indexes, block-max pruning, exact merge.
+"""Exact BM25 top-k search: shards with inverted indexes, max-score pruning, exact merge.
 
 Documents are indexed in shards of about SHARD words: sorted terms, postings with term counts,
 document lengths. Document counts and lengths add up over all shards to global statistics, so a
 score does not depend on the shard. A query visits a shard with a threshold, the k-th best score
-so far: for blocks of BLOCK documents the bound is the sum of its terms' largest weights in the
-block; blocks are scored from the largest bound down, and when the pivot bound falls below the
-threshold the rest is skipped. Equal scores are kept until the end, so ties are exact. The shards'
-best are merged by score, then doc_id; a root of the shards is visited first, and its k-th best is
-where the others start from.
+so far, and adds up its terms from the largest bound (weight times the term's largest part in the
+shard) down. A document's sum so far is a lower bound, with the bounds of the terms left an upper
+one: once those that can still reach the threshold have fewer words than the terms left have
+postings, these alone are scored, whole, by their own words. Equal scores are kept until the end,
+so ties are exact. The shards' best are merged by score, then doc_id; a root of the shards is
+visited first, and its k-th best is where the others start from.
 
-Queries travel in chunks of QUERIES, each a bounded broadcast; the index is a stored table.
+Queries travel in chunks of QUERIES, or of about ENTRIES terms, each a bounded broadcast; the
+index is a stored table.
 
-A document as a query asks for its TERMS most telling words: those with the largest count times
-inverse document frequency, then the smallest word. search() takes any weighted terms.
+A document as a query asks with all its distinct words, weighted by inverse document frequency;
+with `terms` given, only for so many of its most telling words: those with the largest count times
+that frequency, then the smallest word. search() takes any terms with positive weights.
 
 Cases: a null text has no word: it is never found and, as a query, finds nothing; a text of any
-length is indexed and asked whole; rows that share a doc_id are found each; a null doc_id is
-neither found nor asked; scores are compared to nine decimals, ties go to the smaller doc_id; an
-empty table gives no row; extra columns are ignored.
+length is indexed and asked whole; rows that share a doc_id are found each, and ask together; a
+null doc_id is neither found nor asked; scores are compared to nine decimals, ties go to the
+smaller doc_id; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,9 @@ from pyspark.sql import functions as F
 
 from geomlake.llm import common
 
-K1, B, SHARD, BLOCK, QUERIES, TERMS = 1.2, 0.75, 6_000_000, 64, 16_384, 32
+K1, B, SHARD, QUERIES, ENTRIES = 1.2, 0.75, 6_000_000, 16_384, 1_000_000
+#: Words a document asks with: all.
+TERMS = None
 _TABLE = np.array([b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256)], np.uint8)
 
 
@@ -112,8 +117,8 @@ def idf(n: int, df: Column) -> Column:
     return F.log1p((F.lit(float(n)) - df + 0.5) / (df + 0.5))
 
 
-def telling_terms(asked: DataFrame, shards: DataFrame, terms: int = TERMS) -> DataFrame:
-    """query_id, term, weight: the most telling words of documents (doc_id, text)."""
+def telling_terms(asked: DataFrame, shards: DataFrame, terms: int | None = TERMS) -> DataFrame:
+    """query_id, term, weight: all distinct words of documents (doc_id, text), or the most telling `terms`."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -124,13 +129,15 @@ def telling_terms(asked: DataFrame, shards: DataFrame, terms: int = TERMS) -> Da
     n = shards.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
     rows = common.texts(asked.where("doc_id IS NOT NULL")).mapInArrow(split, "query_id long, word string, term long, tf long")
     rows = rows.join(document_counts(shards), "term").withColumn("idf", idf(n, F.col("df")))
+    if terms is None:
+        return rows.select("query_id", "term", F.col("idf").alias("weight")).distinct()
     best = F.struct((-F.round(F.col("tf") * F.col("idf"), 9)).alias("s"), "word", "term", "idf")
     chosen = rows.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(best)), 1, terms).alias("best"))
     return chosen.select("query_id", F.explode("best").alias("x")).select("query_id", F.col("x.term").alias("term"), F.col("x.idf").alias("weight"))
 
 
 class Shard:
-    """One shard's postings of the terms that a chunk of queries asks for, with block bounds."""
+    """One shard's postings of the terms that a chunk of queries asks for, by term and by document."""
 
     def __init__(self, row: dict, terms: np.ndarray, mean: float):
         self.doc_ids = np.frombuffer(row["doc_ids"], "<i8")
@@ -144,44 +151,52 @@ class Shard:
         count = np.where(here, (ends - starts)[place], 0) if len(own) else np.zeros(len(terms), np.int64)
         self.start = np.concatenate([[0], np.cumsum(count)])
         at = np.repeat(starts[place] - self.start[:-1], count) + np.arange(self.start[-1]) if len(own) else np.zeros(0, np.int64)
-        self.doc, tf = docs[at].astype(np.int64), tfs[at].astype(np.float64)
+        self.doc, tf = docs[at].astype(np.int32), tfs[at].astype(np.float64)
         self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / mean))
-        term = np.repeat(np.arange(len(terms)), count)
-        block = self.doc // BLOCK
-        head = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(at) else np.zeros(0, np.int64)
-        self.block, self.most = block[head], np.maximum.reduceat(self.weight, head) if len(head) else np.zeros(0)
-        self.head = np.append(head, len(at))
-        self.blocks = np.searchsorted(term[head], np.arange(len(terms) + 1))
+        self.most, real = np.zeros(len(terms)), np.flatnonzero(count)
+        if len(real):
+            self.most[real] = np.maximum.reduceat(self.weight, self.start[real])
+        # The same by document: its terms in the order of their numbers, so equal texts add up to equal scores.
+        self.size = np.bincount(self.doc, minlength=len(self.doc_ids))
+        self.opens = np.cumsum(self.size) - self.size
+        by_doc = np.argsort(self.doc, kind="stable")
+        self.own_term, self.own_weight = np.repeat(np.arange(len(terms), dtype=np.int32), count)[by_doc], self.weight[by_doc]
+        self.asked = np.zeros(len(terms))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
         """doc_ids and scores of the k best with at least `floor`; terms by their number among the chunk's."""
-        a, n = self.blocks[terms], self.blocks[terms + 1] - self.blocks[terms]
-        if not n.sum():
+        n = self.start[terms + 1] - self.start[terms]
+        here = n > 0
+        if not here.any():
             return self.doc_ids[:0], np.zeros(0)
-        entry = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        each = np.repeat(weights, n)
-        names, place = np.unique(self.block[entry], return_inverse=True)
-        bound = np.bincount(place, self.most[entry] * each)
+        bound = weights[here] * self.most[terms[here]]
         order = np.argsort(-bound, kind="stable")
-        by_block = np.argsort(place, kind="stable")
-        opens = np.concatenate([[0], np.cumsum(np.bincount(place))])
-        ids, scores, threshold, at, step = self.doc_ids[:0], np.zeros(0), floor, 0, max(4, k // 2)
-        while at < len(order) and bound[order[at]] >= threshold - 1e-8:
-            pivot = order[at : at + step]
-            pivot = pivot[bound[pivot] >= threshold - 1e-8]
-            size = opens[pivot + 1] - opens[pivot]
-            chosen = np.sort(by_block[np.repeat(opens[pivot] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
-            e = entry[chosen]
-            m = self.head[e + 1] - self.head[e]
-            posting = np.repeat(self.head[e] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-            doc, back = np.unique(self.doc[posting], return_inverse=True)
-            got = np.round(np.bincount(back, self.weight[posting] * np.repeat(each[chosen], m)), 9)
-            ids, scores = np.append(ids, self.doc_ids[doc]), np.append(scores, got)
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-            if len(ids) == k:
-                threshold = max(floor, scores[-1])
-            at, step = at + step, step * 2
+        first, each, n = self.start[terms[here]][order], weights[here][order], n[here][order]
+        left = np.append(np.cumsum(bound[order][::-1])[::-1][1:], 0.0)
+        read, size = np.cumsum(n), len(self.doc_ids)
+        sums, at, threshold = np.zeros(size), 0, floor
+        goal = max(read[-1] // 8, read[np.argmax(left < floor)] if left[-1] < floor else 0)
+        while True:
+            to = min(len(read), max(at, int(np.searchsorted(read, goal))) + 1)
+            spans = [slice(a, b) for a, b in zip(first[at:to].tolist(), (first[at:to] + n[at:to]).tolist(), strict=True)]
+            parts = np.concatenate([self.weight[x] for x in spans]) * np.repeat(each[at:to], n[at:to])
+            sums += np.bincount(np.concatenate([self.doc[x] for x in spans]), parts, size)
+            at = to
+            if size >= k and (kth := np.partition(sums, size - k)[size - k]) > 0:
+                threshold = max(floor, kth)
+            doc = np.flatnonzero(sums + left[at - 1] >= threshold - 1e-8)
+            if at == len(read) or self.size[doc].sum() <= read[-1] - read[at - 1]:
+                break
+            goal = read[at - 1] * 2
+        m = self.size[doc]
+        own = np.repeat(self.opens[doc] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        np.add.at(self.asked, terms, weights)
+        scores = np.round(np.bincount(np.repeat(np.arange(len(doc)), m), self.own_weight[own] * self.asked[self.own_term[own]], len(doc)), 9)
+        self.asked[terms] = 0
+        doc, scores = doc[scores > 0], scores[scores > 0]
+        ids = self.doc_ids[doc]
+        best = np.lexsort((ids, -scores))[:k]
+        ids, scores = ids[best], scores[best]
         return ids[scores >= floor], scores[scores >= floor]
 
 
@@ -190,19 +205,21 @@ def search(shards: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     spark = shards.sparkSession
     stats = shards.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("w")).first()
     mean = stats["w"] / max(1, stats["n"]) or 1.0
-    n_queries = queries.agg(F.count_distinct("query_id")).first()[0]
-    chunks = max(1, -(-n_queries // QUERIES))
+    asks = queries.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("entries")).first()
+    chunks = max(1, -(-asks["queries"] // QUERIES), -(-asks["entries"] // ENTRIES))
     schema, parts = "query_id long, doc_id long, score double", []
     # A root of the shards goes first: the others then give only what passes a query's k-th best there.
     ahead = max(1, round(shards.count() ** 0.5))
     first_ones = F.pmod(F.xxhash64("shard"), F.lit(ahead)) == 0
     for chunk in range(chunks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == chunk).toPandas().sort_values(["query_id", "term"])
-        terms, number = np.unique(rows["term"].to_numpy(np.int64), return_inverse=True)
-        names, first = np.unique(rows["query_id"].to_numpy(np.int64), return_index=True)
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == chunk).select("query_id", "term", "weight").toArrow()
+        asking, term, weight = (c.to_numpy() for c in rows.columns)
+        order = np.lexsort((term, asking))
+        terms, number = np.unique(term[order], return_inverse=True)
+        names, first = np.unique(asking[order], return_index=True)
         floors = np.full(len(names), -np.inf)
         for turn in (first_ones, ~first_ones):
-            asked = spark.sparkContext.broadcast((terms, number, rows["weight"].to_numpy(float), names, np.append(first, len(rows)), floors))
+            asked = spark.sparkContext.broadcast((terms, number, weight[order], names, np.append(first, len(order)), floors))
 
             def visit(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
                 terms, number, weights, names, first, floors = asked.value
@@ -229,7 +246,7 @@ def search(shards: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return best.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.doc_id").alias("doc_id"), (-F.col("x.s")).alias("score"))
 
 
-def similar(docs: DataFrame, asked: Column, k: int = 10, terms: int = TERMS) -> DataFrame:
+def similar(docs: DataFrame, asked: Column, k: int = 10, terms: int | None = TERMS) -> DataFrame:
     """The k best of all documents for each document that `asked` (over doc_id) picks."""
     shards = index(docs)
     queries = common.saved(telling_terms(docs.where(asked), shards, terms), "search-queries")

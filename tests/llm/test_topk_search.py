@@ -44,6 +44,15 @@ def test_whole_table(spark, monkeypatch, shard, queries, k, terms):
     same(found, plain(docs.toPandas(), k, terms, 50))
 
 
+def test_a_document_asks_with_all_its_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    same(topk_search.similar(docs, F.col("doc_id") % 50 == 0), plain(docs.toPandas(), 10, None, 50))
+    telling = " ".join(f"rare{i} rare{i}" for i in range(40))
+    rows = [(0, f"{telling} tail end"), (1, "tail end"), (2, "other words")]
+    got = topk_search.similar(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") == 0).collect()
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["rank"])] == [0, 1]
+
+
 def test_cases(spark):
     schema = "doc_id long, text string, term string, score string"
     rows = [(0, "one TWO two three"), (1, "two, two!"), (2, "two two"), (3, None), (4, ""), (50, None), (100, "!!!"), (None, "two"), (7, "One two two three"), (150, "É é日本 \x00 x1"), (0, "one TWO two three"), (8, "two " * 60_000)]
