@@ -13,14 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from geomlake.llm import common, language_id, near_dups, packing, quality
 from geomlake.llm.queries import WORD_BPE
 
-#: A text whose best language lies below this has none: its cosine is negative.
-LEAST_LANGUAGE = 0.5
+#: A text is in none of the languages if its best cosine lies below this share of a low quantile of
+#: the learning texts' own, among texts of its size.
+LOW_LANGUAGE, SHARE_LANGUAGE = 0.01, 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the documents themselves teach."""
     names, vectors = language_id.profiles(docs)
-    return language_id.spoken(docs, names, vectors, LEAST_LANGUAGE)
+    return language_id.spoken(docs, names, vectors, language_id.cuts(docs, names, vectors, LOW_LANGUAGE, SHARE_LANGUAGE))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

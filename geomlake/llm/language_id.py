@@ -120,30 +120,36 @@ def profiles(docs: DataFrame, width: int = WIDTH) -> tuple[list[str], np.ndarray
     return names, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def score_texts(texts: list[str | None], names: list[str], vectors: np.ndarray, cache: TrigramVectors) -> tuple[list[str], list[float]]:
-    """Language and score (cosine, brought to 0 to 1) of each text."""
-    langs, scores = [UND] * len(texts), [0.0] * len(texts)
-    if not names:
-        return langs, scores
-    mean = vectors.mean(axis=0) if len(names) > 1 else np.zeros(vectors.shape[1])
-    centred = vectors - mean
-    centred = (centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+def bundles(texts: list[str | None], cache: TrigramVectors) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By blocks of texts: where the block starts, each text's number of different trigrams, its vector."""
     for start in range(0, len(texts), BLOCK):
         grams = [counted(trigrams(t)) if t else (np.zeros(0, np.int32),) * 2 for t in texts[start : start + BLOCK]]
-        if not any(len(c) for c, _ in grams):
+        sizes = np.array([len(c) for c, _ in grams])
+        if not sizes.any():
             continue
         union = np.unique(np.concatenate([c for c, _ in grams]))
         block = np.zeros((len(grams), len(union)), np.float32)
         for i, (codes, n) in enumerate(grams):
             block[i, np.searchsorted(union, codes)] = n
         bundle = block @ cache.rows(union)
-        bundle = bundle / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-12) - mean.astype(np.float32)
+        yield start, sizes, bundle / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-12)
+
+
+def score_texts(texts: list[str | None], names: list[str], vectors: np.ndarray, cache: TrigramVectors) -> tuple[list[str], list[float]]:
+    """Language and score (cosine, brought to 0 to 1) of each text."""
+    langs, scores = [UND] * len(texts), [0.0] * len(texts)
+    if not names:
+        return langs, scores
+    mean = vectors.mean(axis=0) if len(names) > 1 else np.zeros(vectors.shape[1])
+    centred = vectors - mean
+    centred = (centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    for start, sizes, bundle in bundles(texts, cache):
+        bundle = bundle - mean.astype(np.float32)
         bundle /= np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-12)
         cosines = bundle @ centred.T
         best = cosines.argmax(axis=1)
-        for i, (codes, _) in enumerate(grams):
-            if len(codes):
-                langs[start + i], scores[start + i] = names[best[i]], float(np.clip((1 + cosines[i, best[i]]) / 2, 0, 1))
+        for i in np.flatnonzero(sizes):
+            langs[start + i], scores[start + i] = names[best[i]], float(np.clip((1 + cosines[i, best[i]]) / 2, 0, 1))
     return langs, scores
 
 
@@ -162,15 +168,57 @@ def identified(docs: DataFrame, names: list[str], vectors: np.ndarray) -> DataFr
     return docs.select(*kept).mapInArrow(predict, schema)
 
 
-def spoken(docs: DataFrame, names: list[str], vectors: np.ndarray, least: float) -> DataFrame:
-    """The rows of docs whose language is known and scores `least` at least."""
-    shared = docs.sparkSession.sparkContext.broadcast((names, vectors))
+def size_class(sizes: np.ndarray) -> np.ndarray:
+    """Texts with alike numbers of different trigrams: the whole part of the logarithm to base 2."""
+    return np.log2(np.maximum(sizes, 1)).astype(int)
+
+
+def cuts(docs: DataFrame, names: list[str], vectors: np.ndarray, low: float, share: float) -> np.ndarray:
+    """The least cosine of a text in a learned language, by size class.
+
+    It is `share` of the `low` quantile of the learning texts' cosines with their own language's
+    vector, not less any mean: those of other languages and of junk lie near 0, those of short texts
+    are lower than those of long ones. A class without learning texts has that of the next smaller
+    one, or none. What reaches the driver is a histogram in steps of 0.001.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((names, vectors.astype(np.float32)))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vectors = shared.value
+        cache = _ROWS.setdefault(WIDTH, TrigramVectors(vectors.shape[1]))
+        for batch in common.slices(batches):
+            own = np.array([names.index(lang) if lang in names else 0 for lang in batch.column(1).to_pylist()])
+            for start, sizes, bundle in bundles(batch.column(0).to_pylist(), cache):
+                cosines = (bundle * vectors[own[start : start + len(sizes)]]).sum(axis=1)[sizes > 0]
+                place, n = np.unique(np.column_stack([size_class(sizes[sizes > 0]), np.floor(cosines * 1000).astype(int)]), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(place[:, 0]), pa.array(place[:, 1]), pa.array(n)], ["size", "step", "n"])
+
+    learnt = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
+    found = learnt.mapInArrow(tally, "size long, step long, n long").groupBy("size", "step").agg(F.sum("n").alias("n")).toPandas()
+    out, last = np.full(size_class(np.array([SYMBOLS**3]))[0] + 1, -1.0), -1.0
+    for size in range(len(out)):
+        part = found[found["size"] == size].sort_values("step")
+        if len(part):
+            total = part["n"].cumsum().to_numpy()
+            at = part["step"].to_numpy()[np.searchsorted(total, int(low * total[-1]), side="right")] / 1000
+            last = min(at, share * at)
+        out[size] = last
+    return out
+
+
+def spoken(docs: DataFrame, names: list[str], vectors: np.ndarray, least: np.ndarray) -> DataFrame:
+    """The rows of docs whose cosine with the best language's vector is that of their size class in `least` at least."""
+    shared = docs.sparkSession.sparkContext.broadcast((vectors.astype(np.float32), least))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, least = shared.value
         cache = _ROWS.setdefault(WIDTH, TrigramVectors(vectors.shape[1]))
         for batch in common.slices(batches):
-            langs, scores = score_texts(batch.column(batch.schema.get_field_index("text")).to_pylist(), *shared.value, cache)
-            yield batch.filter(pa.array([lang != UND and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+            kept = np.zeros(batch.num_rows, bool)
+            if len(vectors):
+                for start, sizes, bundle in bundles(batch.column(batch.schema.get_field_index("text")).to_pylist(), cache):
+                    kept[start : start + len(sizes)] = (sizes > 0) & ((bundle @ vectors.T).max(axis=1) >= least[size_class(sizes)])
+            yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(keep, docs.schema)
 

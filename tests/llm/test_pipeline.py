@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from geomlake.llm import language_id, quality, word_ids
@@ -58,6 +59,20 @@ def test_rows_equal_brute_force(spark, tmp_path):
         assert (t, p) in ((s, o + n), (s + 1, 0))
 
 
+def test_an_unlearned_language_and_letter_junk_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mixed = docs.withColumn("lang", F.when(F.col("lang") != "fr", F.col("lang")))
+    rng = random.Random(3)
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (40, 80, 300, 2000)]
+    junk += ["xqzj " * 80, "Это русский текст для проверки языка документа и его качества, он достаточно длинный. " * 2]
+    mixed = mixed.unionByName(spark.createDataFrame([(-1 - i, t, None, "s", len(t)) for i, t in enumerate(junk)], mixed.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, mixed, "").collect()}
+    clean = {r["doc_id"] for r in docs.where("lang != 'fr'").collect()}
+    french = {r["doc_id"] for r in docs.where("lang = 'fr' AND n_chars > 400").collect()}
+    assert clean <= kept and not any(d < 0 for d in kept)
+    assert len(french) > 50 and len(french & kept) <= 0.05 * len(french)
+
+
 @pytest.mark.parametrize("name", [s for s, _ in corpus_pipeline.STAGES])
 def test_stages_take_odd_tables(spark, tmp_path, name):
     schema = "doc_id long, text string, lang string, source string, n_chars long, key string, score string, kept string"
