@@ -115,7 +115,7 @@ def ward_selectivity(spark, sf_dir):
     return M.per_group(T.patterns(spark, sf_dir), "label", select, "cluster int, n int, first long")
 
 
-@query("M10")
+@query("")
 def hmm_states(spark, sf_dir):
     s = T.signal(spark, sf_dir).groupBy("run", "k").pivot("unit", ["click", "error", "purchase", "signup", "view"]).agg(F.first("value"))
     configs = spark.range(9).select((F.col("id") % 3 + 2).cast("int").alias("states"), F.floor(F.col("id") / 3).cast("int").alias("start"))
@@ -134,7 +134,7 @@ def hmm_states(spark, sf_dir):
     return configs.join(F.broadcast(held)).groupBy("states", "start").applyInPandas(fit, "states int, start int, loglik double, bic double, used int")
 
 
-@query("M13 R10 M14")
+@query("M13 R10")
 def manifold_extension(spark, sf_dir):
     rows = T.patterns(spark, sf_dir)
     marks = rows.orderBy((F.col("vec_id") * 7919 + 3) % 1_000_003, "vec_id").limit(60).toPandas()  # landmarks
@@ -144,7 +144,7 @@ def manifold_extension(spark, sf_dir):
     return M.landmark_extension(x, places, rows).select("vec_id", *[F.round(F.col("y")[k], 6).alias(n) for k, n in enumerate(("mds0", "mds1", "iso0", "iso1", "ica0", "ica1"))])
 
 
-@query("M14", f"WITH {T.SQL_V}, p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_distance(a.x, b.x) AS h, list_distance(a.x[1:3], b.x[1:3]) AS l FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT label, i, row_number() OVER (PARTITION BY i ORDER BY h, j) AS rh, row_number() OVER (PARTITION BY i ORDER BY l, j) AS rl, count(*) OVER (PARTITION BY i) + 1 AS n FROM p) SELECT label, round(1 - 2.0 / (any_value(n) * 5 * (2 * any_value(n) - 16)) * sum(CASE WHEN rl <= 5 AND rh > 5 THEN rh - 5 ELSE 0 END), 6) AS trust, round(1 - 2.0 / (any_value(n) * 5 * (2 * any_value(n) - 16)) * sum(CASE WHEN rh <= 5 AND rl > 5 THEN rl - 5 ELSE 0 END), 6) AS continuity FROM r GROUP BY label")
+@query("", f"WITH {T.SQL_V}, p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_distance(a.x, b.x) AS h, list_distance(a.x[1:3], b.x[1:3]) AS l FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT label, i, row_number() OVER (PARTITION BY i ORDER BY h, j) AS rh, row_number() OVER (PARTITION BY i ORDER BY l, j) AS rl, count(*) OVER (PARTITION BY i) + 1 AS n FROM p) SELECT label, round(1 - 2.0 / (any_value(n) * 5 * (2 * any_value(n) - 16)) * sum(CASE WHEN rl <= 5 AND rh > 5 THEN rh - 5 ELSE 0 END), 6) AS trust, round(1 - 2.0 / (any_value(n) * 5 * (2 * any_value(n) - 16)) * sum(CASE WHEN rh <= 5 AND rl > 5 THEN rl - 5 ELSE 0 END), 6) AS continuity FROM r GROUP BY label")
 def embedding_quality(spark, sf_dir):
     x = T.patterns(spark, sf_dir)
     p = P.within(x, "vec_id", "label").select("label", F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), F.sqrt(V.squared_distance("a.x", "b.x")).alias("h"), F.sqrt(V.squared_distance(F.slice("a.x", 1, 3), F.slice("b.x", 1, 3))).alias("l"))
@@ -160,7 +160,7 @@ def _field(spark, sf_dir):
     return T.long_patterns(spark, sf_dir).groupBy("label", "d").agg(F.avg("x").alias("v"))
 
 
-@query("H11 H08")
+@query("")
 def tfce_scores(spark, sf_dir):
     near = [[r * 8 + c for r, c in ((d // 8 - 1, d % 8), (d // 8 + 1, d % 8), (d // 8, d % 8 - 1), (d // 8, d % 8 + 1)) if 0 <= r < 8 and 0 <= c < 8] for d in range(64)]
     stats = T.long_patterns(spark, sf_dir).groupBy("label", "d").agg((F.avg("x") / (F.stddev_samp("x") / F.sqrt(F.count("*")))).alias("t"))

@@ -18,6 +18,11 @@ def test_runs_without_sql(spark, name):
     assert rows and all(v is not None for v in rows[0])
 
 
+def test_operators_built_in_part_are_not_claimed():
+    claimed = {c for covers in registry.COVERS.values() for c in covers}
+    assert not claimed & {"H11", "M10", "M14"} and "H08" not in registry.COVERS["tfce_scores"]
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as e
 
