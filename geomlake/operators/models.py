@@ -54,6 +54,46 @@ def components(rows: DataFrame, x: str, k: int, train: str | None = None) -> np.
     return axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(k)])
 
 
+def ica(rows: DataFrame, x: str, k: int, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and axes (features by k) of the independent components, (x - mean) @ axes, fitted on all rows.
+
+    As kernels.fast_ica: the rows are whitened by their k first principal components, and each step
+    is a pass that adds up k by k moments over all rows.
+    """
+    s = geometry.cross_products(rows.select(F.concat(x, F.array(F.lit(1.0))).alias("x"))).toPandas()
+    d = int(s["i"].max()) + 1
+    m = np.zeros((d, d))
+    m[s["i"], s["j"]] = s["s"]
+    n, mean = m[-1, -1], m[:-1, -1] / m[-1, -1]
+    values, vectors = np.linalg.eigh(m[:-1, :-1] / n - np.outer(mean, mean))
+    white = vectors[:, ::-1][:, :k]
+    white = white * np.sign(white[np.abs(white).argmax(axis=0), np.arange(k)]) / np.sqrt(np.maximum(values[::-1][:k], 1e-12))
+
+    def moments(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(k * k + k)
+            for batch in batches:
+                if batch.num_rows:
+                    z = (batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1) - mean) @ white
+                    g = np.tanh(z @ w.T)
+                    total += np.append((g.T @ z).ravel(), (1 - g * g).sum(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "s"])
+
+        found = rows.select(F.col(x).alias("x")).mapInArrow(add, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).toPandas().sort_values("i")["s"].to_numpy() / n
+        return found[: k * k].reshape(k, k), found[k * k :]
+
+    w = np.linalg.qr(np.eye(k) + 0.1 * np.sin(np.arange(k * k)).reshape(k, k))[0]
+    for _ in range(steps):
+        gz, slope = moments(w)
+        a, _, b = np.linalg.svd(gz - np.diag(slope) @ w)
+        new = a @ b
+        done = np.abs(np.abs((new * w).sum(axis=1)) - 1).max() < 1e-8
+        w = new
+        if done:
+            break
+    return mean, white @ w.T
+
+
 def banded_ridge(design: dict[str, np.ndarray], groups: np.ndarray, targets: DataFrame, n_draws: int = 20, penalties: np.ndarray | None = None) -> DataFrame:
     """target, subset, r2: held-out R² of every target for all subsets of the bands, leaving one group out.
 

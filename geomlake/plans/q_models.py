@@ -134,14 +134,23 @@ def hmm_states(spark, sf_dir):
     return configs.join(F.broadcast(held)).groupBy("states", "start").applyInPandas(fit, "states int, start int, loglik double, bic double, used int")
 
 
+#: Of the scaling methods, as in the reference; ICA is fitted on all rows.
+LANDMARKS = 2000
+
+
 @query("M13 R10")
 def manifold_extension(spark, sf_dir):
     rows = T.patterns(spark, sf_dir)
-    marks = rows.orderBy((F.col("vec_id") * 7919 + 3) % 1_000_003, "vec_id").limit(60).toPandas()  # landmarks
+    marks = rows.orderBy((F.col("vec_id") * 7919 + 3) % 1_000_003, "vec_id").limit(LANDMARKS).toPandas()
     x = np.stack(marks["x"]).astype(float)
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0))
-    places = np.concatenate([K.classical_mds(d, 2), K.classical_mds(K.geodesics(d, 6), 2), K.fast_ica(x, 2)], axis=1)
-    return M.landmark_extension(x, places, rows).select("vec_id", *[F.round(F.col("y")[k], 6).alias(n) for k, n in enumerate(("mds0", "mds1", "iso0", "iso1", "ica0", "ica1"))])
+    square = (x * x).sum(axis=1)
+    d = np.sqrt(np.maximum(square[:, None] + square - 2 * x @ x.T, 0))
+    np.fill_diagonal(d, 0)
+    places = np.concatenate([K.classical_mds(d, 2), K.classical_mds(K.geodesics(d, 6), 2)], axis=1)
+    near = M.landmark_extension(x, places, rows).select("vec_id", *[F.round(F.col("y")[k], 6).alias(n) for k, n in enumerate(("mds0", "mds1", "iso0", "iso1"))])
+    mean, axes = M.ica(rows, "x", 2)
+    sources = [F.round(V.dot("x", F.array(*map(F.lit, map(float, a)))) - float(mean @ a), 6).alias(f"ica{k}") for k, a in enumerate(axes.T)]
+    return near.join(rows.select("vec_id", *sources), "vec_id")
 
 
 @query("", f"WITH {T.SQL_V}, p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_distance(a.x, b.x) AS h, list_distance(a.x[1:3], b.x[1:3]) AS l FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT label, i, row_number() OVER (PARTITION BY i ORDER BY h, j) AS rh, row_number() OVER (PARTITION BY i ORDER BY l, j) AS rl, count(*) OVER (PARTITION BY i) + 1 AS n FROM p) SELECT label, round(1 - 2.0 / (any_value(n) * 5 * (2 * any_value(n) - 16)) * sum(CASE WHEN rl <= 5 AND rh > 5 THEN rh - 5 ELSE 0 END), 6) AS trust, round(1 - 2.0 / (any_value(n) * 5 * (2 * any_value(n) - 16)) * sum(CASE WHEN rh <= 5 AND rl > 5 THEN rl - 5 ELSE 0 END), 6) AS continuity FROM r GROUP BY label")

@@ -205,6 +205,24 @@ def test_hmm_prefers_two_states():
     assert gamma.sum(axis=1) == pytest.approx(np.ones(160))
 
 
+def test_manifold_extension_uses_all_rows(spark):
+    from geomlake.plans import catalog
+    from geomlake.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    rows = tables.patterns(spark, sf).toPandas().sort_values("vec_id")
+    found = catalog.queries()["manifold_extension"](spark, sf).toPandas().sort_values("vec_id")
+    assert found["vec_id"].tolist() == rows["vec_id"].tolist() and len(rows) <= 2000
+    x = np.stack(rows["x"]).astype(float)
+    want = kernels.fast_ica(x, 2)
+    got = found[["ica0", "ica1"]].to_numpy()
+    close = np.abs(got.T @ want) / len(x)
+    assert np.sort(close, axis=None) == pytest.approx([0, 0, 1, 1], abs=1e-3)
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    for names, plain in ((("mds0", "mds1"), kernels.classical_mds(d, 2)), (("iso0", "iso1"), kernels.classical_mds(kernels.geodesics(d, 6), 2))):
+        assert np.abs(found[list(names)].to_numpy()) == pytest.approx(np.abs(plain), abs=1e-4)  # every row is a landmark
+
+
 def test_mds_nmf_ica_and_geodesics():
     x = RNG.standard_normal((20, 2))
     d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
