@@ -63,7 +63,7 @@ def training_pca(spark, sf_dir):
     return rows.select("vec_id", "train", *scores)
 
 
-@query("M02 M01 E09 E11 M04")
+@query("M02 M01 E09 E11")
 def banded_ridge_partition(spark, sf_dir):
     """Targets: the last 16 features; bands: features 0-15, 16-31, 32-47; windows: labels' means; groups: halves of ten."""
     rows = T.patterns(spark, sf_dir).groupBy("label", (F.col("vec_id") % 12).alias("part")).agg(*[F.avg(F.col("x")[i]).alias(f"f{i}") for i in range(64)])
@@ -71,7 +71,7 @@ def banded_ridge_partition(spark, sf_dir):
     x = table[[f"f{i}" for i in range(64)]].to_numpy()
     design = {"a": x[:, :16], "j": x[:, 32:48], "v": x[:, 16:32]}
     targets = spark.createDataFrame([(i, [float(v) for v in x[:, i]]) for i in range(48, 64)], "target int, y array<double>")
-    return M.banded_ridge(design, table["label"].to_numpy() % 5, targets.repartition(4), n_draws=6, penalties=np.logspace(-2, 4, 7))
+    return M.banded_ridge(design, table["label"].to_numpy() % 5, targets.repartition(4))
 
 
 @query("G16")

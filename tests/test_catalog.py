@@ -23,6 +23,15 @@ def test_operators_built_in_part_are_not_claimed():
     assert not claimed & {"H11", "M10", "M14"} and "H08" not in registry.COVERS["tfce_scores"]
 
 
+def test_banded_ridge_partition_searches_the_whole_grid(spark, monkeypatch):
+    from geomlake.operators import models
+
+    seen = []
+    monkeypatch.setattr(models, "banded_ridge", lambda design, groups, targets, n_draws=20, penalties=None: seen.append((n_draws, penalties)))
+    QUERIES["banded_ridge_partition"](spark, SF)
+    assert seen == [(20, None)] and "M04" not in registry.COVERS["banded_ridge_partition"]
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as e
 
