@@ -78,6 +78,10 @@ def test_co_training_uses_the_pool():
     assert right[1] > right[0] and right[1] > 0.9
 
 
+def test_the_quality_sample_is_not_cut_further():
+    assert (quality.LABELLED, quality.POOL, quality.GAIN) == (12_000, 8_000, 400)
+
+
 def test_quality_cases(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, y string, key string"
     rows = [(i, t, None, None, n, "s", "k", "y", "key") for i, t, n in [(1, "good text", 9), (2, None, None), (3, "", -5), (None, "x", 1), (1, "good text", 9), (4, "w " * 50_000, 100_000)]]
