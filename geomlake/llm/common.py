@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +43,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, **options) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again: lineage ends here."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,6 +59,20 @@ def dropped(df: DataFrame) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI, as workers open it, and the path there."""
+    if "://" not in uri:
+        uri = "file://" + uri.removeprefix("file:")
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
+def files(folder: str) -> list[str]:
+    """The URIs of the Parquet files in a folder, by name; none if it isn't there."""
+    place, path = store(folder)
+    found = place.get_file_info(pafs.FileSelector(path, allow_not_found=True))
+    return sorted(f"{folder}/{f.base_name}" for f in found if f.base_name.endswith(".parquet"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

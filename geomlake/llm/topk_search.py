@@ -1,17 +1,24 @@
-"""Exact BM25 top-k search: shards with inverted indexes, max-score pruning, exact merge.
-
-Documents are indexed in shards of about SHARD words: sorted terms, postings with term counts,
-document lengths. Document counts and lengths add up over all shards to global statistics, so a
-score does not depend on the shard. A query visits a shard with a threshold, the k-th best score
-so far, and adds up its terms from the largest bound (weight times the term's largest part in the
-shard) down. A document's sum so far is a lower bound, with the bounds of the terms left an upper
-one: once those that can still reach the threshold have fewer words than the terms left have
-postings, these alone are scored, whole, by their own words. Equal scores are kept until the end,
-so ties are exact. The shards' best are merged by score, then doc_id; a root of the shards is
-visited first, and its k-th best is where the others start from.
-
-Queries travel in chunks of QUERIES, or of about ENTRIES terms, each a bounded broadcast; the
-index is a stored table.
+"""Exact BM25 top-k search: an inverted index in shards, block-max WAND in each, exact merge.
+
+Index. A shard holds about SHARD words. Its documents are ordered so that neighbours are alike (by
+the signs of a few principal components of their most frequent words, then by length) and cut into
+blocks of WIDTH; equal texts are one document with all their ids. Document counts and lengths add
+up over all shards to global statistics, so a score does not depend on the shard.
+
+Search in a shard. A query's terms are cursors over doc-ordered postings, which move together, a
+window of pivots at a time. Cursors of terms below COMMON of the documents are summed in place;
+those above it are bounded by their largest part in each block. A document whose sum and bounds
+reach the query's threshold is a pivot; all others are skipped unread. Pivots are scored in the
+order of documents, and the threshold, the k-th best so far, rises from window to window. Queries
+that leave more than DENSE of a shard as pivots score these together as one matrix product. Up to
+here scores are single-precision with a proven leeway; what can still be among the k best is
+scored again in double precision, term by term in one fixed order, so ties are exact.
+
+Plan. Queries are a stored table, a row each. A tile is a shard and a chunk of QUERIES queries;
+each task reads its shard and then its queries, BATCH by BATCH, from the shared folder, so neither
+the driver nor a broadcast holds queries, and a task's work has a bound. A root of the shards is
+visited first; its k-th best is the floor that the others start from, a column of the queries. The
+shards' best are merged by score, then doc_id.
 
 A document as a query asks with all its distinct words, weighted by inverse document frequency;
 with `terms` given, only for so many of its most telling words: those with the largest count times
@@ -25,19 +32,23 @@ smaller doc_id; an empty table gives no row; extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geomlake.llm import common
 
-K1, B, SHARD, QUERIES, ENTRIES = 1.2, 0.75, 6_000_000, 16_384, 1_000_000
+K1, B, SHARD, QUERIES = 1.2, 0.75, 4_000_000, 16_384
+#: Documents of a shard at most, of a block; queries searched together; pivots scored together.
+DOCS, WIDTH, BATCH, WINDOW = 65_536, 16, 64, 512
+#: Shares of a shard's documents: terms in more are bounded by blocks, queries with more pivots scored together.
+COMMON, DENSE = 0.08, 0.03
 #: Words a document asks with: all.
 TERMS = None
 _TABLE = np.array([b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256)], np.uint8)
@@ -67,37 +78,67 @@ def counts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarra
     return distinct, pair // n, pair % n, tf, np.diff(bounds)
 
 
-_SHARD = "shard string, doc_ids binary, lengths binary, terms binary, starts binary, docs binary, tfs binary, n_docs long, n_words long"
+_SHARD = "ids binary, id_starts binary, lengths binary, terms binary, starts binary, docs binary, tfs binary, n_docs long, n_words long"
 
 
-def index(docs: DataFrame, shard: int = SHARD) -> DataFrame:
-    """The stored index, a row for each shard."""
-    columns = [c.split(" ")[0] for c in _SHARD.split(", ")]
+def alike_order(length: np.ndarray, term: np.ndarray, doc: np.ndarray, tf: np.ndarray, top: int = 64, signs: int = 4) -> np.ndarray:
+    """An order of documents in which neighbours use alike words and are of alike length."""
+    df = np.bincount(term)
+    chosen = np.argsort(-df, kind="stable")[:top]
+    column = np.full(len(df), -1)
+    column[chosen] = np.arange(len(chosen))
+    here = column[term] >= 0
+    used = np.zeros((len(length), len(chosen)))
+    used[doc[here], column[term[here]]] = np.log1p(tf[here])
+    used /= np.maximum(np.linalg.norm(used, axis=1, keepdims=True), 1e-9)
+    used -= used.mean(axis=0)
+    _, axes = np.linalg.eigh(used.T @ used)
+    sides = used @ axes[:, ::-1][:, :signs] > 0
+    return np.lexsort((length, sides @ (1 << np.arange(sides.shape[1])[::-1])))
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, n_docs = [], 0, 0
 
-        def row() -> pa.RecordBatch:
-            term, doc, tf, length, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((doc, term))
-            term, doc, tf = term[order], doc[order], tf[order]
-            first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
-            parts = (ids.astype("<i8"), length.astype("<u4"), term[first].astype("<u8"), first.astype("<u4"), doc.astype("<u4"), tf.astype("<u4"))
-            name = xxhash.xxh3_64_hexdigest(parts[0].tobytes() + parts[1].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([p.tobytes()], pa.binary()) for p in parts), pa.array([len(ids)]), pa.array([int(length.sum())])], columns)
+def shard_row(ids: np.ndarray, classes: np.ndarray, hashes: np.ndarray, doc: np.ndarray, tf: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    """A shard: ids of rows and the different text (class) that each has; word hash, class and count of postings; lengths of classes."""
+    names, term = np.unique(hashes, return_inverse=True)
+    order = alike_order(length, term, doc, tf) if len(term) else np.arange(len(length))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    doc, length, classes = place[doc], length[order], place[classes]
+    by_term, by_class = np.lexsort((doc, term)), np.lexsort((ids, classes))
+    copies = np.bincount(classes, minlength=len(length))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(names)))])
+    parts = (ids[by_class].astype("<i8"), np.concatenate([[0], np.cumsum(copies)]).astype("<u4"), length.astype("<u4"), names.astype("<i8"), starts.astype("<u4"), doc[by_term].astype("<u4"), tf[by_term].astype("<u4"))
+    return pa.RecordBatch.from_arrays([*(pa.array([p.tobytes()], pa.binary()) for p in parts), pa.array([len(ids)]), pa.array([int((length * copies).sum())])], [c.split(" ")[0] for c in _SHARD.split(", ")])
 
+
+def index(docs: DataFrame, shard: int = SHARD) -> DataFrame:
+    """The stored index, a row and a file for each shard."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        known: dict[bytes, int] = {}
+        ids: list[int] = []
+        classes: list[int] = []
+        size = 0
         for batch in common.slices(batches):
-            distinct, doc, word, tf, length = counts(batch.column(1))
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))
-            held.append((hashes[word], doc + n_docs, tf, length, batch.column(0).to_numpy()))
-            size, n_docs = size + int(length.sum()), n_docs + len(length)
-            if size >= shard:
-                yield row()
-                held, size, n_docs = [], 0, 0
-        if held:
-            yield row()
+            new = []
+            for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                key = xxhash.xxh3_128_digest(text)
+                if key not in known:
+                    new.append(i)
+                classes.append(known.setdefault(key, len(known)))
+                ids.append(doc_id)
+            distinct, doc, word, tf, length = counts(batch.column(1).take(pa.array(new, pa.int64())))
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()), np.uint64, len(distinct)).view(np.int64)
+            held.append((hashes[word], doc + len(known) - len(new), tf, length))
+            size += int(length.sum())
+            if size >= shard or len(known) >= DOCS or len(ids) >= 16 * DOCS:
+                yield shard_row(np.array(ids), np.array(classes), *map(np.concatenate, zip(*held, strict=True)))
+                held, known, ids, classes, size = [], {}, [], [], 0
+        if ids:
+            yield shard_row(np.array(ids), np.array(classes), *map(np.concatenate, zip(*held, strict=True)))
 
-    return common.saved(common.texts(docs.where("doc_id IS NOT NULL")).mapInArrow(build, _SHARD), "search-index")
+    return common.saved(common.texts(docs.where("doc_id IS NOT NULL")).mapInArrow(build, _SHARD), "search-index", maxRecordsPerFile=1)
 
 
 def document_counts(shards: DataFrame) -> DataFrame:
@@ -105,11 +146,12 @@ def document_counts(shards: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for terms, starts, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                first = np.frombuffer(starts, "<u4").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, "<i8")), pa.array(np.diff(first, append=size))], ["term", "df"])
+            for terms, starts, docs, id_starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                copies, first = np.diff(np.frombuffer(id_starts, "<u4").astype(np.int64)), np.frombuffer(starts, "<u4").astype(np.int64)[:-1]
+                df = np.add.reduceat(copies[np.frombuffer(docs, "<u4")], first) if len(first) else first
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, "<i8")), pa.array(df)], ["term", "df"])
 
-    rows = shards.select("terms", "starts", (F.octet_length("docs") / 4).cast("long").alias("size")).mapInArrow(count, "term long, df long")
+    rows = shards.select("terms", "starts", "docs", "id_starts").mapInArrow(count, "term long, df long")
     return rows.groupBy("term").agg(F.sum("df").alias("df"))
 
 
@@ -137,113 +179,195 @@ def telling_terms(asked: DataFrame, shards: DataFrame, terms: int | None = TERMS
 
 
 class Shard:
-    """One shard's postings of the terms that a chunk of queries asks for, by term and by document."""
-
-    def __init__(self, row: dict, terms: np.ndarray, mean: float):
-        self.doc_ids = np.frombuffer(row["doc_ids"], "<i8")
-        length = np.frombuffer(row["lengths"], "<u4").astype(np.float64)
-        own, starts = np.frombuffer(row["terms"], "<u8").view(np.int64), np.frombuffer(row["starts"], "<u4").astype(np.int64)
-        docs, tfs = np.frombuffer(row["docs"], "<u4"), np.frombuffer(row["tfs"], "<u4")
-        ends = np.append(starts[1:], len(docs))
-        order = np.argsort(own)
-        place = order[np.minimum(np.searchsorted(own, terms, sorter=order), len(own) - 1)] if len(own) else np.zeros(len(terms), np.int64)
-        here = own[place] == terms if len(own) else np.zeros(len(terms), bool)
-        count = np.where(here, (ends - starts)[place], 0) if len(own) else np.zeros(len(terms), np.int64)
-        self.start = np.concatenate([[0], np.cumsum(count)])
-        at = np.repeat(starts[place] - self.start[:-1], count) + np.arange(self.start[-1]) if len(own) else np.zeros(0, np.int64)
-        self.doc, tf = docs[at].astype(np.int32), tfs[at].astype(np.float64)
+    """One shard's postings by term and by document, and the blocks of its common terms."""
+
+    def __init__(self, row: dict, mean: float):
+        self.ids, self.id_starts = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["id_starts"], "<u4").astype(np.int64)
+        length, self.terms = np.frombuffer(row["lengths"], "<u4").astype(np.float64), np.frombuffer(row["terms"], "<i8")
+        self.start = np.frombuffer(row["starts"], "<u4").astype(np.int64)
+        self.n, self.doc, tf = len(length), np.frombuffer(row["docs"], "<u4").astype(np.int32), np.frombuffer(row["tfs"], "<u4").astype(np.float64)
         self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / mean))
-        self.most, real = np.zeros(len(terms)), np.flatnonzero(count)
-        if len(real):
-            self.most[real] = np.maximum.reduceat(self.weight, self.start[real])
-        # The same by document: its terms in the order of their numbers, so equal texts add up to equal scores.
-        self.size = np.bincount(self.doc, minlength=len(self.doc_ids))
-        self.opens = np.cumsum(self.size) - self.size
+        df = np.diff(self.start)
+        common_terms = np.flatnonzero(df > max(COMMON * self.n, WIDTH))
+        self.column = np.full(len(df), -1, np.int32)
+        self.column[common_terms] = np.arange(len(common_terms))
+        term = np.repeat(np.arange(len(df), dtype=np.int32), df)
+        # Common terms: the parts of every document, a row each, and the largest of each block.
+        self.part = np.zeros((-(-self.n // WIDTH) * WIDTH, len(common_terms)), np.float32)
+        here = self.column[term] >= 0
+        self.part[self.doc[here], self.column[term[here]]] = self.weight[here]
+        self.most = self.part.reshape(len(self.part) // WIDTH, WIDTH, len(common_terms)).max(axis=1)
+        # All postings by document: its terms in the order of their hashes, so equal texts add up to equal scores.
         by_doc = np.argsort(self.doc, kind="stable")
-        self.own_term, self.own_weight = np.repeat(np.arange(len(terms), dtype=np.int32), count)[by_doc], self.weight[by_doc]
-        self.asked = np.zeros(len(terms))
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """doc_ids and scores of the k best with at least `floor`; terms by their number among the chunk's."""
-        n = self.start[terms + 1] - self.start[terms]
-        here = n > 0
-        if not here.any():
-            return self.doc_ids[:0], np.zeros(0)
-        bound = weights[here] * self.most[terms[here]]
-        order = np.argsort(-bound, kind="stable")
-        first, each, n = self.start[terms[here]][order], weights[here][order], n[here][order]
-        left = np.append(np.cumsum(bound[order][::-1])[::-1][1:], 0.0)
-        read, size = np.cumsum(n), len(self.doc_ids)
-        sums, at, threshold = np.zeros(size), 0, floor
-        goal = max(read[-1] // 8, read[np.argmax(left < floor)] if left[-1] < floor else 0)
-        while True:
-            to = min(len(read), max(at, int(np.searchsorted(read, goal))) + 1)
-            spans = [slice(a, b) for a, b in zip(first[at:to].tolist(), (first[at:to] + n[at:to]).tolist(), strict=True)]
-            parts = np.concatenate([self.weight[x] for x in spans]) * np.repeat(each[at:to], n[at:to])
-            sums += np.bincount(np.concatenate([self.doc[x] for x in spans]), parts, size)
-            at = to
-            if size >= k and (kth := np.partition(sums, size - k)[size - k]) > 0:
-                threshold = max(floor, kth)
-            doc = np.flatnonzero(sums + left[at - 1] >= threshold - 1e-8)
-            if at == len(read) or self.size[doc].sum() <= read[-1] - read[at - 1]:
-                break
-            goal = read[at - 1] * 2
-        m = self.size[doc]
-        own = np.repeat(self.opens[doc] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-        np.add.at(self.asked, terms, weights)
-        scores = np.round(np.bincount(np.repeat(np.arange(len(doc)), m), self.own_weight[own] * self.asked[self.own_term[own]], len(doc)), 9)
+        self.own = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=self.n))])
+        self.own_term, self.own_weight = term[by_doc], self.weight[by_doc]
+        self.asked = np.zeros(len(df))
+        self.read = self.scored = 0
+
+    def sums(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Every document's sum over the query's terms that are not common."""
+        spans = [slice(a, b) for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True)]
+        if not spans:
+            return np.zeros(self.n)
+        parts = np.concatenate([self.weight[x] for x in spans]) * np.repeat(weights, self.start[terms + 1] - self.start[terms])
+        self.read += len(parts)
+        return np.bincount(np.concatenate([self.doc[x] for x in spans]), parts, self.n)
+
+    def holding(self, terms: np.ndarray) -> np.ndarray:
+        """The documents that have any of the terms."""
+        return np.unique(np.concatenate([self.doc[a:b] for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True)]))
+
+    def exact(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores in double precision, to nine decimals."""
+        m = self.own[docs + 1] - self.own[docs]
+        at = np.repeat(self.own[docs] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        self.asked[terms] = weights
+        out = np.bincount(np.repeat(np.arange(len(docs)), m), self.own_weight[at] * self.asked[self.own_term[at]], len(docs))
         self.asked[terms] = 0
-        doc, scores = doc[scores > 0], scores[scores > 0]
-        ids = self.doc_ids[doc]
-        best = np.lexsort((ids, -scores))[:k]
-        ids, scores = ids[best], scores[best]
-        return ids[scores >= floor], scores[scores >= floor]
+        self.scored += len(docs)
+        return np.round(out, 9)
+
+    def best(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """doc_ids and scores of the k best of some documents, with at least `floor`."""
+        scores = self.exact(docs, terms, weights)
+        keep = (scores > 0) & (scores >= floor)
+        docs, scores = docs[keep], scores[keep]
+        if len(scores) > k:
+            keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            docs, scores = docs[keep], scores[keep]
+        first, n = self.id_starts[docs], np.minimum(self.id_starts[docs + 1] - self.id_starts[docs], k)
+        ids, scores = self.ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())], np.repeat(scores, n)
+        order = np.lexsort((ids, -scores))[:k]
+        return ids[order], scores[order]
+
+    def pivots(self, sums: np.ndarray, bounds: np.ndarray, asked: np.ndarray, k: int, floor: float, leeway: float) -> np.ndarray | None:
+        """The documents that may be among the k best, or None if too many are pivots or the threshold says nothing.
+
+        sums: over terms that are not common; bounds: of the common ones, by block; asked: weights of those.
+        """
+        limit = sums + np.repeat(bounds, WIDTH)[: self.n]
+        threshold, found, scores = floor - leeway, [], []
+
+        def visit(docs: np.ndarray) -> None:
+            nonlocal threshold
+            found.append(docs)
+            scores.append(sums[docs] + self.part[docs] @ asked)
+            every = np.concatenate(scores)
+            if len(every) >= k:
+                threshold = max(threshold, np.partition(every, len(every) - k)[len(every) - k] - 2 * leeway)
+
+        # The documents of the largest limits give a first threshold.
+        first = np.argpartition(limit, self.n - 4 * k)[-4 * k :] if self.n > 4 * k else np.arange(self.n)
+        visit(first)
+        limit[first] = -np.inf
+        waiting = np.flatnonzero(limit >= threshold)
+        if threshold <= leeway or len(waiting) > DENSE * self.n + WINDOW:
+            return None
+        for at in range(0, len(waiting), WINDOW):
+            window = waiting[at : at + WINDOW]
+            window = window[limit[window] >= threshold]
+            if len(window):
+                visit(window)
+        docs, scores = np.concatenate(found), np.concatenate(scores)
+        return docs[scores >= threshold]
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray, float]], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each of some queries (term hashes, weights, floor): its number, doc_ids and scores of the k best."""
+        asked, held = np.zeros((len(queries), self.part.shape[1]), np.float32), []
+        for i, (hashes, weights, floor) in enumerate(queries):
+            place = np.minimum(np.searchsorted(self.terms, hashes), max(0, len(self.terms) - 1))
+            here = self.terms[place] == hashes if len(self.terms) else np.zeros(len(hashes), bool)
+            terms, weights = place[here], weights[here]
+            column = self.column[terms]
+            asked[i, column[column >= 0]] = weights[column >= 0]
+            # Single-precision sums of m parts err by a share of m half-units in the last place, at most.
+            leeway = 1e-7 * (asked.shape[1] + 16) * float(weights.sum()) * (K1 + 1) + 1e-8
+            held.append((terms, weights, column < 0, floor, leeway))
+        bounds = asked @ self.most.T
+        left: list[tuple[int, np.ndarray]] = []
+        for i, (terms, weights, rare, floor, leeway) in enumerate(held):
+            if not len(terms):
+                continue
+            sums = self.sums(terms[rare], weights[rare])
+            docs = self.pivots(sums, bounds[i] + np.float32(leeway), asked[i], k, floor, leeway)
+            if docs is None:
+                left.append((i, sums))
+            elif len(docs):
+                yield i, *self.best(docs, terms, weights, k, floor)
+        if left:
+            product = asked[[i for i, _ in left]] @ self.part.T
+            for (i, sums), row in zip(left, product, strict=True):
+                terms, weights, _, floor, leeway = held[i]
+                scores = sums + row[: self.n]
+                threshold = max(floor, np.partition(scores, self.n - k)[self.n - k] if self.n >= k else 0.0) - 2 * leeway
+                docs = np.flatnonzero(scores >= threshold) if threshold > leeway else self.holding(terms)
+                yield i, *self.best(docs, terms, weights, k, floor)
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+
+
+def visited(shards: DataFrame, asked: DataFrame, folder: str, chunks: int, mean: float, k: int) -> DataFrame:
+    """query_id, doc_id, score: each shard's k best of every query; asked: a stored table in `folder`, by chunk."""
+    tiles = shards.select(F.input_file_name().alias("path"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tile in batch.to_pylist():
+                store, path = common.store(tile["path"])
+                with store.open_input_file(path) as source:
+                    shard = Shard(pq.read_table(source).to_pylist()[0], mean)
+                size = max(1, min(BATCH, 2_000_000 // max(1, shard.n)))
+                for path in common.files(f"{folder}/chunk={tile['chunk']}"):
+                    store, path = common.store(path)
+                    with store.open_input_file(path) as source:
+                        for part in pq.ParquetFile(source).iter_batches(batch_size=size):
+                            names = part.column(part.schema.get_field_index("query_id")).to_pylist()
+                            columns = [part.column(part.schema.get_field_index(c)) for c in ("terms", "weights", "floor")]
+                            queries = [(t.values.to_numpy(), w.values.to_numpy(), -np.inf if f.as_py() is None else f.as_py()) for t, w, f in zip(*columns, strict=True)]
+                            found = [(np.full(len(ids), names[i]), ids, scores) for i, ids, scores in shard.search(queries, k)]
+                            if found:
+                                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], schema=_FOUND)
+
+    n = shards.count() * chunks
+    return tiles.repartition(max(1, min(n, 10_000))).mapInArrow(visit, "query_id long, doc_id long, score double")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query, with their rank; partitions keep only k of a query before they are dealt out."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
 def search(shards: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, rank (from 1), doc_id, score of each query's k best; queries: query_id, term, weight; stored."""
+    """query_id, rank (from 1), doc_id, score of each query's k best; queries: query_id, term, weight.
+
+    shards: as index() gives them, a file each.
+    """
     spark = shards.sparkSession
-    stats = shards.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("w")).first()
+    stats = shards.agg(F.count("*").alias("shards"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("w")).first()
     mean = stats["w"] / max(1, stats["n"]) or 1.0
-    asks = queries.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("entries")).first()
-    chunks = max(1, -(-asks["queries"] // QUERIES), -(-asks["entries"] // ENTRIES))
-    schema, parts = "query_id long, doc_id long, score double", []
+    entry = F.struct("term", F.col("weight").cast("double").alias("weight"))
+    summed = queries.repartition("query_id").groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))
+    whole = common.saved(summed.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("x")).select("query_id", F.col("x.term").alias("terms"), F.col("x.weight").alias("weights"), F.lit(None).cast("double").alias("floor")), "search-asked")
+    chunks = max(1, -(-whole.count() // QUERIES))
+    chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")
+
+    def dealt(asked: DataFrame) -> tuple[DataFrame, str]:
+        folder = common.new_folder(spark, "search-chunks")
+        asked.withColumn("chunk", chunk).repartition(chunks, "chunk").write.partitionBy("chunk").parquet(folder)
+        return asked, folder
+
     # A root of the shards goes first: the others then give only what passes a query's k-th best there.
-    ahead = max(1, round(shards.count() ** 0.5))
-    first_ones = F.pmod(F.xxhash64("shard"), F.lit(ahead)) == 0
-    for chunk in range(chunks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == chunk).select("query_id", "term", "weight").toArrow()
-        asking, term, weight = (c.to_numpy() for c in rows.columns)
-        order = np.lexsort((term, asking))
-        terms, number = np.unique(term[order], return_inverse=True)
-        names, first = np.unique(asking[order], return_index=True)
-        floors = np.full(len(names), -np.inf)
-        for turn in (first_ones, ~first_ones):
-            asked = spark.sparkContext.broadcast((terms, number, weight[order], names, np.append(first, len(order)), floors))
-
-            def visit(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
-                terms, number, weights, names, first, floors = asked.value
-                for batch in batches:
-                    for row in batch.to_pylist():
-                        shard, out = Shard(row, terms, mean), []
-                        for i, name in enumerate(names.tolist()):
-                            part = slice(first[i], first[i + 1])
-                            ids, scores = shard.search(number[part], weights[part], k, floors[i])
-                            out.append((np.full(len(ids), name), ids, scores))
-                        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["query_id", "doc_id", "score"])
-
-            found = shards.where(turn).select("doc_ids", "lengths", "terms", "starts", "docs", "tfs").mapInArrow(visit, schema)
-            if ahead > 1 and turn is first_ones:
-                found = common.saved(found, "search-first")
-                kth = found.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).where(F.size("s") >= k).select("query_id", F.col("s")[k - 1].alias("floor")).toPandas()
-                floors = np.full(len(names), -np.inf)
-                floors[np.searchsorted(names, kth["query_id"].to_numpy(np.int64))] = kth["floor"].to_numpy(float)
-            parts.append(found)
-    found = functools.reduce(DataFrame.union, parts)
-    entry = F.struct((-F.col("score")).alias("s"), "doc_id")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("best")).select("query_id", F.posexplode("best").alias("at", "x"))
-    return best.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.doc_id").alias("doc_id"), (-F.col("x.s")).alias("score"))
+    ahead = max(1, round(stats["shards"] ** 0.5))
+    first_ones = F.pmod(F.xxhash64(F.input_file_name()), F.lit(ahead)) == 0
+    found = visited(shards.where(first_ones), *dealt(whole), chunks, mean, k)
+    if ahead > 1:
+        found = common.saved(found, "search-first")
+        kth = ranked(found, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+        raised = whole.join(kth, "query_id", "left").select("query_id", "terms", "weights", F.col("kth").alias("floor"))
+        found = found.union(visited(shards.where(~first_ones), *dealt(raised), chunks, mean, k))
+    return ranked(found, k)
 
 
 def similar(docs: DataFrame, asked: Column, k: int = 10, terms: int | None = TERMS) -> DataFrame:
@@ -251,4 +375,3 @@ def similar(docs: DataFrame, asked: Column, k: int = 10, terms: int | None = TER
     shards = index(docs)
     queries = common.saved(telling_terms(docs.where(asked), shards, terms), "search-queries")
     return search(shards, queries, k)
-

@@ -1,9 +1,12 @@
 import math
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from geomlake.llm import topk_search
@@ -62,17 +65,26 @@ def test_cases(spark):
     assert topk_search.similar(docs.limit(0), F.col("doc_id") % 50 == 0).count() == 0
 
 
-def test_blocks_are_skipped(spark, monkeypatch):
-    scored = []
+def test_documents_below_the_threshold_are_skipped(spark):
     docs = spark.createDataFrame([(i, f"common word{i % 7} rare{i // 40} " + "filler " * (i % 90)) for i in range(6000)], "doc_id long, text string")
-    row = topk_search.index(docs.coalesce(1)).first().asDict()
-    import numpy as np
-    import xxhash
-
-    terms = np.sort(np.array([xxhash.xxh3_64_intdigest(w) for w in ("common", "word3", "rare5")], np.uint64).view(np.int64))
-    shard = topk_search.Shard(row, terms, 40.0)
-    plain_bincount = np.bincount
-    monkeypatch.setattr(np, "bincount", lambda *a, **b: scored.append(len(a[0])) or plain_bincount(*a, **b))
-    ids, _ = shard.search(np.arange(3), np.array([1.0, 2.0, 8.0]) if terms[2] == np.uint64(xxhash.xxh3_64_intdigest("rare5")).view(np.int64) else np.ones(3), 3)
-    assert len(ids) == 3
-    assert sum(scored[2:]) < len(shard.doc)
+    shard = topk_search.Shard(topk_search.index(docs.coalesce(1)).first().asDict(), 40.0)
+    asked = {"common": 0.1, "word3": 2.0, "rare5": 8.0}
+    terms = sorted((xxhash.xxh3_64_intdigest(w) - (1 << 64 if xxhash.xxh3_64_intdigest(w) >> 63 else 0), v) for w, v in asked.items())
+    query = (np.array([t for t, _ in terms]), np.array([v for _, v in terms]), -np.inf)
+    ((_, ids, scores),) = shard.search([query], 3)
+    assert len(ids) == 3 and {i // 40 for i in ids.tolist()} == {5}
+    assert shard.read == 40 and shard.scored < 100
+    # With its last score as the floor the same are found, above the first none.
+    assert [i.tolist() for _, i, _ in shard.search([(*query[:2], scores[-1])], 3)] == [ids.tolist()]
+    assert sum(len(i) for _, i, _ in shard.search([(*query[:2], scores[0] + 1e-6)], 3)) == 0
+
+
+def test_hot_copies_and_scores_in_many_shards(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    texts = ["the same text of a third of all rows"] * 400 + [" ".join(rng.choices(words, k=rng.choice([1, 4, 30, 120]))) for _ in range(800)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    shards = topk_search.index(docs, 3000)
+    assert shards.count() > 8 and shards.agg(F.sum("n_docs")).first()[0] == 1200
+    same(topk_search.search(shards, topk_search.telling_terms(docs.where("doc_id % 10 = 0"), shards), 10), plain(docs.toPandas(), 10, None, 10))
