@@ -1,26 +1,32 @@
 """Near-duplicate classes by chosen-path set similarity join on word shingles.
 
 1. Every text becomes its set of word shingles (64-bit hashes); texts with equal sets are one
-   class, whose smallest doc_id stands for it. A class has a signature of minwise tokens.
-2. TREES independent trees branch the classes by minwise tokens: the first token by its full
-   value, further ones by a byte of it, for as long as a node holds more than LEAF classes. The
-   classes of a small node are compared with one another by their signatures, and those that may
-   reach the similarity (4.7 standard deviations of leeway) are joined in local stars.
+   class with a number of its own, and a row (smallest doc_id, then hash of the text) to read it by.
+   A class has a signature of minwise tokens.
+2. TREES independent trees branch the classes by minwise tokens: the first one whole, 64 bits,
+   deeper ones by a byte. Nodes above `node` classes branch before they meet in a task; in a task,
+   nodes above `leaf` branch further, the first TWICE times twice over, by two tokens. The classes of a
+   small node are compared with one another by their signatures, and those that may reach the
+   similarity (4.7 standard deviations of leeway) are joined in local stars.
 3. The stars' connected components are clusters: no two classes of different clusters were found
-   alike in any tree. A cluster's whole sets meet in one task, which tests pairs on them until
-   every two classes are either connected by links or tested. A cluster with more shingles than
+   alike in any tree. The whole sets of a small cluster meet in one task, which tests pairs on them
+   until every two classes are either connected by links or tested. A cluster with more shingles
+   than GRID is cut into blocks, and every two blocks meet in a task of their own; one with more than
    CLUSTER is branched further, over all trees, until its nodes fit.
 4. Components of the confirmed links give the result.
 
-A pair at the threshold with a node depth d is missed by all trees with probability
-(1 - 0.8 ** d) ** TREES: 1e-9 at a depth of 2, 6e-7 at 3, more in deeper nodes.
+A pair at the threshold stays together in a tree's first node with probability 0.8, in a branch with
+0.8 again, in one of two branches with 1 - (1 - 0.8) ** 2 = 0.96. missed() gives the odds that no tree
+keeps it together: 1e-14 in first nodes, 9e-13 after four branches in a task, 5e-9 where a first node
+of over `node` classes branched once before, 1e-6 where twice.
 
 No pair list is made: tasks give at most one link for each class and tree, and a task tests only
 pairs that are not connected yet. Exact copies collapse by a map-side aggregation before.
 
 Cases: a null text, or one without words, has an empty set and is linked with nothing; with fewer
-words than a shingle has, all words are one shingle; rows that share a doc_id are compared each
-and keep that id; a null doc_id is linked with nothing, has a null component and is kept; an empty
+words than a shingle has, all words are one shingle; rows that share a doc_id are compared each,
+by their texts, and keep that id, and a component's id is the smallest doc_id in it, whatever rows
+elsewhere share it; a null doc_id is linked with nothing, has a null component and is kept; an empty
 table gives no row; extra columns are ignored; texts are used whole.
 """
 
@@ -39,8 +45,8 @@ from geomlake.llm import common
 from geomlake.llm.components import components
 
 TREES, TOKENS, MATCHES, LEAF = 20, 64, 36, 1024
-#: Most classes of a node, and shingles of a cluster, in one task.
-NODE, CLUSTER = 100_000, 8_000_000
+#: Most classes of a node in one task; shingles of a block, of a cluster that is cut into blocks; blocks of a cluster.
+NODE, GRID, CLUSTER, BLOCKS = 100_000, 50_000, 8_000_000, 24
 _ODD = np.random.default_rng(77).integers(1 << 20, 1 << 32, TOKENS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -72,26 +78,32 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The minwise tokens of a set."""
-    low = np.full(TOKENS, 0xFFFFFFFF, np.uint32)
+def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The minwise tokens of a set: those that open the trees, whole, and the low bytes of all."""
+    low, at = np.full(TOKENS, 0xFFFFFFFF, np.uint32), np.zeros(TREES, np.int64)
     x = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
     for start in range(0, len(x), 1 << 14):
-        np.minimum(low, (x[None, start : start + (1 << 14)] * _ODD[:, None]).min(axis=1), out=low)
-    return low
+        part = x[None, start : start + (1 << 14)] * _ODD[:, None]
+        least = part.min(axis=1)
+        for t in np.flatnonzero(least[:TREES] < low[:TREES]).tolist() if start else range(TREES):
+            at[t] = start + part[t].argmin()
+        np.minimum(low, least, out=low)
+    return shingles[at], low.astype(np.uint8)
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, key (equal for equal sets), tokens; stored."""
+    """doc_id, mark (hash of the text), n_shingles, key (equal for equal sets), first (tokens), sig; stored."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             sets = shingle_sets(batch.column(1), k)
             keys = [xxhash.xxh3_128_digest(s) if len(s) else None for s in sets]
-            tokens = [signature(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "n_shingles", "key", "tokens"])
+            tokens = [tuple(x.tobytes() for x in signature(s)) if len(s) else (None, None) for s in sets]
+            columns = [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), *(pa.array(x, pa.binary()) for x in zip(*tokens, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n_shingles", "key", "first", "sig"])
 
-    return common.saved(common.texts(docs).mapInArrow(sketch, "doc_id long, n_shingles long, key binary, tokens binary"), "sketches")
+    rows = common.texts(docs, F.xxhash64("text").alias("mark"))
+    return common.saved(rows.mapInArrow(sketch, "doc_id long, mark long, n_shingles long, key binary, first binary, sig binary"), "sketches")
 
 
 class Links:
@@ -126,11 +138,12 @@ class Links:
         return self.top
 
 
-def visited(rows: np.ndarray, reps: np.ndarray, tokens: np.ndarray, n: np.ndarray, tree: int, similarity: float, depth: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Stars (a, b) of a node's rows, ordered by rep, that may be alike.
+def visited(rows: np.ndarray, ids: np.ndarray, tokens: np.ndarray, n: np.ndarray, tree: int, similarity: float, leaf: int = LEAF, depth: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Stars (a, b) of a node's rows, ordered by id, that may be alike, and the depth that they were found at.
 
     A few spread pivots connect what is alike on the whole. If the pairs that then remain are no
-    more than those of a small node, they are all compared; else the node branches by the next token.
+    more than those of a small node, they are all compared; else the node branches by the next token,
+    up to a depth of TWICE by each of two.
     """
     sig, size = tokens[rows], n[rows]
 
@@ -139,25 +152,37 @@ def visited(rows: np.ndarray, reps: np.ndarray, tokens: np.ndarray, n: np.ndarra
         near[near] = (sig[others[near]] == sig[p]).sum(axis=1) >= MATCHES
         return near
 
-    links = Links(reps[rows], alike)
-    if len(rows) > LEAF:
+    links = Links(ids[rows], alike)
+    if len(rows) > leaf:
         for p in range(0, len(rows), -(-len(rows) // 8)):
             links.test(p)
-    whole = len(links.waiting()) * len(rows) <= LEAF * LEAF or depth >= TOKENS
+    whole = len(links.waiting()) * len(rows) <= leaf * leaf or depth > DEPTHS
     top = links.finish() if whole else links.top
     tied = top != np.arange(len(rows))
-    yield reps[rows[tied]], reps[rows[top[tied]]]
-    if not whole:
-        byte = tokens[rows, coordinate(tree, depth)]
+    yield ids[rows[tied]], ids[rows[top[tied]]], depth
+    for way in () if whole else range(2 if depth <= TWICE else 1):
+        byte = tokens[rows, coordinate(tree, depth, way)]
         order = np.argsort(byte, kind="stable")
         for part in np.split(rows[order], np.flatnonzero(np.diff(byte[order])) + 1):
             if len(part) > 1:
-                yield from visited(part, reps, tokens, n, tree, similarity, depth + 1)
+                yield from visited(part, ids, tokens, n, tree, similarity, leaf, depth + 1)
 
 
-def coordinate(tree: int, depth: int) -> int:
-    """The token by which a tree branches at a depth: an odd step reaches all."""
-    return (tree + depth * (2 * tree + 1)) % TOKENS
+#: Depths that have two tokens of their own; depths that branch by both. Branching before a task takes tokens from the deep end.
+DEPTHS, TWICE = (TOKENS - 1) // 2, 4
+
+
+def coordinate(tree: int, depth: int, way: int = 0) -> int:
+    """The token by which a tree branches at a depth, in one of two ways: an odd step reaches all."""
+    return (tree + max(0, 2 * depth - 1 + way) * (2 * tree + 1)) % TOKENS
+
+
+def missed(depth: int, before: int = 0, similarity: float = 0.8, trees: int = TREES) -> float:
+    """The odds that no tree keeps a pair together, after so many branches in a task and before it."""
+    together = 1.0
+    for at in range(depth, 0, -1):
+        together = 1 - (1 - similarity * together) ** 2 if at <= TWICE else similarity * together
+    return (1 - similarity ** (before + 1) * together) ** trees
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -179,7 +204,7 @@ def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
 
 
 def branched(classes: DataFrame, start: list[str]) -> DataFrame:
-    """A row for each class (rep, n_shingles, tokens and the columns of start) and tree: tree, node, rep, n, sig.
+    """A row for each class (cid, n_shingles, first, sig and the columns of start) and tree: tree, node, cid, n, sig.
 
     The first node is the tree's first token, or start's columns where given.
     """
@@ -187,14 +212,13 @@ def branched(classes: DataFrame, start: list[str]) -> DataFrame:
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            full = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(n, TOKENS)
-            sig = pa.array([r.tobytes() for r in full.astype(np.uint8)], pa.binary())
-            above = batch.column(3).to_numpy().astype(np.uint64) if start else None
+            first = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(n, TREES)
+            above = batch.column(4).to_numpy().view(np.uint64) if start else None
             for t in range(TREES):
-                node = mixed((above if start else full[:, coordinate(t, 0)].astype(np.uint64)) * M1 + np.uint64(t + 1)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(node), batch.column(0), batch.column(1), sig], ["tree", "node", "rep", "n", "sig"])
+                node = mixed((above if start else first[:, t]) * M1 + np.uint64(t + 1)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(node), batch.column(0), batch.column(1), batch.column(3)], ["tree", "node", "cid", "n", "sig"])
 
-    return classes.select("rep", "n_shingles", "tokens", *start).mapInArrow(branch, "tree int, node long, rep long, n long, sig binary")
+    return classes.select("cid", "n_shingles", "first", "sig", *start).mapInArrow(branch, "tree int, node long, cid long, n long, sig binary")
 
 
 def bounded(rows: DataFrame, weight, most: int) -> DataFrame:
@@ -202,52 +226,64 @@ def bounded(rows: DataFrame, weight, most: int) -> DataFrame:
 
     The rows are made anew for each look at their weights: that is cheaper than to move them.
     """
-    for depth in range(1, TOKENS):
+    for depth in range(1, DEPTHS):
         heavy = common.saved(rows.groupBy("node").agg(F.sum(weight).alias("weight")).where(F.col("weight") > most).select("node"), "heavy")
         if heavy.isEmpty():
             break
-        place = F.element_at(F.array(*[F.lit(coordinate(t, depth)) for t in range(TREES)]), F.col("tree") + 1)
+        place = F.element_at(F.array(*[F.lit(coordinate(t, DEPTHS + 1 - depth)) for t in range(TREES)]), F.col("tree") + 1)
         deeper = F.xxhash64("node", F.col("sig").substr(place + 1, F.lit(1)), F.lit(depth))
         marked = rows.join(small(heavy.withColumn("heavy", F.lit(True))), "node", "left")
-        rows = marked.select("tree", F.when(F.col("heavy"), deeper).otherwise(F.col("node")).alias("node"), "rep", "n", "sig")
+        rows = marked.select("tree", F.when(F.col("heavy"), deeper).otherwise(F.col("node")).alias("node"), "cid", "n", "sig")
     return rows
 
 
-def starred(rows: DataFrame, similarity: float) -> DataFrame:
-    """Local stars (a, b) of classes that may be alike, from every small node of every tree."""
+def starred(rows: DataFrame, similarity: float, leaf: int = LEAF) -> DataFrame:
+    """Local stars (a, b) of classes that may be alike, from every small node of every tree, with their depth."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b", "depth"])
+
         for node in runs(batches, "node"):
-            reps, n = node["rep"].to_numpy(), node["n"].to_numpy()
+            ids, n = node["cid"].to_numpy(), node["n"].to_numpy()
             tokens = np.frombuffer(b"".join(node["sig"].to_pylist()), np.uint8).reshape(-1, TOKENS)
-            for x, y in visited(np.argsort(reps, kind="stable"), reps, tokens, n, node["tree"][0].as_py(), similarity):
-                a.append(x)
-                b.append(y)
-            if len(a) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            for a, b, depth in visited(np.argsort(ids, kind="stable"), ids, tokens, n, node["tree"][0].as_py(), similarity, leaf):
+                if len(a):
+                    found.append((a, b, np.full(len(a), depth, np.int32)))
+                    held += len(a)
+            if held > 100_000 or len(found) > 5000:
+                yield out()
+                found, held = [], 0
+        if found:
+            yield out()
 
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "a long, b long").distinct()
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "a long, b long, depth int").groupBy("a", "b").agg(F.max("depth").alias("depth"))
 
 
-def confirmed(groups: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) on whole sets inside groups (rep, grp, label): a star for each component of a group.
+def confirmed(groups: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) on whole sets inside groups (cid, grp, label): a star for each component of a group.
 
-    Rows of one label are known to be connected.
+    Rows of one label are known to be connected. A class is read by its row's doc_id and mark.
     """
 
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            new = []
+            for i, at in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if at not in seen:
+                    seen.add(at)
+                    new.append(i)
+            yield batch.take(pa.array(new, pa.int64()))
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, "grp"):
-            first, label = {}, {}
-            for i, (rep, known) in enumerate(zip(group["rep"].to_pylist(), group["label"].to_pylist(), strict=True)):
-                first.setdefault(rep, i)
-                label[rep] = known
-            reps = np.array(sorted(first))
+            cids, first = np.unique(group["cid"].to_numpy(), return_index=True)
             sets = []
-            for part in common.slices(group.take(pa.array([first[r] for r in reps.tolist()])).combine_chunks().to_batches()):
+            for part in common.slices(group.take(pa.array(first)).combine_chunks().to_batches()):
                 sets += shingle_sets(part.column(part.schema.get_field_index("text")), k)
             size = np.array([len(s) for s in sets])
             flat, place = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])
@@ -263,62 +299,104 @@ def confirmed(groups: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
                     near &= 100 * both >= percent * (len(own) + size[others] - both)
                 return near
 
-            top = Links(np.array([label[r] for r in reps.tolist()]), alike).finish()
-            tied = np.flatnonzero(top != np.arange(len(reps)))
+            top = Links(group["label"].to_numpy()[first], alike).finish()
+            tied = np.flatnonzero(top != np.arange(len(cids)))
             if len(tied):
-                yield pa.RecordBatch.from_arrays([pa.array(reps[tied]), pa.array(reps[top[tied]])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(cids[tied]), pa.array(cids[top[tied]])], ["a", "b"])
 
-    held = common.texts(docs).join(small(groups), F.col("doc_id") == F.col("rep")).select("grp", "rep", "label", "text")
-    return held.repartition("grp").sortWithinPartitions("grp").mapInArrow(confirm, "a long, b long")
+    asked = common.saved(groups.join(classes.select("cid", "rep", "mark"), "cid"), "asked")
+    rows = common.texts(docs, F.xxhash64("text").alias("mark"))
+    held = rows.join(small(asked), (F.col("doc_id") == F.col("rep")) & (rows["mark"] == asked["mark"])).select("cid", "grp", "label", "text")
+    return held.mapInArrow(once, held.schema).repartition("grp").sortWithinPartitions("grp").mapInArrow(confirm, "a long, b long")
 
 
 def small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Marks a stored table of two longs for broadcast if it is counted to have few rows."""
+    """Marks a stored table of a few longs for broadcast if it is counted to have few rows."""
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
-def split(heavy: DataFrame, docs: DataFrame, k: int, percent: int, most: int) -> DataFrame:
-    """Links (a, b) of clusters (rep, grp, n_shingles, tokens) that are too large for one task.
+def gridded(weights: DataFrame, most: int, block: int = GRID) -> DataFrame:
+    """Groups (cid, grp, label) of clusters (cid, grp, n_shingles) up to `most` shingles: whole, or every two blocks."""
+    totals = weights.groupBy("grp").agg(F.sum("n_shingles").alias("w")).where(F.col("w") <= most)
+    n = F.least(F.lit(BLOCKS), F.ceil(F.col("w") / block)).cast("int")
+    rows = weights.join(totals, "grp").select("cid", "grp", n.alias("n"), F.pmod(F.xxhash64("cid"), n).alias("own"))
+    # Two blocks make one cell, as one block does.
+    cells = F.when(F.col("n") <= 2, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("n") - 1), F.array("own")))
+    met = rows.select("cid", "grp", "n", "own", F.explode(cells).alias("other"))
+    cell = F.when(F.col("n") <= 2, F.col("grp")).otherwise(F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")))
+    return met.select("cid", cell.alias("grp"), F.col("cid").alias("label"))
+
+
+def split(heavy: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, most: int) -> DataFrame:
+    """Links (a, b) of clusters (cid, grp, n_shingles, first, sig) that are too large for blocks.
 
     They are branched further over all trees, which connects nearly all of a cluster. Any link
     that this can miss has an end outside the cluster's largest component: those members are then
     tested, chunk by chunk, against all chunks of their cluster, so that no pair is left out.
     """
-    held = common.saved(heavy.select("rep", "grp", "n_shingles", "tokens"), "heavy")
-    nodes = common.saved(bounded(branched(held, ["grp"]), F.col("n"), most).select("rep", F.col("node").alias("grp"), F.col("rep").alias("label")), "groups")
-    found = common.saved(confirmed(nodes, docs, k, percent), "links")
-    named = common.saved(held.join(components(found).toDF("rep", "label"), "rep", "left").select("rep", "grp", "n_shingles", F.coalesce("label", "rep").alias("label")), "named")
+    held = common.saved(heavy.select("cid", "grp", "n_shingles", "first", "sig"), "heavy")
+    nodes = common.saved(bounded(branched(held, ["grp"]), F.col("n"), most).select("cid", F.col("node").alias("grp"), F.col("cid").alias("label")).distinct(), "groups")
+    found = common.saved(confirmed(nodes, classes, docs, k, percent), "links")
+    named = common.saved(held.join(components(found).toDF("cid", "label"), "cid", "left").select("cid", "grp", "n_shingles", F.coalesce("label", "cid").alias("label")), "named")
     sizes = named.groupBy("grp", "label").agg(F.sum("n_shingles").alias("w"))
     totals = sizes.groupBy("grp").agg(F.sum("w").alias("all"), F.max_by("label", F.struct("w", "label")).alias("largest"), F.max("w").alias("top"))
     chunks = lambda w: F.ceil(2 * w / most).cast("int")
-    rows = named.join(totals, "grp").withColumns({"rest": F.when(F.col("all") > F.col("top"), chunks(F.col("all") - F.col("top"))).otherwise(0), "whole": chunks(F.col("all")), "mix": F.xxhash64("rep")})
+    rows = named.join(totals, "grp").withColumns({"rest": F.when(F.col("all") > F.col("top"), chunks(F.col("all") - F.col("top"))).otherwise(0), "whole": chunks(F.col("all")), "mix": F.xxhash64("cid")})
     rows = rows.where("rest > 0")
-    met = rows.select("rep", "label", "grp", F.pmod("mix", "whole").alias("m"), F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("r"))
-    outside = rows.where("label <> largest").select("rep", "label", "grp", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("m"), F.pmod("mix", "rest").alias("r"))
-    pairs = common.saved(met.union(outside.select(met.columns)).select("rep", F.xxhash64("grp", "m", "r").alias("grp"), "label").distinct(), "chunks")
-    return found.union(confirmed(pairs, docs, k, percent))
+    met = rows.select("cid", "label", "grp", F.pmod("mix", "whole").alias("m"), F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("r"))
+    outside = rows.where("label <> largest").select("cid", "label", "grp", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("m"), F.pmod("mix", "rest").alias("r"))
+    pairs = common.saved(met.union(outside.select(met.columns)).select("cid", F.xxhash64("grp", "m", "r").alias("grp"), "label").distinct(), "chunks")
+    return found.union(confirmed(pairs, classes, docs, k, percent))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, cluster: int = CLUSTER) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+def labelled(docs: DataFrame, k: int = 5, percent: int = 80, cluster: int = CLUSTER, node: int = NODE, leaf: int = LEAF, grid: int = GRID) -> DataFrame:
+    """Per row of docs: doc_id, mark (hash of the text), n_shingles, label (of its component), component_id."""
     sketched = sketches(docs, k)
     usable = sketched.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = common.saved(usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")), "classes")
-    stars = starred(bounded(branched(classes, []), F.lit(1), NODE), percent / 100)
-    clusters = components(stars).toDF("rep", "grp")
-    weights = clusters.join(classes.select("rep", "n_shingles", "tokens"), "rep")
+    classes = usable.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("first").alias("first"), F.first("sig").alias("sig"))
+    classes = common.saved(classes.select(F.monotonically_increasing_id().alias("cid"), "key", F.col("row.doc_id").alias("rep"), F.col("row.mark").alias("mark"), "n_shingles", "first", "sig"), "classes")
+    stars = starred(bounded(branched(classes, []), F.lit(1), node), percent / 100, leaf)
+    weights = common.saved(components(stars).toDF("cid", "grp").join(classes.select("cid", "n_shingles", "first", "sig"), "cid"), "clusters")
     heavy = weights.groupBy("grp").agg(F.sum("n_shingles").alias("w")).where(F.col("w") > cluster).select("grp")
-    own = F.col("rep").alias("label")
-    if heavy.isEmpty():
-        links = confirmed(clusters.select("rep", "grp", own), docs, k, percent)
-    else:
-        light = confirmed(clusters.join(heavy, "grp", "left_anti").select("rep", "grp", own), docs, k, percent)
-        links = light.union(split(weights.join(heavy, "grp", "left_semi"), docs, k, percent, cluster))
-    links = components(links).toDF("rep", "label")
-    named = classes.select("key", "rep").join(links, "rep", "left").select("key", F.coalesce("label", "rep").alias("label"))
-    out = sketched.select("doc_id", "n_shingles", "key").join(named, "key", "left")
-    label = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    return out.select("doc_id", "n_shingles", label.alias("component_id"), F.coalesce(F.col("doc_id") == label, F.lit(True)).alias("kept"))
+    links = confirmed(gridded(weights, cluster, min(grid, cluster)), classes, docs, k, percent)
+    if not heavy.isEmpty():
+        links = links.union(split(weights.join(heavy, "grp", "left_semi"), classes, docs, k, percent, cluster))
+    linked = components(links).toDF("cid", "label").join(classes.select("cid", "rep"), "cid")
+    lowest = linked.groupBy("label").agg(F.min("rep").alias("low"))
+    linked = linked.select("cid", "label").join(lowest, "label")
+    named = classes.select("key", "cid", "rep").join(linked, "cid", "left").select("key", F.coalesce("label", "cid").alias("label"), F.coalesce("low", "rep").alias("low"))
+    out = sketched.select("doc_id", "mark", "n_shingles", "key").join(named, "key", "left")
+    own = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "mark", "n_shingles", F.when(own, F.col("label")).alias("label"), F.when(own, F.coalesce("low", "doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, **more: int) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return labelled(docs, k, percent, **more).select("doc_id", "n_shingles", "component_id", kept)
+
+
+def one_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component, the row with the smallest doc_id, then mark.
+
+    Rows stay or go by what they hold, never by doc_id alone: other components' rows that share the id
+    stay. Of rows that are equal in doc_id and text, one stays, that with the smallest hash of its
+    other plain columns. Rows without words or doc_id stay.
+    """
+    rows = labelled(docs, k, percent).where("label IS NOT NULL").groupBy("label", "doc_id", "mark").agg(F.count("*").alias("n"))
+    rows = common.saved(rows, "components")
+    first = rows.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    marked = rows.join(first, "label").select("doc_id", "mark", "n", (F.struct("doc_id", "mark") == F.col("first")).alias("stays"))
+    gone = common.saved(marked.where("NOT stays").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct(), "gone")
+    twice = common.saved(marked.where("stays AND n > 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")), "twice")
+    here = lambda other: (docs["doc_id"].cast("long") == other["_id"]) & (F.xxhash64(docs["text"]) == other["_mark"])
+    kept = docs.join(small(gone), here(gone), "left_anti")
+    if twice.isEmpty():
+        return kept
+    plain = [F.col(c) for c, kind in docs.dtypes if "<" not in kind]
+    equal = kept.join(small(twice), here(twice), "left_semi").groupBy(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_mark"))
+    one = equal.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("row")).select("row.*")
+    return kept.join(small(twice), here(twice), "left_anti").union(one)
 
 
 def oracle(percent: int = 80) -> str:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from geomlake.llm import near_dups
@@ -79,12 +80,60 @@ def test_empty_and_unlinked(spark):
     assert sorted(tuple(r) for r in got) == [(1, 1, 1, True), (2, 0, 2, True)]
 
 
-def test_big_nodes_branch(spark, monkeypatch):
-    monkeypatch.setattr(near_dups, "NODE", 20)
-    monkeypatch.setattr(near_dups, "LEAF", 8)
-    rows = corpus()[:60]
-    got = sorted((tuple(r) for r in near_dups.near_duplicates(frame(spark, rows), 2).collect()), key=str)
-    assert len(got) == len(rows)
+@pytest.mark.parametrize(("node", "leaf", "grid"), [(20, 8, 50_000), (near_dups.NODE, 4, 300), (8, 2, 1000)])
+def test_big_nodes_branch_and_large_clusters_are_cut(spark, node, leaf, grid):
+    rows = corpus()
+    got = sorted((tuple(r) for r in near_dups.near_duplicates(frame(spark, rows), 2, node=node, leaf=leaf, grid=grid).collect()), key=str)
+    assert got == brute(rows, 2)
+
+
+def test_recall_by_depth():
+    """Pairs at the threshold among many other sets that share a frequent first token, by one tree and the depth reached."""
+    rng = np.random.default_rng(4)
+    found, depths = [], []
+    for trial in range(60):
+        shared = rng.integers(0, 256, 64, dtype=np.uint8)
+        tokens = rng.integers(0, 256, (600, 64), dtype=np.uint8)
+        common = rng.random((600, 64)) < 0.5
+        tokens[common] = np.broadcast_to(shared, tokens.shape)[common]
+        tokens[0] = tokens[599]
+        changed = rng.random(64) < 0.2
+        tokens[0, changed] = rng.integers(0, 256, changed.sum())
+        stars = list(near_dups.visited(np.arange(600), np.arange(600), tokens, np.full(600, 100), trial % near_dups.TREES, 0.8, leaf=4))
+        depths.append(max(d for *_, d in stars))
+        top = list(range(600))
+        for a, b, _ in stars:
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                low, high = sorted((top[x], top[y]))
+                top = [low if t == high else t for t in top]
+        found.append(top[0] == top[599])
+    deep = max(depths)
+    # One tree, the first node given: its own 0.8 is not part of the odds.
+    assert deep >= 3 and np.mean(found) > 1 - near_dups.missed(deep - 1, before=-1, trees=1) - 0.1
+    assert near_dups.missed(0) < 1.1e-14 and near_dups.missed(4) < 1e-12 and near_dups.missed(1, before=1) < 6e-9
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rows_that_share_an_id_are_compared_by_their_texts(spark, seed):
+    rng = random.Random(1)
+    a, b, c = (" ".join(rng.choices([f"w{i}" for i in range(300)], k=80)) for _ in range(3))
+    rows = [(5, a), (5, b), (9, b + " z"), (3, a + " y"), (5, c), (5, c), (7, c), (2, a + " x y"), (9, "other words that stand alone here")]
+    random.Random(seed).shuffle(rows)
+    docs = frame(spark, rows).repartition(3)
+    got = sorted((tuple(r) for r in near_dups.near_duplicates(docs, 2).collect()), key=str)
+    assert got == brute(rows, 2)
+    kept = sorted((r["doc_id"], r["text"]) for r in near_dups.one_each(docs, 2).collect())
+    assert kept == sorted([(2, a + " x y"), (5, b), (5, c), (9, "other words that stand alone here")])
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = corpus()
+    docs = frame(spark, rows)
+    kept = near_dups.one_each(docs, 5)
+    assert kept.columns == docs.columns
+    smallest = sorted({(d, n > 0) for d, n, c, k in brute(rows, 5) if k and d is not None})
+    got = sorted((r["doc_id"], bool((r["text"] or "").strip())) for r in kept.collect() if r["doc_id"] is not None)
+    assert got == smallest
 
 
 def test_components_of_a_path(spark):
