@@ -6,13 +6,15 @@ its trigrams' vectors, and so is a language, over all its learning texts, each t
 weight. A text gets the language whose vector, less the mean of all languages' vectors, has the
 largest cosine with the text's, less that same mean.
 
-Letters are lower-cased; runs of other characters count as one gap. Learning adds up integer
-weights of trigrams, so it gives the same profiles however the rows are dealt out. What reaches
-the driver is bounded by languages times the trigrams of SYMBOLS symbols, not by rows.
-
-Cases: a null text, or one without letters, is `und` with score 0; rows without a language teach
-nothing, and where no row teaches, all are `und`; a text is used whole; ties go to the smaller
-language name; a null doc_id is kept; an empty table gives no row; extra columns are ignored.
+Letters are lower-cased; runs of other characters count as one gap, marks belong to their letters.
+The letters a to z and those of Latin-1 have symbols of their own, all others share 960. Learning
+adds up the texts' vectors as whole numbers, in steps of 2 ** -24 of a text's weight, so it gives the
+same profiles however the rows are dealt out. WIDTH numbers a language reach the driver.
+
+Cases: a null text, or one without letters (marks alone are none), is `und` with score 0; rows
+without a language teach nothing, and where no row teaches, all are `und`; a text is used whole, however
+long; ties go to the smaller language name; a null doc_id is kept; repeated rows teach and are
+scored each; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,30 +31,43 @@ from pyspark.sql import functions as F
 
 from geomlake.llm import common
 
-SYMBOLS, WIDTH, UND, WEIGHT = 64, 512, "und", 1_000_000
+SYMBOLS, WIDTH, UND, WEIGHT = 1024, 512, "und", 1 << 24
+#: Symbols whose trigrams a worker keeps the vectors of: gap, a to z, Latin-1.
+KEPT = 64
 #: Texts scored together: bounds the dense block of trigram counts.
 BLOCK = 96
 _PLACE: list[np.ndarray] = []
 
 
+#: Set beside the symbol of letters, not of marks.
+LETTER = 1 << 15
+
+
+def symbol(c: str) -> int:
+    """0 for a gap, 1 to 26 for a to z, 27 to 59 for Latin-1, the rest shared by other letters and marks."""
+    if unicodedata.category(c)[0] not in "LM":
+        return 0
+    low = c.lower()[0]
+    if "a" <= low <= "z":
+        return ord(low) - 96
+    return ord(low) - 0xDF + 27 if 0xDF <= ord(low) <= 0xFF else KEPT + zlib.crc32(low.encode("utf-8", "surrogatepass")) % (SYMBOLS - KEPT)
+
+
 def symbol_table() -> np.ndarray:
-    """Symbol of each code point: 0 for a gap, 1 to 26 for a to z, the rest shared by other letters."""
+    """Symbol of each code point, with LETTER where it is one."""
     if not _PLACE:
-        out = np.zeros(0x110000, np.uint8)
-        for cp in range(0x110000):
-            if unicodedata.category(c := chr(cp))[0] in "LM":
-                low = c.lower()[0]
-                out[cp] = ord(low) - 96 if "a" <= low <= "z" else 27 + zlib.crc32(low.encode("utf-8", "surrogatepass")) % (SYMBOLS - 27)
-        _PLACE.append(out)
+        _PLACE.append(np.array([symbol(c) | (LETTER if unicodedata.category(c)[0] == "L" else 0) for c in map(chr, range(0x110000))], np.uint16))
     return _PLACE[0]
 
 
 def trigrams(text: str) -> np.ndarray:
     """Trigram codes of a whole text; none if it has no letters."""
     s = symbol_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
-    s = np.concatenate([[0], s, [0]]).astype(np.int32)
+    if not (s & LETTER).any():
+        return np.zeros(0, np.int32)
+    s = np.concatenate([[0], s & (LETTER - 1), [0]]).astype(np.int32)
     s = s[np.concatenate([[True], (s[1:] > 0) | (s[:-1] > 0)])]
-    return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:] if len(s) > 2 else np.zeros(0, np.int32)
+    return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
 
 
 def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,28 +79,35 @@ def letters(width: int) -> np.ndarray:
     return np.random.default_rng(20240501).choice(np.array([-1, 1], np.int8), (SYMBOLS, width))
 
 
-def bound(codes: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """The vectors of trigrams, one row each."""
-    base = letters(width)
+def bound(codes: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """The vectors of trigrams, one row each, from those of the symbols."""
     first, second = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1)
     return first[codes // SYMBOLS**2] * second[codes // SYMBOLS % SYMBOLS] * base[codes % SYMBOLS]
 
 
 class TrigramVectors:
-    """The vectors of the trigrams seen so far by this worker, made once each."""
+    """The vectors of trigrams; those of KEPT symbols that were seen by this worker are made once each."""
 
     def __init__(self, width: int = WIDTH):
-        self.width, self.row, self.made, self.n = width, np.full(SYMBOLS**3, -1, np.int32), np.zeros((4096, width), np.float32), 0
+        self.base, self.row, self.made, self.n = letters(width), np.full(KEPT**3, -1, np.int32), np.zeros((4096, width), np.int8), 0
 
     def rows(self, codes: np.ndarray) -> np.ndarray:
-        new = codes[self.row[codes] < 0]
+        x, y, z = codes // SYMBOLS**2, codes // SYMBOLS % SYMBOLS, codes % SYMBOLS
+        kept = np.maximum(np.maximum(x, y), z) < KEPT
+        place = ((x * KEPT + y) * KEPT + z)[kept]
+        fresh = self.row[place] < 0
+        new = codes[kept][fresh]
         if len(new):
             while self.n + len(new) > len(self.made):
                 self.made = np.concatenate([self.made, np.zeros_like(self.made)])
-            self.row[new] = np.arange(self.n, self.n + len(new))
-            self.made[self.n : self.n + len(new)] = bound(new, self.width)
+            self.row[place[fresh]] = np.arange(self.n, self.n + len(new))
+            self.made[self.n : self.n + len(new)] = bound(new, self.base)
             self.n += len(new)
-        return self.made[self.row[codes]]
+        out = np.empty((len(codes), self.base.shape[1]), np.float32)
+        out[kept] = self.made[self.row[place]]
+        if not kept.all():
+            out[~kept] = bound(codes[~kept], self.base)
+        return out
 
 
 _ROWS: dict[int, TrigramVectors] = {}
@@ -100,39 +122,51 @@ def profiles(docs: DataFrame, width: int = WIDTH) -> tuple[list[str], np.ndarray
     """Languages, sorted, and their bundled vectors, from the rows (text, lang) that both have."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _ROWS.setdefault(width, TrigramVectors(width))
         sums: dict[str, np.ndarray] = {}
         for batch in common.slices(batches):
-            for text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                codes, n = counted(trigrams(text))
-                if len(codes):
-                    sums.setdefault(lang, np.zeros(SYMBOLS**3, np.int64))[codes] += n * WEIGHT // n.sum()
-        for lang, weights in sums.items():
-            codes = np.flatnonzero(weights)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int32)), pa.array(weights[codes])], ["lang", "code", "weight"])
+            langs = batch.column(1).to_pylist()
+            for start, sizes, bundle, total in sums_of(batch.column(0).to_pylist(), cache):
+                whole = np.rint(bundle * (WEIGHT / np.maximum(total, 1))[:, None]).astype(np.int64)
+                for i in np.flatnonzero(sizes).tolist():
+                    own = sums.setdefault(langs[start + i], np.zeros(width, np.int64))
+                    own += whole[i]
+        for lang, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * width, pa.string()), pa.array(np.arange(width, dtype=np.int32)), pa.array(own)], ["lang", "at", "sum"])
 
     learnt = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    sums = learnt.mapInArrow(tally, "lang string, code int, weight long").groupBy("lang", "code").agg(F.sum("weight").alias("weight")).toPandas()
+    sums = learnt.mapInArrow(tally, "lang string, at int, sum long").groupBy("lang", "at").agg(F.sum("sum").alias("sum")).toPandas()
     names = sorted(sums["lang"].unique())
     out = np.zeros((len(names), width))
     for k, name in enumerate(names):
-        part = sums[sums["lang"] == name].sort_values("code")
-        out[k] = part["weight"].to_numpy(float) @ bound(part["code"].to_numpy(), width)
+        out[k] = sums[sums["lang"] == name].sort_values("at")["sum"].to_numpy(float)
     return names, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def bundles(texts: list[str | None], cache: TrigramVectors) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """By blocks of texts: where the block starts, each text's number of different trigrams, its vector."""
+def sums_of(texts: list[str | None], cache: TrigramVectors) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By blocks of texts: where the block starts, each text's number of different trigrams, its sum of vectors, its number of trigrams."""
     for start in range(0, len(texts), BLOCK):
         grams = [counted(trigrams(t)) if t else (np.zeros(0, np.int32),) * 2 for t in texts[start : start + BLOCK]]
         sizes = np.array([len(c) for c, _ in grams])
         if not sizes.any():
             continue
         union = np.unique(np.concatenate([c for c, _ in grams]))
-        block = np.zeros((len(grams), len(union)), np.float32)
-        for i, (codes, n) in enumerate(grams):
-            block[i, np.searchsorted(union, codes)] = n
-        bundle = block @ cache.rows(union)
-        yield start, sizes, bundle / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-12)
+        bundle = np.zeros((len(grams), cache.base.shape[1]))
+        # Whole numbers: single precision is exact below 2 ** 24, and no block is wide.
+        for a in range(0, len(union), 8192):
+            part = union[a : a + 8192]
+            block = np.zeros((len(grams), len(part)), np.float32)
+            for i, (codes, n) in enumerate(grams):
+                low, high = np.searchsorted(codes, [part[0], part[-1] + 1])
+                block[i, np.searchsorted(part, codes[low:high])] = n[low:high]
+            bundle += block @ cache.rows(part)
+        yield start, sizes, bundle, np.array([n.sum() for _, n in grams])
+
+
+def bundles(texts: list[str | None], cache: TrigramVectors) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By blocks of texts: where the block starts, each text's number of different trigrams, its unit vector."""
+    for start, sizes, bundle, _ in sums_of(texts, cache):
+        yield start, sizes, (bundle / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
 def score_texts(texts: list[str | None], names: list[str], vectors: np.ndarray, cache: TrigramVectors) -> tuple[list[str], list[float]]:
