@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from geomlake.llm import common
 
-SYMBOLS, WIDTH, UND, WEIGHT = 1024, 512, "und", 1 << 24
+SYMBOLS, WIDTH, UND, WEIGHT = 1024, 1024, "und", 1 << 24
 #: Symbols whose trigrams a worker keeps the vectors of: gap, a to z, Latin-1.
 KEPT = 64
 #: Texts scored together: bounds the dense block of trigram counts.
