@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
@@ -22,12 +22,6 @@ def ordinal_rank(value: str, *groups: str, ties: tuple[str, ...]) -> Column:
     return F.row_number().over(Window.partitionBy(*groups).orderBy(value, *ties)) - 1
 
 
-def spearman(df: DataFrame, a: str, b: str, *groups: str) -> DataFrame:
-    """groups, n and rho of the Spearman correlation of a and b inside each group."""
-    ranked = df.withColumns({"_ra": average_rank(a, *groups), "_rb": average_rank(b, *groups)})
-    return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("rho"))
-
-
 def partial(xy: Column, xz: Column, yz: Column) -> Column:
     """First-order partial correlation from three correlations; 0 where degenerate."""
     norm = F.sqrt(F.greatest((1 - xz * xz) * (1 - yz * yz), F.lit(0.0)))

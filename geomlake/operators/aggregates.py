@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geomlake.functions import ranks
 from geomlake.sources import store
 
 
@@ -79,6 +80,35 @@ def relabelled(rows: DataFrame, raw: str) -> DataFrame:
     return rows.join(keys, raw, "left").withColumn("key", F.coalesce("key", F.lit(0)))
 
 
+def _placed(rows: DataFrame, groups: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """rows, range-partitioned by groups and order and stored, with their partition and how many of their group lie in earlier ones."""
+    part = store.stored(rows.repartitionByRange(*groups, *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    sizes = part.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each group and partition
+    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return part.join(sizes.select(*groups, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")), [*groups, "_part"])
+
+
+def average_ranked(rows: DataFrame, value: str, name: str, *groups: str) -> DataFrame:
+    """Adds the rank from 1 inside the groups, equal values sharing their mean rank; no task holds a whole group.
+
+    Equal values meet in one range partition, so ranks inside it and its offset are enough.
+    """
+    held = _placed(rows, groups, (value,)).withColumn(name, ranks.average_rank(value, *groups, "_part") + F.col("_before"))
+    return held.drop("_part", "_before")
+
+
+def numbered(rows: DataFrame, name: str, groups: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """Adds the row's number from 0 in its group's order; no task holds a whole group."""
+    held = _placed(rows, groups, order).withColumn(name, ranks.ordinal_rank(order[0], *groups, "_part", ties=order[1:]) + F.col("_before"))
+    return held.drop("_part", "_before")
+
+
+def spearman(rows: DataFrame, a: str, b: str, *groups: str) -> DataFrame:
+    """groups, n and rho of the Spearman correlation of a and b inside each group."""
+    ranked = average_ranked(average_ranked(rows, a, "_ra", *groups), b, "_rb", *groups)
+    return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("rho"))
+
+
 def global_rank(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """Adds a rank from 1 over all rows without bringing them to one task.
 

@@ -46,6 +46,12 @@ def correlation(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return 1 - unit(x) @ unit(y).T
 
 
+def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosine distances of rows."""
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    return 1 - unit(x) @ unit(y).T
+
+
 def euclidean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * x @ y.T, 0))
 
@@ -95,6 +101,13 @@ def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * x @ y.T, 0)
 
 
+def centred(rows: DataFrame) -> DataFrame:
+    """rows (vec_id, label, x) less their label's mean: products of these are double-centred Grams."""
+    at = rows.select("label", F.posexplode("x").alias("at", "v")).groupBy("label", "at").agg(F.avg("v").alias("m"))
+    means = at.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda e: e["m"]).alias("_m"))
+    return rows.join(means, "label").select("vec_id", "label", F.zip_with("x", "_m", lambda v, m: v - m).alias("x"))
+
+
 def band(measure: Callable, first: int, last: int) -> Callable:
     """measure on the features from first (from 1) to last."""
     return lambda x, y: measure(x[:, first - 1 : last], y[:, first - 1 : last])

@@ -37,8 +37,8 @@ def components(vertices: DataFrame, edges: DataFrame, rounds: int = 100) -> Data
         step = store.stored(step, "labels")
         labels = step.select("vertex", "label")
         if step.where("old <> label").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError("the components did not settle")
 
 
 def kept_clusters(labels: DataFrame, least: int) -> DataFrame:
@@ -61,9 +61,9 @@ def k_core(vertices: DataFrame, edges: DataFrame, least: int, rounds: int = 1000
         kept = store.stored(alive.groupBy(F.col("src").alias("vertex")).count().where(F.col("count") >= least).select("vertex"), "core")
         now = kept.count()
         if now == n:
-            break
+            return kept
         n = now
-    return kept
+    raise RuntimeError("the core did not settle")
 
 
 def geodesic_knn(edges: DataFrame, group: str, k: int) -> DataFrame:
@@ -91,18 +91,32 @@ def geodesic_knn(edges: DataFrame, group: str, k: int) -> DataFrame:
     return edges.groupBy(group).applyInPandas(search, f"{group} {kind}, src int, rk int, dst int, dist double")
 
 
-def grown_regions(values: np.ndarray, near: list[list[int]], seeds: list[list[int]], fraction: float) -> list[list[int]]:
-    """From each seed set: the connected vertices of at least `fraction` of its peak value."""
-    out = []
-    for seed in seeds:
-        floor = fraction * max(values[v] for v in seed)
-        region, queue = set(), [v for v in seed if values[v] >= floor]
+def grown_regions(values: np.ndarray, near: list[list[int]], seeds: list[list[int]], fraction: float, degree: int = 0, apart: bool = False) -> list[list[int]]:
+    """From each seed set's peak: the vertices connected with it that lie above `fraction` of its value.
+
+    With a degree, vertices with fewer neighbours in the region are taken away again and again, and what
+    is still connected with the peak stays; nothing, if the peak itself goes. With `apart`, regions that
+    share a vertex are an error.
+    """
+
+    def connected(allowed: set[int], peak: int) -> set[int]:
+        region, queue = set(), [peak] if peak in allowed else []
         while queue:
             v = queue.pop()
             if v not in region:
                 region.add(v)
-                queue += [u for u in near[v] if u not in region and values[u] >= floor]
-        out.append(sorted(region))
+                queue += [u for u in near[v] if u in allowed and u not in region]
+        return region
+
+    peaks = [max(seed, key=lambda v: (values[v], -v)) for seed in seeds]
+    raw = [connected({int(v) for v in np.flatnonzero(values > fraction * values[p])}, p) for p in peaks]
+    if apart and len(set().union(*raw)) < sum(map(len, raw)):
+        raise ValueError("regions overlap: take a larger fraction")
+    out = []
+    for peak, region in zip(peaks, raw, strict=True):
+        while weak := {v for v in region if sum(u in region for u in near[v]) < degree}:
+            region = region - weak
+        out.append(sorted(connected(region, peak)))
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 
 
 def ridge_path(bands: list[np.ndarray], y: np.ndarray, folds: np.ndarray, draws: np.ndarray, penalties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,23 +89,106 @@ def cut(merges: np.ndarray, n: int, k: int) -> np.ndarray:
 
 
 def selective_clusters(merges: np.ndarray, score, n: int, low: int, high: int) -> list[list[int]]:
-    """From the root down: a node is split while its better half scores above it; kept at low..high members."""
+    """A flat partition of n rows by their dendrogram and a score of member lists, from the root down.
+
+    A half that scores below its node ends there; a node both of whose halves do stays whole. Lists of
+    fewer than `low` or more than `high` members score lowest.
+    """
     members = {i: [i] for i in range(n)}
     for step, (a, b, *_) in enumerate(merges):
         members[n + step] = members[int(a)] + members[int(b)]
-    out, stack = [], [n + len(merges) - 1]
-    while stack:
-        node = stack.pop()
-        size = len(members[node])
-        if size < low:
-            continue
+    value = lambda node: score(members[node]) if low <= len(members[node]) <= high else -math.inf
+    ends, open_ = [], [n + len(merges) - 1] if n else []
+    while open_:
+        node = open_.pop()
         halves = [int(v) for v in merges[node - n][:2]] if node >= n else []
-        best = max((score(members[h]) for h in halves if len(members[h]) >= low), default=-math.inf)
-        if size > high or best > score(members[node]):
-            stack += halves
-        else:
-            out.append(sorted(members[node]))
-    return sorted(out)
+        own = value(node) if halves else 0.0
+        falling = [value(h) < own for h in halves]
+        if all(falling):
+            ends.append(node)
+            continue
+        for half, falls in zip(halves, falling, strict=True):
+            (ends if falls else open_).append(half)
+    return sorted(sorted(members[node]) for node in ends)
+
+
+def median_welch_t(x: np.ndarray, members: list[int]) -> float:
+    """Median over columns of Welch's t of the members' rows against all others; 0 where it is undefined."""
+    inside = np.zeros(len(x), bool)
+    inside[members] = True
+    a, b = x[inside], x[~inside]
+    if len(a) < 2 or len(b) < 2:
+        return 0.0
+    se = np.sqrt(a.var(axis=0, ddof=1) / len(a) + b.var(axis=0, ddof=1) / len(b))
+    return float(np.median(np.where(se > 0, (a.mean(axis=0) - b.mean(axis=0)) / np.maximum(se, 1e-300), 0.0)))
+
+
+def kmeans(x: np.ndarray, k: int, starts: int = 20, steps: int = 50) -> tuple[np.ndarray, float]:
+    """Labels and cost of the best of several starts (distance-weighted seeds from fixed random numbers)."""
+    best = (np.zeros(len(x), int), math.inf)
+    for start in range(starts):
+        rng = np.random.default_rng(start)
+        centres = x[[rng.integers(len(x))]]
+        while len(centres) < min(k, len(x)):
+            d = ((x[:, None] - centres) ** 2).sum(axis=2).min(axis=1)
+            centres = np.vstack([centres, x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]])
+        for _ in range(steps):
+            d = ((x[:, None] - centres) ** 2).sum(axis=2)
+            labels = d.argmin(axis=1)
+            moved = np.stack([x[labels == c].mean(axis=0) if (labels == c).any() else centres[c] for c in range(len(centres))])
+            if np.allclose(moved, centres):
+                break
+            centres = moved
+        cost = float(((x - centres[labels]) ** 2).sum())
+        if cost < best[1] - 1e-12:
+            best = (labels, cost)
+    return best
+
+
+def embedding_quality(x: np.ndarray, y: np.ndarray, k: int) -> dict[str, float]:
+    """Trustworthiness, continuity, Spearman correlation of distances, and their score (0.4, 0.4, 0.2 of the correlation brought to 0..1)."""
+    n = len(x)
+    high, low = (np.sqrt(np.maximum((m * m).sum(axis=1)[:, None] + (m * m).sum(axis=1) - 2 * m @ m.T, 0)) for m in (x, y))
+
+    def places(d: np.ndarray) -> np.ndarray:
+        d = d.copy()
+        np.fill_diagonal(d, -1)
+        return d.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+
+    rank = places(high), places(low)
+    scale = 2 / (n * k * (2 * n - 3 * k - 1))
+    kept = lambda near, far: 1 - scale * np.maximum(far - k, 0)[(near >= 1) & (near <= k)].sum()
+    pairs = np.triu_indices(n, 1)
+    ranks = [pd.Series(d[pairs]).rank().to_numpy() for d in (high, low)]
+    rho = float(np.corrcoef(*ranks)[0, 1])
+    trust, continuity = float(kept(rank[1], rank[0])), float(kept(rank[0], rank[1]))
+    return {"trust": trust, "continuity": continuity, "rho": rho, "score": 0.4 * trust + 0.4 * continuity + 0.2 * (rho + 1) / 2}
+
+
+def reduced(x: np.ndarray, method: str, k: int) -> tuple[np.ndarray, float]:
+    """Coordinates by pca, mds, isomap or fastica, and the method's own criterion.
+
+    pca: share of variance, to be large; mds: normalized stress; isomap: error of the centred geodesic Gram; fastica:
+    reconstruction error over variance, to be small.
+    """
+    c = x - x.mean(axis=0)
+    if method == "pca":
+        u, s, _ = np.linalg.svd(c, full_matrices=False)
+        return u[:, :k] * s[:k], float((s[:k] ** 2).sum() / (s**2).sum())
+    if method == "fastica":
+        y = fast_ica(x, k)
+        design = np.column_stack([y, np.ones(len(y))])
+        return y, float(((x - design @ np.linalg.lstsq(design, x, rcond=None)[0]) ** 2).mean() / x.var())
+    d = np.sqrt(np.maximum((c * c).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * c @ c.T, 0))
+    np.fill_diagonal(d, 0)
+    if method == "mds":
+        y = classical_mds(d, k)
+        low = np.sqrt(np.maximum((y * y).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * y @ y.T, 0))
+        return y, float(np.sqrt(((d - low) ** 2).sum() / (d * d).sum()))
+    g = geodesics(d, 6)
+    y = classical_mds(g, k)
+    centre = np.eye(len(x)) - 1 / len(x)
+    return y, float(np.linalg.norm(centre @ (-0.5 * g * g) @ centre - y @ y.T) / len(x))
 
 
 def hdbscan(x: np.ndarray, least: int, samples: int) -> np.ndarray:

@@ -30,12 +30,19 @@ SQL_BR = SQL_B + ", br AS (SELECT label, i, j, " + ", ".join(f"rank() OVER (PART
 
 
 def _ranked(spark, sf_dir):
-    return _rdms(spark, sf_dir).withColumns({f"r{c}": ranks.average_rank(c, "label") for c in ("da", "dv", "dj", "d")})
+    return _ranks_of(_rdms(spark, sf_dir), "da", "dv", "dj", "d")
+
+
+def _ranks_of(rows, *values):
+    """Each value's average ranks inside its label, by range partitions."""
+    for c in values:
+        rows = aggregates.average_ranked(rows, c, f"r{c}", "label")
+    return rows
 
 
 @query("G07 J10", f"WITH {SQL_BR}, c AS (SELECT label, count(*) AS n, corr(rdj, rda) AS rho FROM br GROUP BY label) SELECT label, n, round(rho, 6) AS rho, round(rho * sqrt((n - 2) / (1 - rho * rho)), 5) AS t FROM c")
 def parcel_rsa(spark, sf_dir):
-    c = _ranked(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.corr("rdj", "rda").alias("rho"))
+    c = _ranks_of(_rdms(spark, sf_dir), "dj", "da").groupBy("label").agg(F.count("*").alias("n"), F.corr("rdj", "rda").alias("rho"))
     return c.select("label", "n", F.round("rho", 6).alias("rho"), F.round(F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho"))), 5).alias("t"))
 
 
@@ -44,7 +51,7 @@ _PARTIAL = "CASE WHEN (1 - {xz} * {xz}) * (1 - {yz} * {yz}) > 1e-20 THEN ({xy} -
 
 @query("G08", f"WITH {SQL_BR}, c AS (SELECT label, corr(rd, rdj) AS xy, corr(rd, rda) AS xz, corr(rdj, rda) AS yz FROM br GROUP BY label) SELECT label, round({_PARTIAL.format(xy='xy', xz='xz', yz='yz')}, 6) + 0.0 AS r FROM c")
 def partial_rsa_1(spark, sf_dir):
-    return _ranked(spark, sf_dir).groupBy("label").agg(r6(ranks.partial(F.corr("rd", "rdj"), F.corr("rd", "rda"), F.corr("rdj", "rda"))).alias("r"))
+    return _ranks_of(_rdms(spark, sf_dir), "d", "dj", "da").groupBy("label").agg(r6(ranks.partial(F.corr("rd", "rdj"), F.corr("rd", "rda"), F.corr("rdj", "rda"))).alias("r"))
 
 
 @query("G08", f"WITH {SQL_BR}, c AS (SELECT label, corr(rd, rdj) AS yx, corr(rd, rda) AS y1, corr(rdj, rda) AS x1, corr(rd, rdv) AS y2, corr(rdv, rda) AS z12, corr(rdj, rdv) AS x2 FROM br GROUP BY label), d AS (SELECT label, {_PARTIAL.format(xy='yx', xz='y1', yz='x1')} AS p, {_PARTIAL.format(xy='y2', xz='y1', yz='z12')} AS q, {_PARTIAL.format(xy='x2', xz='x1', yz='z12')} AS w FROM c) SELECT label, round({_PARTIAL.format(xy='p', xz='q', yz='w')}, 6) + 0.0 AS r FROM d")
@@ -89,14 +96,19 @@ def searchlight_cka(spark, sf_dir):
 
 @query("G28 H03", f"WITH {SQL_BR}, {Q.SQL_PERM}, n AS (SELECT label, i, j, row_number() OVER (PARTITION BY label ORDER BY i, j) - 1 AS k, count(*) OVER (PARTITION BY label) AS n, rda, rdv, rdj FROM br), o AS (SELECT label, corr(rdj, rda) AS a, corr(rdj, rdv) AS v FROM br GROUP BY label), q AS (SELECT x.label, p, corr(x.rdj, y.rda) - corr(x.rdj, y.rdv) AS delta FROM n x JOIN pm ON true JOIN n y ON x.label = y.label AND y.k = (x.k + off) % x.n GROUP BY ALL) SELECT label, round(any_value(a - v), 6) + 0.0 AS delta, CAST(count(*) FILTER (abs(q.delta) >= abs(a - v) - 1e-12) AS BIGINT) AS hits FROM q JOIN o USING (label) GROUP BY label")
 def full_sheet_pair(spark, sf_dir):
-    w = Q.Window.partitionBy("label")
-    n = _ranked(spark, sf_dir).select("label", "rda", "rdv", "rdj", (F.row_number().over(w.orderBy("i", "j")) - 1).alias("k"), F.count("*").over(w).alias("n"))
+    n = _numbered(_ranks_of(_rdms(spark, sf_dir), "da", "dv", "dj"))
     x = n.select("label", "n", "k", "rdj").join(F.broadcast(Q.shifts(spark, 20, 64))).withColumn("k", (F.col("k") + F.col("off")) % F.col("n"))
     null = x.join(n.select("label", "k", "rda", "rdv"), ["label", "k"]).groupBy("label", "p").agg((F.corr("rdj", "rda") - F.corr("rdj", "rdv")).alias("null"))
     seen = n.groupBy("label").agg((F.corr("rdj", "rda") - F.corr("rdj", "rdv")).alias("delta"))
     return null.join(F.broadcast(seen), "label").groupBy("label").agg(r6(F.first("delta")).alias("delta"), F.count_if(F.abs("null") >= F.abs("delta") - 1e-12).alias("hits"))
 
 
+def _numbered(ranked):
+    """Adds k, the pair's number in its label's order of (i, j), and n, how many there are."""
+    held = aggregates.numbered(ranked, "k", ("label",), ("i", "j"))
+    return held.join(held.groupBy("label").agg(F.count("*").alias("n")), "label")
+
+
 SQL_X = T.SQL_SUB + ", pr AS (SELECT a.subject, a.unit, a.block AS t1, b.block AS t2, a.value - b.value AS delta FROM sub a JOIN sub b ON a.subject = b.subject AND a.unit = b.unit AND a.block > b.block)"
 
 
@@ -124,9 +136,7 @@ SQL_GRAM = T.SQL_V + ", f AS (SELECT label, vec_id, x FROM v), gr AS (SELECT s.l
 def _grams(spark, sf_dir):
     """label, i, j and double-centred Grams ka, kv, kj of the bands and k of all features."""
     measures = {f"k{n}": blocked.band(np.inner, first, last) for n, first, last in BANDS}
-    grams = blocked.within(T.patterns(spark, sf_dir), measures | {"k": np.inner}, full=True)
-    w = Q.Window.partitionBy
-    return grams.select("label", "i", "j", *[(F.col(c) - F.avg(c).over(w("label", "i")) - F.avg(c).over(w("label", "j")) + F.avg(c).over(w("label"))).alias(c) for c in ("ka", "kv", "kj", "k")])
+    return blocked.within(blocked.centred(T.patterns(spark, sf_dir)), measures | {"k": np.inner}, full=True)
 
 
 _COS = "sum({0} * {1}) / sqrt(sum({0} * {0}) * sum({1} * {1}))"
@@ -184,9 +194,9 @@ def noise_ceiling_cka(spark, sf_dir):
     return each.agg(F.round(F.avg("up"), 6).alias("upper"), F.round(F.avg("lo"), 6).alias("lower"))
 
 
-@query("G17", f"WITH {T.SQL_V}, t AS (SELECT vec_id, x[1:20] AS a, x[21:40] AS v, x[41:60] AS t FROM v), o AS (SELECT *, list_inner_product(v, a) / greatest(list_inner_product(a, a), 1e-8) AS c, list_inner_product(t, a) / greatest(list_inner_product(a, a), 1e-8) AS ct FROM t), w AS (SELECT vec_id, a, list_transform(range(1, 21), lambda i: v[i] - c * a[i]) AS w, list_transform(range(1, 21), lambda i: t[i] - ct * a[i]) AS r FROM o), z AS (SELECT *, list_inner_product(r, w) / greatest(list_inner_product(w, w), 1e-8) AS k FROM w), f AS (SELECT vec_id, a, w, list_transform(range(1, 21), lambda i: r[i] - k * w[i]) AS f FROM z) SELECT vec_id, round(sqrt(list_inner_product(f, f)), 6) AS norm, round(f[1], 6) + 0.0 AS first FROM f")
+@query("G17", f"WITH {T.SQL_V}, t AS (SELECT vec_id, x[1:22] AS a, x[22:43] AS v, x[43:64] AS t FROM v), o AS (SELECT *, list_inner_product(v, a) / greatest(list_inner_product(a, a), 1e-8) AS c, list_inner_product(t, a) / greatest(list_inner_product(a, a), 1e-8) AS ct FROM t), w AS (SELECT vec_id, a, list_transform(range(1, 23), lambda i: v[i] - c * a[i]) AS w, list_transform(range(1, 23), lambda i: t[i] - ct * a[i]) AS r FROM o), z AS (SELECT *, list_inner_product(r, w) / greatest(list_inner_product(w, w), 1e-8) AS k FROM w), f AS (SELECT vec_id, a, w, list_transform(range(1, 23), lambda i: r[i] - k * w[i]) AS f FROM z) SELECT vec_id, round(sqrt(list_inner_product(f, f)), 6) AS norm, round(f[1], 6) + 0.0 AS first FROM f")
 def projection_residual(spark, sf_dir):
-    a, v, t = (F.slice("x", s, 20) for s in (1, 21, 41))
+    a, v, t = (F.slice("x", s, 22) for s in (1, 22, 43))
     rows = T.patterns(spark, sf_dir).select("vec_id", V.projection_residual(t, a, v).alias("f"))
     return rows.select("vec_id", F.round(F.sqrt(V.dot("f", "f")), 6).alias("norm"), r6(F.col("f")[0]).alias("first"))
 
@@ -202,8 +212,8 @@ def diag_vs_offdiag(spark, sf_dir):
 
 @query("G20", f"WITH {Q.SQL_GRID}, {T.SQL_E}, z AS (SELECT vec_id, d, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS z FROM e WINDOW w AS (PARTITION BY d)), s AS (SELECT vec_id, centre, sum(z) AS s FROM z JOIN gn ON d = nbr WHERE rk <= 8 GROUP BY ALL) SELECT centre, round((sum(s * s) - 8 * count(*)) / (8 * 7 * count(*)), 6) + 0.0 AS homogeneity FROM s GROUP BY centre")
 def homogeneity(spark, sf_dir):
-    w = Q.Window.partitionBy("d")
-    z = T.long_patterns(spark, sf_dir).select("vec_id", "d", ((F.col("x") - F.avg("x").over(w)) / F.stddev_pop("x").over(w)).alias("z"))
+    e = T.long_patterns(spark, sf_dir)
+    z = e.join(e.groupBy("d").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd")), "d").select("vec_id", "d", ((F.col("x") - F.col("m")) / F.col("sd")).alias("z"))
     s = z.join(F.broadcast(Q.grid_neighbours(spark, 8)), F.col("d") == F.col("nbr")).groupBy("vec_id", "centre").agg(F.sum("z").alias("s"))
     return s.groupBy("centre").agg(r6((F.sum(F.col("s") * F.col("s")) - 8 * F.count("*")) / (56 * F.count("*"))).alias("homogeneity"))
 
@@ -245,11 +255,11 @@ def channel_axes(spark, sf_dir):
     return c.agg(F.round(F.corr(F.col("a") - F.col("v"), F.col("p") - F.col("a")), 6).alias("r"), F.round(F.stddev_samp(F.col("a") - F.col("v")), 6).alias("spread"))
 
 
-SQL_MAPS = T.SQL_SUB + ", mp AS (SELECT subject, max(value) FILTER (unit = 'AF') AS av, max(value) FILTER (unit = 'NF') AS a, max(value) FILTER (unit = 'RF') AS v FROM sub WHERE block = 1996 GROUP BY subject)"
+SQL_MAPS = T.SQL_SUB + ", mp AS (SELECT subject, max(value) FILTER (unit = 'AF') AS av, max(value) FILTER (unit = 'NF') AS a, max(value) FILTER (unit = 'RF') AS v FROM (SELECT subject, unit, avg(value) AS value FROM sub GROUP BY ALL) GROUP BY subject)"
 
 
 def _maps(spark, sf_dir):
-    s = T.subjects(spark, sf_dir).where("block = 1996")
+    s = T.subjects(spark, sf_dir).groupBy("subject", "unit").agg(F.avg("value").alias("value"))
     return s.groupBy("subject").agg(*[F.max(F.when(F.col("unit") == u, F.col("value"))).alias(n) for u, n in (("AF", "av"), ("NF", "a"), ("RF", "v"))])
 
 

@@ -36,16 +36,14 @@ def ttest_p_values(spark, sf_dir):
 
 @query("H09 G07", f"WITH {Q2.SQL_BR}, c AS (SELECT label, corr(rd, rda) AS r, count(*) AS n FROM br GROUP BY label) SELECT label, round(r * sqrt((n - 2) / (1 - r * r)), 5) AS t, n - 2 AS df FROM c")
 def corr_to_t(spark, sf_dir):
-    c = Q2._ranked(spark, sf_dir).groupBy("label").agg(F.corr("rd", "rda").alias("r"), F.count("*").alias("n"))
+    c = Q2._ranks_of(Q2._rdms(spark, sf_dir), "d", "da").groupBy("label").agg(F.corr("rd", "rda").alias("r"), F.count("*").alias("n"))
     return c.select("label", F.round(H.correlation_t(F.col("r"), F.col("n")), 5).alias("t"), (F.col("n") - 2).alias("df"))
 
 
 @query("H14", f"WITH {T.SQL_E}, w AS (SELECT c.label, d, avg(x) FILTER (e.label = c.label) AS ma, avg(x) FILTER (e.label <> c.label) AS mb, var_samp(x) FILTER (e.label = c.label) / count(*) FILTER (e.label = c.label) AS va, var_samp(x) FILTER (e.label <> c.label) / count(*) FILTER (e.label <> c.label) AS vb FROM e, (SELECT DISTINCT label FROM v) c GROUP BY ALL), t AS (SELECT label, (ma - mb) / sqrt(va + vb) AS t FROM w) SELECT label, round(median(t), 6) + 0.0 AS score, round(max(t), 6) AS best FROM t GROUP BY label".replace("WITH e", f"WITH {T.SQL_V}, e"))
 def welch_median(spark, sf_dir):
-    e = T.long_patterns(spark, sf_dir)
-    held = e.join(F.broadcast(e.select(F.col("label").alias("cluster")).distinct())).withColumn("member", F.col("label") == F.col("cluster"))  # few labels
-    t = H.welch(held, "x", "member", "cluster", "d")
-    return t.groupBy(F.col("cluster").alias("label")).agg(r6(F.median("t")).alias("score"), F.round(F.max("t"), 6).alias("best"))
+    t = H.welch_rest(T.long_patterns(spark, sf_dir), "x", "label", "d")
+    return t.groupBy("label").agg(r6(F.median("t")).alias("score"), F.round(F.max("t"), 6).alias("best"))
 
 
 _P = "round(exp(-abs(avg(d) / (stddev_samp(d) / sqrt(count(*))))), 12)"
@@ -62,15 +60,15 @@ _NULLS = f"WITH {SQL_D}, sg AS (SELECT unnest(range(200))::INT AS perm), nl AS (
 
 
 def _flipped(spark, sf_dir, n_perm=200):
-    d = _effects(spark, sf_dir)
-    null = d.join(F.broadcast(H.signs(spark, n_perm))).groupBy("perm", "unit").agg(F.avg(F.col("d") * H.flip("perm", "subject")).alias("v"))
-    return d.groupBy("unit").agg(F.avg("d").alias("v")), null
+    sums = H.signed_sums(_effects(spark, sf_dir).withColumn("x", F.array("d")), "unit", "subject", "x", n_perm)
+    v = sums.select("unit", "perm", (F.col("s") / F.col("n")).alias("v"))
+    return v.where("perm = -1").select("unit", "v"), v.where("perm >= 0")
 
 
 @query("H04", _NULLS + " SELECT ob.unit, round(any_value(ob.v), 6) + 0.0 AS v, round((count(*) FILTER (nl.v >= ob.v - 1e-12) + 1) / 201.0, 6) AS p FROM ob JOIN nl USING (unit) GROUP BY ob.unit")
 def signflip(spark, sf_dir):
     seen, null = _flipped(spark, sf_dir)
-    met = null.withColumnRenamed("v", "null").join(F.broadcast(seen), "unit")  # one row per unit
+    met = null.withColumnRenamed("v", "null").join(seen, "unit")
     return met.groupBy("unit").agg(r6(F.first("v")).alias("v"), F.round((F.count_if(F.col("null") >= F.col("v") - 1e-12) + 1) / 201.0, 6).alias("p"))
 
 
@@ -82,8 +80,7 @@ def maxstat_fwe(spark, sf_dir):
 
 @query("H02 H03 J11 R08 G29", f"WITH {Q2.SQL_BR}, {Q.SQL_PERM}, n AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY i, j) - 1 AS k, count(*) OVER (PARTITION BY label) AS n, rd, rdj FROM br), o AS (SELECT label, corr(rd, rdj) AS r FROM br GROUP BY label), q AS (SELECT x.label, p, corr(x.rd, y.rdj) AS r FROM n x JOIN pm ON true JOIN n y ON x.label = y.label AND y.k = (x.k + off) % x.n GROUP BY ALL) SELECT label, round(any_value(o.r), 6) + 0.0 AS r, round((count(*) FILTER (q.r >= o.r - 1e-12) + 1) / 21.0, 6) AS p, round(max(q.r), 6) + 0.0 AS top FROM q JOIN o USING (label) GROUP BY label")
 def perm_shift(spark, sf_dir):
-    w = Window.partitionBy("label")
-    n = Q2._ranked(spark, sf_dir).select("label", "rd", "rdj", (F.row_number().over(w.orderBy("i", "j")) - 1).alias("k"), F.count("*").over(w).alias("n"))
+    n = Q2._numbered(Q2._ranks_of(Q2._rdms(spark, sf_dir), "d", "dj"))
     x = n.select("label", "n", "k", "rd").join(F.broadcast(Q.shifts(spark, 20, 64))).withColumn("k", (F.col("k") + F.col("off")) % F.col("n"))
     null = x.join(n.select("label", "k", "rdj"), ["label", "k"]).groupBy("label", "p").agg(F.corr("rd", "rdj").alias("null"))
     seen = n.groupBy("label").agg(F.corr("rd", "rdj").alias("r"))
@@ -100,18 +97,24 @@ def block_perm(spark, sf_dir):
     return null.join(seen, ["unit", "state"]).groupBy("unit", "state").agg(F.round(F.first("m"), 6).alias("m"), F.round(F.greatest(F.count_if(F.col("null") >= F.col("m") - 1e-12) / 20.0, F.lit(1 / 20.0)), 6).alias("p"))
 
 
-_W = "(((b + 1) * 7919 + {0} * 104729 + 17) % 1000003 // 16 % 3)"
+#: Draw j of resample b among n items, by an arithmetic hash; 60 resamples.
+_DRAW = "((x * x % 1000003) * x % 1000003) % n"
 
 
-@query("H05", f"WITH {T.SQL_SUB}, bt AS (SELECT unnest(range(60)) AS b), sb AS (SELECT unit, b, sum(v * {_W.format('subject')}) / sum({_W.format('subject')}) AS m FROM (SELECT subject, unit, avg(value) AS v FROM sub GROUP BY ALL), bt GROUP BY ALL), bb AS (SELECT unit, b, sum(v * {_W.format('block')}) / sum({_W.format('block')}) AS m FROM (SELECT block, unit, avg(value) AS v FROM sub GROUP BY ALL), bt GROUP BY ALL), bo AS (SELECT unit, b, sum(value * ({_W.format('subject')}) * ({_W.format('block')})) / sum(({_W.format('subject')}) * ({_W.format('block')})) AS m FROM sub, bt GROUP BY ALL), vs AS (SELECT unit, var_samp(m) AS v FROM sb GROUP BY unit), vb AS (SELECT unit, var_samp(m) AS v FROM bb GROUP BY unit), vo AS (SELECT unit, var_samp(m) AS v FROM bo GROUP BY unit) SELECT unit, round(least(greatest(2 * (vs.v + vb.v) - vo.v, greatest(vs.v, vb.v)), vo.v), 6) + 0.0 AS corrected, round(vo.v, 6) AS both_ways FROM vs JOIN vb USING (unit) JOIN vo USING (unit)")
+def _drawn(items: str, of: str) -> str:
+    """b, item, w: how often resample b draws each item of a table."""
+    return f"{items}_i AS (SELECT {of} AS item, row_number() OVER (ORDER BY {of}) - 1 AS j, count(*) OVER () AS n FROM (SELECT DISTINCT {of} FROM sub)), {items} AS (SELECT b, i.item, count(*) AS w FROM (SELECT b, {_DRAW} AS pos FROM (SELECT b, n, ((b + 1) * 7919 + j * 104729 + 17) % 1000003 AS x FROM {items}_i, bt)) JOIN {items}_i i ON i.j = pos GROUP BY ALL)"
+
+
+@query("H05", f"WITH {T.SQL_SUB}, bt AS (SELECT unnest(range(60)) AS b), {_drawn('ds', 'subject')}, {_drawn('db', 'block')}, sb AS (SELECT unit, b, sum(v * w) / sum(w) AS m FROM (SELECT subject, unit, avg(value) AS v FROM sub GROUP BY ALL) JOIN ds ON subject = item GROUP BY ALL), bb AS (SELECT unit, b, sum(v * w) / sum(w) AS m FROM (SELECT block, unit, avg(value) AS v FROM sub GROUP BY ALL) JOIN db ON block = item GROUP BY ALL), bo AS (SELECT unit, ds.b, sum(value * ds.w * db.w) / sum(ds.w * db.w) AS m FROM sub JOIN ds ON subject = ds.item JOIN db ON block = db.item AND db.b = ds.b GROUP BY ALL), vs AS (SELECT unit, var_samp(m) AS v FROM sb GROUP BY unit), vb AS (SELECT unit, var_samp(m) AS v FROM bb GROUP BY unit), vo AS (SELECT unit, var_samp(m) AS v FROM bo GROUP BY unit) SELECT unit, round(least(greatest(2 * (vs.v + vb.v) - vo.v, greatest(vs.v, vb.v)), greatest(vo.v, vs.v, vb.v)), 6) + 0.0 AS corrected, round(vo.v, 6) AS both_ways FROM vs JOIN vb USING (unit) JOIN vo USING (unit)")
 def bootstrap_c2f(spark, sf_dir):
     s = T.subjects(spark, sf_dir)
-    boots = spark.range(60).withColumnRenamed("id", "boot")
-    ws, wb = H.resample_count("boot", "subject", 3), H.resample_count("boot", "block", 3)
-    subject = H.bootstrap_variance(s.groupBy("subject", "unit").agg(F.avg("value").alias("v")), "v", boots, ws, "unit").withColumnRenamed("var", "vs")
-    block = H.bootstrap_variance(s.groupBy("block", "unit").agg(F.avg("value").alias("v")), "v", boots, wb, "unit").withColumnRenamed("var", "vb")
-    both = H.bootstrap_variance(s, "value", boots, ws * wb, "unit").withColumnRenamed("var", "vo")
-    c = F.least(F.greatest(2 * (F.col("vs") + F.col("vb")) - F.col("vo"), F.greatest("vs", "vb")), F.col("vo"))
+    subjects, blocks = (H.resamples(s, of, 60) for of in ("subject", "block"))
+    subject = H.bootstrap_variance(s.groupBy("subject", "unit").agg(F.avg("value").alias("v")).join(subjects, "subject"), "v", F.col("w_subject"), "unit").withColumnRenamed("var", "vs")
+    block = H.bootstrap_variance(s.groupBy("block", "unit").agg(F.avg("value").alias("v")).join(blocks, "block"), "v", F.col("w_block"), "unit").withColumnRenamed("var", "vb")
+    both = H.bootstrap_variance(s.join(subjects, "subject").join(blocks, ["block", "boot"]), "value", F.col("w_subject") * F.col("w_block"), "unit").withColumnRenamed("var", "vo")
+    lower = F.greatest("vs", "vb")
+    c = F.least(F.greatest(2 * (F.col("vs") + F.col("vb")) - F.col("vo"), lower), F.greatest(F.col("vo"), lower))
     return subject.join(block, "unit").join(both, "unit").select("unit", r6(c).alias("corrected"), F.round("vo", 6).alias("both_ways"))
 
 

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from geomlake.functions import vectors as V
 from geomlake.functions.vectors import r6
+from geomlake.operators import aggregates, blocked
 from geomlake.operators import graph as N
+from geomlake.operators import inference as H
 from geomlake.operators import kernels as K
 from geomlake.operators import models as M
 from geomlake.operators import pairs as P
 from geomlake.plans import q_pairs as Q
 from geomlake.plans.registry import query
+from geomlake.sources import store
 from geomlake.sources import tables as T
 
 
@@ -77,7 +80,7 @@ def banded_ridge_partition(spark, sf_dir):
 @query("G16")
 def interaction_residual(spark, sf_dir):
     x = F.col("x")
-    rows = T.patterns(spark, sf_dir).select("vec_id", F.slice(x, 41, 20).alias("j"), F.slice(x, 1, 40).alias("u"))
+    rows = T.patterns(spark, sf_dir).select("vec_id", F.slice(x, 41, 24).alias("j"), F.slice(x, 1, 40).alias("u"))
     b = M.linear_residual(rows, "j", "u")
     guess = F.array(*[V.dot("u", F.array(*map(F.lit, map(float, column)))) for column in b.T])
     left = rows.select("vec_id", V.minus("j", guess).alias("r"), "j")
@@ -90,7 +93,8 @@ def kmeans_sweep(spark, sf_dir):
     from pyspark.ml.functions import array_to_vector
 
     rows = T.patterns(spark, sf_dir).select("vec_id", array_to_vector(V.unit("x")).alias("features"))
-    costs = [(k, float(KMeans(k=k, seed=7, maxIter=20).fit(rows).summary.trainingCost)) for k in (2, 4, 6, 8)]
+    # The best of several starts: k-means|| has its own many candidates in each.
+    costs = [(k, min(float(KMeans(k=k, seed=seed, maxIter=20).fit(rows).summary.trainingCost) for seed in (7, 8, 9))) for k in (2, 4, 6, 8)]
     return spark.createDataFrame(costs, "k int, cost double")
 
 
@@ -98,7 +102,7 @@ def kmeans_sweep(spark, sf_dir):
 def cluster_grid(spark, sf_dir):
     def sweep(ids, x):
         merges, n = K.ward(x), len(x)
-        w, _ = K.nmf(x - x.min(), 3)
+        w, _ = K.nmf(np.concatenate([np.maximum(x, 0), np.maximum(-x, 0)], axis=1), 3)
         found = {"ward": K.cut(merges, n, min(4, n)), "hdbscan": K.hdbscan(x, 5, 3), "birch": K.birch(x, 0.9), "nmf": w.argmax(axis=1)}
         return pd.DataFrame([(m, int(v.max() + 1), int((v < 0).sum()), n) for m, v in found.items()], columns=["method", "clusters", "noise", "n"])
 
@@ -107,12 +111,13 @@ def cluster_grid(spark, sf_dir):
 
 @query("M16 H14")
 def ward_selectivity(spark, sf_dir):
+    """Stimuli: the first 32 features; units that clusters are scored on: the others."""
+
     def select(ids, x):
-        score = lambda members: float(np.median(x[members].mean(axis=0) - x.mean(axis=0)))
-        kept = K.selective_clusters(K.ward(x), score, len(x), 4, 20)
-        return pd.DataFrame([(i, len(c), int(ids[c].min())) for i, c in enumerate(kept)], columns=["cluster", "n", "first"])
+        kept = K.selective_clusters(K.ward(x[:, :32]), lambda members: K.median_welch_t(x[:, 32:], members), len(x), 4, 20)
+        return pd.DataFrame([(i, len(c), int(ids[c].min()), round(K.median_welch_t(x[:, 32:], c), 6)) for i, c in enumerate(kept)], columns=["cluster", "n", "first", "score"])
 
-    return M.per_group(T.patterns(spark, sf_dir), "label", select, "cluster int, n int, first long")
+    return M.per_group(T.patterns(spark, sf_dir), "label", select, "cluster int, n int, first long, score double")
 
 
 @query("")
@@ -153,15 +158,58 @@ def manifold_extension(spark, sf_dir):
     return near.join(rows.select("vec_id", *sources), "vec_id")
 
 
-@query("", f"WITH {T.SQL_V}, p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_distance(a.x, b.x) AS h, list_distance(a.x[1:3], b.x[1:3]) AS l FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT label, i, row_number() OVER (PARTITION BY i ORDER BY h, j) AS rh, row_number() OVER (PARTITION BY i ORDER BY l, j) AS rl, count(*) OVER (PARTITION BY i) + 1 AS n FROM p) SELECT label, round(1 - 2.0 / (any_value(n) * 5 * (2 * any_value(n) - 16)) * sum(CASE WHEN rl <= 5 AND rh > 5 THEN rh - 5 ELSE 0 END), 6) AS trust, round(1 - 2.0 / (any_value(n) * 5 * (2 * any_value(n) - 16)) * sum(CASE WHEN rh <= 5 AND rl > 5 THEN rl - 5 ELSE 0 END), 6) AS continuity FROM r GROUP BY label")
+@query("M14", f"WITH {T.SQL_V}, p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_distance(a.x, b.x) ** 2 AS h, list_distance(a.x[1:3], b.x[1:3]) ** 2 AS l FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT label, i, row_number() OVER (PARTITION BY i ORDER BY h, j) AS rh, row_number() OVER (PARTITION BY i ORDER BY l, j) AS rl, count(*) OVER (PARTITION BY i) + 1 AS n FROM p), tc AS (SELECT label, 1 - 2.0 / (any_value(n) * 5 * (2 * any_value(n) - 16)) * sum(CASE WHEN rl <= 5 AND rh > 5 THEN rh - 5 ELSE 0 END) AS trust, 1 - 2.0 / (any_value(n) * 5 * (2 * any_value(n) - 16)) * sum(CASE WHEN rh <= 5 AND rl > 5 THEN rl - 5 ELSE 0 END) AS continuity FROM r GROUP BY label), k AS (SELECT label, rank() OVER (PARTITION BY label ORDER BY h) + (count(*) OVER (PARTITION BY label, h) - 1) / 2.0 AS rh, rank() OVER (PARTITION BY label ORDER BY l) + (count(*) OVER (PARTITION BY label, l) - 1) / 2.0 AS rl FROM p WHERE i > j), c AS (SELECT label, corr(rh, rl) AS rho FROM k GROUP BY label) SELECT label, round(trust, 6) AS trust, round(continuity, 6) AS continuity, round(rho, 6) + 0.0 AS rho, round(0.4 * trust + 0.4 * continuity + 0.2 * (rho + 1) / 2, 6) AS score FROM tc JOIN c USING (label)")
 def embedding_quality(spark, sf_dir):
-    x = T.patterns(spark, sf_dir)
-    p = P.within(x, "vec_id", "label").select("label", F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), F.sqrt(V.squared_distance("a.x", "b.x")).alias("h"), F.sqrt(V.squared_distance(F.slice("a.x", 1, 3), F.slice("b.x", 1, 3))).alias("l"))
+    pairs = blocked.within(T.patterns(spark, sf_dir), {"h": blocked.squared, "l": blocked.band(blocked.squared, 1, 3)})
     w = Window.partitionBy("i")
-    r = P.both_ways(p).select("label", F.row_number().over(w.orderBy("h", "j")).alias("rh"), F.row_number().over(w.orderBy("l", "j")).alias("rl"), (F.count("*").over(w) + 1).alias("n"))
+    r = P.both_ways(pairs).select("label", F.row_number().over(w.orderBy("h", "j")).alias("rh"), F.row_number().over(w.orderBy("l", "j")).alias("rl"), (F.count("*").over(w) + 1).alias("n"))
     scale = F.lit(2.0) / (F.first("n") * 5 * (2 * F.first("n") - 16))
     excess = lambda near, far: F.sum(F.when((F.col(near) <= 5) & (F.col(far) > 5), F.col(far) - 5).otherwise(0))
-    return r.groupBy("label").agg(F.round(1 - scale * excess("rl", "rh"), 6).alias("trust"), F.round(1 - scale * excess("rh", "rl"), 6).alias("continuity"))
+    found = r.groupBy("label").agg((1 - scale * excess("rl", "rh")).alias("trust"), (1 - scale * excess("rh", "rl")).alias("continuity"))
+    found = found.join(P.compared(pairs, "h", "l", "label").select("label", "rho"), "label")
+    score = 0.4 * F.col("trust") + 0.4 * F.col("continuity") + 0.2 * (F.col("rho") + 1) / 2
+    return found.select("label", F.round("trust", 6).alias("trust"), F.round("continuity", 6).alias("continuity"), r6("rho").alias("rho"), F.round(score, 6).alias("score"))
+
+
+#: Rows of the fixed sample that reducers and clusterers are compared on.
+SELECTION = 400
+
+
+def _swept(spark, sf_dir, configs, schema, kernel):
+    """kernel(x, *config) of every config, a row each, on the sample: a bounded matrix, broadcast."""
+    marks = T.patterns(spark, sf_dir).orderBy((F.col("vec_id") * 7919 + 3) % 1_000_003, "vec_id").limit(SELECTION).toPandas()
+    shared = spark.sparkContext.broadcast(np.stack(marks["x"]).astype(float))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        config = [v.item() if hasattr(v, "item") else v for v in part.iloc[0]]
+        return pd.DataFrame([[*config, *kernel(shared.value, *config)]])
+
+    names = [c.split(" ")[0] for c in configs[1].split(", ")]
+    return spark.createDataFrame(*configs).groupBy(*names).applyInPandas(run, f"{configs[1]}, {schema}")
+
+
+@query("M14 M15 R05")
+def dimension_choice(spark, sf_dir):
+    """For each reducer the dimension at the elbow of its own criterion."""
+    configs = [(m, k) for m in ("pca", "mds", "isomap", "fastica") for k in range(1, 7)]
+    found = _swept(spark, sf_dir, (configs, "method string, k int"), "value double", lambda x, method, k: [K.reduced(x, method, k)[1]])
+    found = found.withColumn("rising", F.when(F.col("method") == "pca", F.col("value")).otherwise(-F.col("value")))
+    return aggregates.elbow(found, "k", "rising", "method")
+
+
+@query("M12 M14 M15 E14")
+def model_grid(spark, sf_dir):
+    """Reducers by clusterers: quality of the embedding, and clusters of its standardized coordinates."""
+
+    def fit(x, method, k, clusterer):
+        y, value = K.reduced(x, method, k)
+        q = K.embedding_quality(x, y, 5)
+        z = (y - y.mean(axis=0)) / np.maximum(y.std(axis=0), 1e-12)
+        labels = {"kmeans": lambda: K.kmeans(z, 4)[0], "hdbscan": lambda: K.hdbscan(z, 8, 4), "birch": lambda: K.birch(z, 0.5)}[clusterer]()
+        return [value, q["trust"], q["continuity"], q["rho"], q["score"], int(labels.max() + 1), int((labels < 0).sum())]
+
+    configs = [(m, k, c) for m in ("pca", "mds", "isomap", "fastica") for k in (2, 3) for c in ("kmeans", "hdbscan", "birch")]
+    return _swept(spark, sf_dir, (configs, "method string, k int, clusterer string"), "value double, trust double, continuity double, rho double, score double, clusters int, noise int", fit)
 
 
 def _field(spark, sf_dir):
@@ -181,6 +229,25 @@ def tfce_scores(spark, sf_dir):
     return stats.groupBy("label").applyInPandas(enhance, "label int, d int, score double")
 
 
+@query("H11 H08 H04")
+def tfce_inference(spark, sf_dir):
+    """Subjects: a label's patterns; maps: means over them on the sheet. Sign flips give the null of the largest score."""
+    near = [[r * 8 + c for r, c in ((d // 8 - 1, d % 8), (d // 8 + 1, d % 8), (d // 8, d % 8 - 1), (d // 8, d % 8 + 1)) if 0 <= r < 8 and 0 <= c < 8] for d in range(64)]
+    sums, n = H.signed_sums(T.patterns(spark, sf_dir), "label", "vec_id", "x", 200), F.col("n")
+    var = (F.col("q") - F.col("s") * F.col("s") / n) / (n - 1)
+    t = sums.select("label", "perm", "at", F.when(var > 0, F.col("s") / n / F.sqrt(var / n)).otherwise(0.0).alias("t"))
+
+    def enhance(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("at")
+        return pd.DataFrame({"label": part["label"], "perm": part["perm"], "d": part["at"], "score": K.tfce(part["t"].to_numpy(float), near)})
+
+    scores = store.stored(t.groupBy("label", "perm").applyInPandas(enhance, "label int, perm int, d int, score double"), "tfce")
+    null, seen = scores.where("perm >= 0"), scores.where("perm = -1").select("label", "d", "score")
+    limits = null.groupBy("label", "perm").agg(F.max("score").alias("top")).groupBy("label").agg(F.percentile("top", F.lit(0.95)).alias("threshold"))
+    held = H.max_stat(null, seen, "score", 0.05, "label").drop("critical").join(limits, "label")
+    return held.select("label", "d", "score", "p", "threshold", (F.col("score") > F.col("threshold")).alias("significant"))
+
+
 SQL_SHEET = f"{Q.SQL_GRID}, {T.SQL_E}, f AS (SELECT d, avg(x) AS v FROM e GROUP BY d), ed AS (SELECT a.d AS src, b.d AS dst FROM g a JOIN g b ON abs(a.row - b.row) + abs(a.col - b.col) = 1), mask AS (SELECT d FROM f WHERE v > 0)"
 
 
@@ -236,11 +303,12 @@ def region_growing(spark, sf_dir):
     def grow(part: pd.DataFrame) -> pd.DataFrame:
         v = part.sort_values("d")["v"].to_numpy(float)
         peaks = [d for d in range(64) if v[d] > 0 and all(v[d] >= v[u] for u in near[d])]
-        regions = N.grown_regions(v, near, [[p] for p in peaks], 0.5)
+        regions, cores = (N.grown_regions(v, near, [[p] for p in peaks], 0.5, degree) for degree in (0, 2))
+        shared = [len({*r} & {*regions[0]}) for r in regions]
         saddle = [N.merge_saddle(v, near, peaks[0], p) if p != peaks[0] else float(v[p]) for p in peaks]
-        return pd.DataFrame({"label": part["label"].iloc[0], "peak": peaks, "size": [len(r) for r in regions], "saddle": saddle})
+        return pd.DataFrame({"label": part["label"].iloc[0], "peak": peaks, "size": [len(r) for r in regions], "core": [len(r) for r in cores], "shared": shared, "saddle": saddle})
 
-    return _field(spark, sf_dir).groupBy("label").applyInPandas(grow, "label int, peak int, size int, saddle double")
+    return _field(spark, sf_dir).groupBy("label").applyInPandas(grow, "label int, peak int, size int, core int, shared int, saddle double")
 
 
 @query("M06 M05")

@@ -6,10 +6,10 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from geomlake.functions import ranks, special
+from geomlake.functions import special
 from geomlake.functions import vectors as V
 from geomlake.functions.vectors import r6
-from geomlake.operators import blocked
+from geomlake.operators import aggregates, blocked
 from geomlake.operators import pairs as P
 from geomlake.plans.registry import query
 from geomlake.sources import tables as T
@@ -30,7 +30,7 @@ def all_pairs(spark, sf_dir):
 
 @query("S07 J01 G01 G02 R01 G03 A10", f"WITH {SQL_P}, {SQL_RANK} SELECT label, count(*) AS n_pairs, round(avg(d_corr), 6) AS mean_d, round(corr(ra, rb), 6) AS rho FROM r GROUP BY label")
 def rdm_label_summary(spark, sf_dir):
-    ranked = within_labels(spark, sf_dir).withColumns({"ra": ranks.average_rank("d_corr", "label"), "rb": ranks.average_rank("d_euc", "label")})
+    ranked = aggregates.average_ranked(aggregates.average_ranked(within_labels(spark, sf_dir), "d_corr", "ra", "label"), "d_euc", "rb", "label")
     return ranked.groupBy("label").agg(F.count("*").alias("n_pairs"), F.round(F.avg("d_corr"), 6).alias("mean_d"), F.round(F.corr("ra", "rb"), 6).alias("rho"))
 
 
@@ -46,8 +46,8 @@ def pairs_within(spark, sf_dir):
 
 @query("J04", f"WITH {T.SQL_C} SELECT a.label AS ga, b.label AS gb, count(*) AS n, round(avg(1 - list_inner_product(a.z, b.z)), 6) AS d FROM c a JOIN c b ON a.label > b.label GROUP BY ALL")
 def pairs_cross(spark, sf_dir):
-    rows = P.between(P.with_units(T.patterns(spark, sf_dir)).select("vec_id", "label", "z"), "label")
-    return rows.groupBy("ga", "gb").agg(F.count("*").alias("n"), F.round(F.avg(P.correlation_distance()), 6).alias("d"))
+    rows = all_pairs(spark, sf_dir).where("la <> lb")
+    return rows.groupBy(F.greatest("la", "lb").alias("ga"), F.least("la", "lb").alias("gb")).agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("d"))
 
 
 @query("J03 J04", f"WITH {SQL_Q} SELECT i % 10 AS tenth, count(CASE WHEN la <> lb THEN d END) AS kept, count(CASE WHEN la = lb THEN d END) AS masked FROM q GROUP BY 1")
@@ -63,15 +63,14 @@ def rdm_pearson(spark, sf_dir):
 
 @query("G03 R01 J03", f"WITH {T.SQL_V}, a AS (SELECT vec_id, label, x[1:32] AS x FROM v), b AS (SELECT vec_id, label, x[33:64] AS x FROM v), pa AS (SELECT s.label, s.vec_id AS i, t.vec_id AS j, list_distance(s.x, t.x) ** 2 AS d FROM a s JOIN a t ON s.label = t.label AND s.vec_id > t.vec_id), pb AS (SELECT s.label, s.vec_id AS i, t.vec_id AS j, list_distance(s.x, t.x) ** 2 AS d FROM b s JOIN b t ON s.label = t.label AND s.vec_id > t.vec_id), r AS (SELECT label, rank() OVER (PARTITION BY label ORDER BY pa.d) AS ra, rank() OVER (PARTITION BY label ORDER BY pb.d) AS rb FROM pa JOIN pb USING (label, i, j)) SELECT label, count(*) AS n, round(corr(ra, rb), 6) AS rho FROM r GROUP BY label")
 def rdm_spearman(spark, sf_dir):
-    x = T.patterns(spark, sf_dir)
-    halves = [P.within(x.select("vec_id", "label", F.slice("x", start, 32).alias("h")), "vec_id", "label").select("label", F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), V.squared_distance("a.h", "b.h").alias(name)) for start, name in ((1, "da"), (33, "db"))]
-    return P.compared(halves[0].join(halves[1], ["label", "i", "j"]), "da", "db", "label").select("label", "n", F.round("rho", 6).alias("rho"))
+    halves = {"da": blocked.band(blocked.squared, 1, 32), "db": blocked.band(blocked.squared, 33, 64)}
+    return P.compared(blocked.within(T.patterns(spark, sf_dir), halves), "da", "db", "label").select("label", "n", F.round("rho", 6).alias("rho"))
 
 
 @query("G01", f"WITH {T.SQL_V} SELECT a.label, round(avg(1 - list_cosine_similarity(a.x, b.x)), 6) AS d, count(*) AS n FROM v a JOIN v b ON a.label = b.label AND a.vec_id > b.vec_id GROUP BY a.label")
 def rdm_cosine(spark, sf_dir):
-    rows = T.patterns(spark, sf_dir).select("vec_id", "label", V.unit("x").alias("u"))
-    return P.within(rows, "vec_id", "label").groupBy("label").agg(F.round(F.avg(1 - V.dot("a.u", "b.u")), 6).alias("d"), F.count("*").alias("n"))
+    rows = blocked.within(T.patterns(spark, sf_dir), {"d": blocked.cosine})
+    return rows.groupBy("label").agg(F.round(F.avg("d"), 6).alias("d"), F.count("*").alias("n"))
 
 
 @query("G04", f"WITH {SQL_P}, t AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY i, j) AS k, d_corr, d_euc FROM p) SELECT a.label, round(sum(sign(a.d_corr - b.d_corr) * sign(a.d_euc - b.d_euc)) / sqrt(sum(abs(sign(a.d_corr - b.d_corr))) * sum(abs(sign(a.d_euc - b.d_euc)))), 6) AS tau FROM t a JOIN t b ON a.label = b.label AND a.k > b.k GROUP BY a.label")
@@ -90,7 +89,7 @@ def grouped_rsa(spark, sf_dir):
 
 @query("R02", f"WITH {SQL_P} SELECT label, i, j, CAST(row_number() OVER (PARTITION BY label ORDER BY d_corr, i, j) - 1 AS INT) AS rk FROM p")
 def ordinal_rank(spark, sf_dir):
-    return within_labels(spark, sf_dir).select("label", "i", "j", ranks.ordinal_rank("d_corr", "label", ties=("i", "j")).alias("rk"))
+    return aggregates.numbered(within_labels(spark, sf_dir), "rk", ("label",), ("d_corr", "i", "j")).select("label", "i", "j", F.col("rk").cast("int").alias("rk"))
 
 
 @query("J05 J06 R06", f"WITH {SQL_Q}, b AS (SELECT i, j, d FROM q UNION ALL SELECT j, i, d FROM q), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rk FROM b) SELECT i, j, CAST(rk AS INT) AS rk, round(d, 6) AS d FROM k WHERE rk <= 5")

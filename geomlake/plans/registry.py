@@ -14,7 +14,7 @@ COVERS: dict[str, tuple[str, ...]] = {}
 
 
 def query(covers: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name; without sql it is tested against brute force."""
+    """Registers a query under its function's name; without sql tests hold it, or the kernel that does its work, against a plain version."""
 
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
