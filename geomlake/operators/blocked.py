@@ -133,6 +133,33 @@ def nearest(rows: DataFrame, k: int, distance=correlation) -> DataFrame:
     return _over_blocks(rows, kernel, "i long, j long, d double").withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
+def nearest_within(rows: DataFrame, k: int, distance: Callable, itself: bool = False) -> DataFrame:
+    """label, i, j, rk, d: each row's k nearest in its label by distance(x, y), which need not be symmetric."""
+    n = max(1, -(-(rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0) // BLOCK))
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, x = table["vec_id"].to_numpy(), np.array(table["x"].to_pylist(), float)
+        first = table["own"].to_numpy() == table["p"].to_numpy()
+        same = table["p"][0].as_py() == table["q"][0].as_py()
+        out: list[tuple[np.ndarray, ...]] = []
+        for mine, theirs in ((first, first),) if same else ((first, ~first), (~first, first)):
+            if not mine.any() or not theirs.any():
+                continue
+            a, b, d = ids[mine], ids[theirs], distance(x[mine], x[theirs]).astype(float)
+            if not itself:
+                d = np.where(a[:, None] == b, np.inf, d)
+            order = np.lexsort((np.broadcast_to(b, d.shape), d), axis=1)[:, :k]
+            i, j = np.repeat(np.arange(len(a)), order.shape[1]), order.ravel()
+            ok = np.isfinite(d[i, j])
+            out.append((a[i][ok], b[j][ok], d[i, j][ok]))
+        i, j, d = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (ids[:0], ids[:0], np.zeros(0))
+        return pa.table({"label": pa.array(np.full(len(i), table["label"][0].as_py(), np.int32)), "i": i, "j": j, "d": d})
+
+    found = _dealt(rows, n).groupBy("label", "p", "q").applyInArrow(run, "label int, i long, j long, d double")
+    w = Window.partitionBy("i").orderBy("d", "j")
+    return found.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
+
+
 def group_means(rows: DataFrame, distance=euclidean) -> DataFrame:
     """i, label, other, m: each row's mean distance to the other rows of every label."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -137,10 +138,9 @@ def arithmetic_key(a, b, seed: int, prime: int = 1_000_003):
 
 @query("J08", f"WITH {T.SQL_V}, r AS (SELECT a.label, a.vec_id AS unit, b.vec_id AS mate, row_number() OVER (PARTITION BY a.vec_id ORDER BY (a.vec_id * 7919 + b.vec_id * 104729 + 5) % 1000003, b.vec_id) AS rk FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT label, unit, mate, CAST(rk AS INT) AS rk FROM r WHERE rk <= 3")
 def random_same_group(spark, sf_dir):
-    v = T.patterns(spark, sf_dir)
-    met = v.select("label", F.col("vec_id").alias("unit")).join(v.select("label", F.col("vec_id").alias("mate")), "label").where("unit <> mate")
-    met = met.withColumn("key", arithmetic_key(F.col("unit"), F.col("mate"), 5))
-    return P.nearest(met, "unit", "key", "mate", 3).select("label", "unit", "mate", "rk")
+    ids = T.patterns(spark, sf_dir).select("vec_id", "label", F.array(F.col("vec_id").cast("double")).alias("x"))
+    found = blocked.nearest_within(ids, 3, lambda a, b: arithmetic_key(a, b[:, 0], 5))
+    return found.select("label", F.col("i").alias("unit"), F.col("j").alias("mate"), "rk")
 
 
 @query("J09 U02", f"WITH {T.SQL_SUB}, a AS (SELECT DISTINCT subject FROM sub WHERE unit = 'AF' AND value > 36), b AS (SELECT DISTINCT subject FROM sub WHERE unit = 'NO' AND value > 36) SELECT subject FROM a INTERSECT SELECT subject FROM b")
@@ -175,10 +175,10 @@ def permuted_pairs(spark, sf_dir):
 
 @query("J12 H10", f"WITH {T.SQL_V}, a AS (SELECT vec_id, label, [x[1], x[2], x[3]] AS x, [-x[2], x[1], x[3]] AS y FROM v), q AS (SELECT a.vec_id, b.vec_id AS mate, list_inner_product(a.y, b.x) AS s FROM a JOIN a b ON a.label = b.label) SELECT vec_id, arg_max(mate, (s, -mate)) AS nearest FROM q GROUP BY vec_id")
 def rotation_1nn(spark, sf_dir):
-    x = F.col("x")
-    a = T.patterns(spark, sf_dir).select("vec_id", "label", F.slice("x", 1, 3).alias("u"), F.array(-x[1], x[0], x[2]).alias("turned"))
-    met = a.select("label", "vec_id", "turned").join(a.select("label", F.col("vec_id").alias("mate"), "u"), "label")
-    return met.groupBy("vec_id").agg(F.max_by("mate", F.struct(V.dot("turned", "u"), -F.col("mate"))).alias("nearest"))
+    a = T.patterns(spark, sf_dir).select("vec_id", "label", F.slice("x", 1, 3).alias("x"))
+    turn = np.array([[0.0, 1.0, 0.0], [-1.0, 0.0, 0.0], [0.0, 0.0, 1.0]])
+    found = blocked.nearest_within(a, 1, lambda x, y: -(x @ turn) @ y.T, itself=True)
+    return found.select(F.col("i").alias("vec_id"), F.col("j").alias("nearest"))
 
 
 SQL_MATE = f"{T.SQL_V}, o AS (SELECT vec_id, label, x, row_number() OVER (ORDER BY label, (vec_id * 7919 + 11) % 1000003, vec_id) - 1 AS rn, count(*) OVER () AS n FROM v), big AS (SELECT max(k) AS k FROM (SELECT count(*) AS k FROM v GROUP BY label)), mate AS (SELECT o.vec_id, o.label, o.x, m.vec_id AS mate, m.label AS mate_label, m.x AS y FROM o, big JOIN o m ON m.rn = (o.rn - big.k + o.n) % o.n)"
