@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -267,41 +268,71 @@ def nmf(x: np.ndarray, k: int, steps: int = 200) -> tuple[np.ndarray, np.ndarray
     return w, h
 
 
-def hmm(x: np.ndarray, lengths: list[int], k: int, steps: int = 50, start: int = 0) -> tuple[float, np.ndarray]:
-    """Log likelihood and state posteriors of a Gaussian hidden Markov model with diagonal variances."""
-    n, d = x.shape
-    order = np.argsort((np.arange(n) * 7919 + start * 104_729) % 1_000_003)
-    means, var = x[order[:k]].copy(), np.tile(x.var(axis=0) + 1e-3, (k, 1))
-    first, move = np.full(k, 1 / k), np.full((k, k), 0.1 / max(1, k - 1)) + np.eye(k) * (0.9 - 0.1 / max(1, k - 1))
-    total, gamma = -np.inf, np.zeros((n, k))
-    for _ in range(steps):
-        logs = -0.5 * (((x[:, None] - means) ** 2 / var) + np.log(2 * np.pi * var)).sum(axis=2)
+class Hidden(NamedTuple):
+    """A Gaussian hidden Markov model with diagonal variances."""
+
+    first: np.ndarray
+    move: np.ndarray
+    means: np.ndarray
+    var: np.ndarray
+
+    def passed(self, x: np.ndarray, lengths: list[int]) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Log likelihood, state posteriors, expected moves and openings, runs apart, forwards and backwards."""
+        k = len(self.first)
+        logs = -0.5 * (((x[:, None] - self.means) ** 2 / self.var) + np.log(2 * np.pi * self.var)).sum(axis=2)
         top = logs.max(axis=1, keepdims=True)
-        emit = np.exp(logs - top)
-        xi, before, total, at, opening = np.zeros((k, k)), total, float(top.sum()), 0, np.zeros(k)
+        emit, gamma, xi, opening, total, at = np.exp(logs - top), np.zeros((len(x), k)), np.zeros((k, k)), np.zeros(k), float(top.sum()), 0
         for length in lengths:
             e = emit[at : at + length]
             alpha, scale = np.zeros((length, k)), np.zeros(length)
             for t in range(length):
-                a = e[t] * (first if t == 0 else alpha[t - 1] @ move)
+                a = e[t] * (self.first if t == 0 else alpha[t - 1] @ self.move)
                 scale[t] = max(a.sum(), 1e-300)
                 alpha[t] = a / scale[t]
             beta = np.ones((length, k))
             for t in range(length - 2, -1, -1):
-                beta[t] = move @ (e[t + 1] * beta[t + 1]) / scale[t + 1]
-                xi += move * np.outer(alpha[t], e[t + 1] * beta[t + 1]) / scale[t + 1]
+                ahead = e[t + 1] * beta[t + 1] / scale[t + 1]
+                beta[t] = self.move @ ahead
+                xi += self.move * np.outer(alpha[t], ahead)
             g = alpha * beta
             gamma[at : at + length] = g / g.sum(axis=1, keepdims=True)
             opening += gamma[at]
             total += float(np.log(scale).sum())
             at += length
-        weight = np.maximum(gamma.sum(axis=0), 1e-9)
-        first, move = opening / opening.sum(), (xi + 1e-6) / (xi + 1e-6).sum(axis=1, keepdims=True)
-        means = gamma.T @ x / weight[:, None]
-        var = np.maximum(gamma.T @ (x * x) / weight[:, None] - means**2, 1e-3)
+        return total, gamma, xi, opening
+
+
+def hmm_fit(x: np.ndarray, lengths: list[int], k: int, steps: int = 50, start: int = 0) -> Hidden:
+    """By expectation maximization from k rows that the start picks."""
+    order = np.argsort((np.arange(len(x)) * 7919 + start * 104_729) % 1_000_003)
+    move = np.full((k, k), 0.1 / max(1, k - 1)) + np.eye(k) * (0.9 - 0.1 / max(1, k - 1))
+    model, total = Hidden(np.full(k, 1 / k), move, x[order[:k]].copy(), np.tile(x.var(axis=0) + 1e-3, (k, 1))), -np.inf
+    for _ in range(steps):
+        before, (total, gamma, xi, opening) = total, model.passed(x, lengths)
+        weight = np.maximum(gamma.sum(axis=0), 1e-9)[:, None]
+        means = gamma.T @ x / weight
+        model = Hidden(opening / opening.sum(), (xi + 1e-6) / (xi + 1e-6).sum(axis=1, keepdims=True), means, np.maximum(gamma.T @ (x * x) / weight - means**2, 1e-3))
         if abs(total - before) < 1e-4 * abs(total):
             break
-    return total, gamma
+    return model
+
+
+def hmm(x: np.ndarray, lengths: list[int], k: int, steps: int = 50, start: int = 0) -> tuple[float, np.ndarray]:
+    """Log likelihood and state posteriors of the fitted model."""
+    return hmm_fit(x, lengths, k, steps, start).passed(x, lengths)[:2]
+
+
+def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
+    """Agreement of two labelings beyond chance: 1 if equal but for names, near 0 for unrelated ones."""
+    _, i = np.unique(a, return_inverse=True)
+    _, j = np.unique(b, return_inverse=True)
+    table = np.zeros((i.max() + 1, j.max() + 1))
+    np.add.at(table, (i, j), 1)
+    pairs = lambda n: float((n * (n - 1) / 2).sum())
+    both, one, other, every = pairs(table), pairs(table.sum(axis=1)), pairs(table.sum(axis=0)), len(a) * (len(a) - 1) / 2
+    chance = one * other / every
+    most = (one + other) / 2
+    return 1.0 if most == chance else (both - chance) / (most - chance)
 
 
 def tfce(values: np.ndarray, near: list[list[int]], step: float = 0.1, e: float = 0.5, h: float = 2.0) -> np.ndarray:

@@ -120,23 +120,44 @@ def ward_selectivity(spark, sf_dir):
     return M.per_group(T.patterns(spark, sf_dir), "label", select, "cluster int, n int, first long, score double")
 
 
-@query("")
+#: TRs of a signal that one task holds at most.
+SIGNAL = 2_000_000
+
+
+@query("M10")
 def hmm_states(spark, sf_dir):
+    """By number of states: the best of five starts, its BIC and agreement with the second best, and the mean likelihood of held-out runs."""
     s = T.signal(spark, sf_dir).groupBy("run", "k").pivot("unit", ["click", "error", "purchase", "signup", "view"]).agg(F.first("value"))
-    configs = spark.range(9).select((F.col("id") % 3 + 2).cast("int").alias("states"), F.floor(F.col("id") / 3).cast("int").alias("start"))
-    held = s.groupBy(F.lit(1).alias("one")).agg(F.array_sort(F.collect_list(F.struct("run", "k", F.array("click", "error", "purchase", "signup", "view").alias("x")))).alias("rows"))  # a signal of hours: bounded by its length
+    if s.count() > SIGNAL:
+        raise ValueError(f"a signal of more than {SIGNAL} TRs")
+    table = s.orderBy("run", "k").toPandas()
+    x = table[["click", "error", "purchase", "signup", "view"]].to_numpy(float)
+    x = (x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-9)
+    shared = spark.sparkContext.broadcast((x, table["run"].to_numpy()))
+    runs = sorted(set(table["run"].tolist()))
+    tasks = [(k, start, -1) for k in (2, 3, 4) for start in range(5)] + [(k, 0, run) for k in (2, 3, 4) for run in runs]
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        rows = part["rows"].iloc[0]
-        x = np.array([list(r["x"]) for r in rows], float)
-        x = (x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-9)
-        runs = pd.Series([r["run"] for r in rows])
-        k = int(part["states"].iloc[0])
-        loglik, gamma = K.hmm(x, runs.value_counts(sort=False).tolist(), k, steps=15, start=int(part["start"].iloc[0]))
-        free = k * k + 2 * k * x.shape[1] - 1
-        return pd.DataFrame([(k, int(part["start"].iloc[0]), loglik, free * np.log(len(x)) - 2 * loglik, int(len(np.unique(gamma.argmax(axis=1)))))], columns=["states", "start", "loglik", "bic", "used"])
-
-    return configs.join(F.broadcast(held)).groupBy("states", "start").applyInPandas(fit, "states int, start int, loglik double, bic double, used int")
+        x, run = shared.value
+        k, start, held = (int(v) for v in part.iloc[0])
+        lengths = lambda rows: pd.Series(run[rows]).value_counts(sort=False).tolist()
+        test = run == held
+        model = K.hmm_fit(x[~test], lengths(~test), k, steps=15, start=start)
+        if held >= 0:
+            return pd.DataFrame([(k, start, held, model.passed(x[test], lengths(test))[0], [])], columns=["states", "start", "held", "loglik", "path"])
+        total, gamma = model.passed(x, lengths(~test))[:2]
+        return pd.DataFrame([(k, start, held, total, gamma.argmax(axis=1).tolist())], columns=["states", "start", "held", "loglik", "path"])
+
+    def chosen(part: pd.DataFrame) -> pd.DataFrame:
+        fits = part[part["held"] < 0].sort_values(["loglik", "start"], ascending=[False, True])
+        k, best, n, d = int(part["states"].iloc[0]), fits.iloc[0], *shared.value[0].shape
+        agreement = K.adjusted_rand(np.array(best["path"]), np.array(fits.iloc[1]["path"]))
+        free = k * k + 2 * k * d - 1
+        return pd.DataFrame([(k, int(best["start"]), float(best["loglik"]), float(free * np.log(n) - 2 * best["loglik"]), agreement, float(part.loc[part["held"] >= 0, "loglik"].mean()))])
+
+    schema = "states int, start int, held int, loglik double, path array<int>"
+    fits = spark.createDataFrame(tasks, "states int, start int, held int").groupBy("states", "start", "held").applyInPandas(fit, schema)
+    return fits.groupBy("states").applyInPandas(chosen, "states int, start int, loglik double, bic double, agreement double, held_out double")
 
 
 #: Of the scaling methods, as in the reference; ICA is fitted on all rows.

@@ -20,7 +20,7 @@ def test_runs_without_sql(spark, name):
 
 def test_operators_built_in_part_are_not_claimed():
     claimed = {c for covers in registry.COVERS.values() for c in covers}
-    assert "M10" not in claimed and "H08" not in registry.COVERS["tfce_scores"]
+    assert "M04" not in claimed and "H08" not in registry.COVERS["tfce_scores"]
 
 
 def test_banded_ridge_partition_searches_the_whole_grid(spark, monkeypatch):

@@ -210,6 +210,34 @@ def test_ward_selectivity(spark, patterns):
         assert sorted(g[:2] for g in got[label]) == want and sum(w[0] for w in want) == len(own)
 
 
+def test_hmm_sweep(spark):
+    got = {r["states"]: r for r in rows(spark, "hmm_states")}
+    assert sorted(got) == [2, 3, 4] and all(-1 <= r["agreement"] <= 1 and r["held_out"] < 0 for r in got.values())
+    assert got[4]["loglik"] > got[2]["loglik"]
+
+
+def test_hmm_likelihood_by_every_path():
+    rng = np.random.default_rng(2)
+    x, lengths = rng.standard_normal((7, 2)), [4, 3]
+    model = kernels.hmm_fit(x, lengths, 2, steps=3)
+    density = np.exp(-0.5 * ((x[:, None] - model.means) ** 2 / model.var + np.log(2 * np.pi * model.var)).sum(axis=2))
+    total, at, gamma = 0.0, 0, np.zeros((7, 2))
+    for n in lengths:
+        chances = {p: model.first[p[0]] * math.prod(model.move[a, b] for a, b in itertools.pairwise(p)) * math.prod(density[at + t, s] for t, s in enumerate(p)) for p in itertools.product((0, 1), repeat=n)}
+        whole = sum(chances.values())
+        for p, c in chances.items():
+            gamma[np.arange(at, at + n), list(p)] += c / whole
+        total, at = total + math.log(whole), at + n
+    found = model.passed(x, lengths)
+    assert found[0] == pytest.approx(total) and found[1] == pytest.approx(gamma)
+
+
+def test_adjusted_rand():
+    a = np.array([0, 0, 1, 1, 2, 2])
+    assert kernels.adjusted_rand(a, np.array([5, 5, 3, 3, 9, 9])) == 1
+    assert kernels.adjusted_rand(a, np.array([0, 0, 1, 2, 2, 2])) == pytest.approx((2 - 3 * 4 / 15) / (3.5 - 12 / 15))
+
+
 def test_kmeans_finds_the_best_of_many_starts():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.standard_normal((20, 2)) + c for c in ((0, 0), (9, 0), (0, 9), (9, 9))])
