@@ -94,9 +94,11 @@ def ica(rows: DataFrame, x: str, k: int, steps: int = 200) -> tuple[np.ndarray,
     return mean, white @ w.T
 
 
-def banded_ridge(design: dict[str, np.ndarray], groups: np.ndarray, targets: DataFrame, n_draws: int = 20, penalties: np.ndarray | None = None) -> DataFrame:
+def banded_ridge(design: dict[str, np.ndarray], groups: np.ndarray, targets: DataFrame, n_draws: int = 20, penalties: np.ndarray | None = None, scale: bool = False) -> DataFrame:
     """target, subset, r2: held-out R² of every target for all subsets of the bands, leaving one group out.
 
+    Features are centred, and with `scale` standardized, by the training rows.
+
     design: a matrix for each band, rows by window (broadcast: its size is windows by features).
     targets: target, y (array over the windows). Targets are independent, so partitions of them are
     fitted side by side; inner folds leave one of the remaining groups out.
@@ -117,8 +119,9 @@ def banded_ridge(design: dict[str, np.ndarray], groups: np.ndarray, targets: Dat
                 for held in np.unique(fold):
                     train, test = fold != held, fold == held
                     means = [bands[b][train].mean(axis=0) for b in subset]
-                    xs = [bands[b][train] - m for b, m in zip(subset, means, strict=True)]
-                    new = [bands[b][test] - m for b, m in zip(subset, means, strict=True)]
+                    spreads = [np.maximum(bands[b][train].std(axis=0), 1e-12) if scale else 1.0 for b in subset]
+                    xs = [(bands[b][train] - m) / s for b, m, s in zip(subset, means, spreads, strict=True)]
+                    new = [(bands[b][test] - m) / s for b, m, s in zip(subset, means, spreads, strict=True)]
                     draws = kernels.band_draws(n_draws if len(subset) > 1 else 1, len(subset))
                     best, _ = kernels.ridge_path(xs, y[train], fold[train], draws, penalties)
                     for d, p in np.unique(best, axis=0):

@@ -69,12 +69,23 @@ def training_pca(spark, sf_dir):
 @query("M02 M01 E09 E11")
 def banded_ridge_partition(spark, sf_dir):
     """Targets: the last 16 features; bands: features 0-15, 16-31, 32-47; windows: labels' means; groups: halves of ten."""
+    return M.banded_ridge(*_windows(spark, sf_dir))
+
+
+@query("M04 M02")
+def connective_ridge(spark, sf_dir):
+    """As above with two regions as bands, standardized, and penalties of 1e1 to 1e20."""
+    design, groups, targets = _windows(spark, sf_dir)
+    return M.banded_ridge({"a": design["a"], "v": design["v"]}, groups, targets, penalties=np.logspace(1, 20, 20), scale=True)
+
+
+def _windows(spark, sf_dir):
     rows = T.patterns(spark, sf_dir).groupBy("label", (F.col("vec_id") % 12).alias("part")).agg(*[F.avg(F.col("x")[i]).alias(f"f{i}") for i in range(64)])
     table = rows.orderBy("label", "part").toPandas()  # at most 10 labels by 12 parts
     x = table[[f"f{i}" for i in range(64)]].to_numpy()
     design = {"a": x[:, :16], "j": x[:, 32:48], "v": x[:, 16:32]}
     targets = spark.createDataFrame([(i, [float(v) for v in x[:, i]]) for i in range(48, 64)], "target int, y array<double>")
-    return M.banded_ridge(design, table["label"].to_numpy() % 5, targets.repartition(4))
+    return design, table["label"].to_numpy() % 5, targets.repartition(4)
 
 
 @query("G16")

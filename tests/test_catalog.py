@@ -20,7 +20,7 @@ def test_runs_without_sql(spark, name):
 
 def test_operators_built_in_part_are_not_claimed():
     claimed = {c for covers in registry.COVERS.values() for c in covers}
-    assert "M04" not in claimed and "H08" not in registry.COVERS["tfce_scores"]
+    assert not claimed & {"S11", "S18", "S19", "K09", "K11"} and "H08" not in registry.COVERS["tfce_scores"]
 
 
 def test_banded_ridge_partition_searches_the_whole_grid(spark, monkeypatch):
@@ -29,7 +29,7 @@ def test_banded_ridge_partition_searches_the_whole_grid(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(models, "banded_ridge", lambda design, groups, targets, n_draws=20, penalties=None: seen.append((n_draws, penalties)))
     QUERIES["banded_ridge_partition"](spark, SF)
-    assert seen == [(20, None)] and "M04" not in registry.COVERS["banded_ridge_partition"]
+    assert seen == [(20, None)] and "M04" not in registry.COVERS["banded_ridge_partition"] and "M04" in registry.COVERS["connective_ridge"]
 
 
 def test_entry_contract(spark):

@@ -210,6 +210,36 @@ def test_ward_selectivity(spark, patterns):
         assert sorted(g[:2] for g in got[label]) == want and sum(w[0] for w in want) == len(own)
 
 
+def test_connective_ridge_of_one_band(spark, patterns):
+    ids, labels, x = patterns
+    cells = sorted({(label, i % 12) for label, i in zip(labels.tolist(), ids.tolist(), strict=True)})
+    f = np.array([x[(labels == label) & (ids % 12 == part)].mean(axis=0) for label, part in cells])
+    groups, design = np.array([c[0] for c in cells]) % 5, f[:, :16]
+    got = {r["target"]: r["r2"] for r in rows(spark, "connective_ridge") if r["subset"] == "a"}
+
+    def guess(xs, y, new, penalty):
+        z = (xs - xs.mean(axis=0)) / xs.std(axis=0)
+        return (new - xs.mean(axis=0)) / xs.std(axis=0) @ np.linalg.solve(z.T @ z + penalty * np.eye(16), z.T @ (y - y.mean())) + y.mean()
+
+    for target in (48, 55, 63):
+        y, out = f[:, target], np.zeros(len(f))
+        for held in np.unique(groups):
+            train = groups != held
+            # Inner folds centre and scale by the outer training rows, as the kernel is made once.
+            z = (design[train] - design[train].mean(axis=0)) / design[train].std(axis=0)
+            best = (-np.inf, 0)
+            for p, penalty in enumerate(np.logspace(1, 20, 20)):
+                total = 0.0
+                for fold in np.unique(groups[train]):
+                    a, b = groups[train] != fold, groups[train] == fold
+                    ya, yb = y[train][a], y[train][b]
+                    inner = z[b] @ np.linalg.solve(z[a].T @ z[a] + penalty * np.eye(16), z[a].T @ (ya - ya.mean())) + ya.mean()
+                    total += 1 - ((yb - inner) ** 2).sum() / ((yb - yb.mean()) ** 2).sum()
+                best = max(best, (total + (1e-9 if p == 0 else 0), -p))
+            out[~train] = guess(design[train], y[train], design[~train], np.logspace(1, 20, 20)[-best[1]])
+        assert got[target] == pytest.approx(1 - ((y - out) ** 2).sum() / ((y - y.mean()) ** 2).sum(), abs=1e-4)
+
+
 def test_hmm_sweep(spark):
     got = {r["states"]: r for r in rows(spark, "hmm_states")}
     assert sorted(got) == [2, 3, 4] and all(-1 <= r["agreement"] <= 1 and r["held_out"] < 0 for r in got.values())
