@@ -13,8 +13,9 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
 
     Every round takes the smallest label among a vertex's neighbours and then its label's label,
     so the rounds grow with the logarithm of the longest path. Each round's labels are a table in
-    the shared folder; edges and labels never leave the executors. Hubs are aggregated on the map
-    side before they meet.
+    the shared folder; edges and labels never leave the executors. Where a hub's edges meet its label,
+    adaptive plans split the partition; what they bring is aggregated on the map side before it is
+    dealt to their other ends. Edges with a null end connect nothing; loops and repeats change nothing.
     """
     both = common.saved(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct(), "edges")
     labels = common.saved(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("label")), "labels")

@@ -10,7 +10,8 @@ Only the stream's last window can be short. It is cut at powers of two, largest
 no sequence needs padding at all.
 
 Cases: a null or empty text has its end id alone; a null doc_id is kept; equal rows are packed
-each on their own; an empty table gives no piece; a text longer than a window spans several.
+each on their own; an empty table gives no piece; a text longer than a window spans several; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

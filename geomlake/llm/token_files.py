@@ -12,7 +12,8 @@ A file holds whole documents in order:
 A reader seeks to the index, then reads only the blocks that it needs.
 
 Cases: a null text counts as empty and still gets its end id; a null doc_id sorts first and is
-kept; rows with equal doc_id are ordered by text, equal rows are interchangeable; an empty table
+kept; rows with equal doc_id are ordered by a hash of their text, then the text, so that an id that
+many rows share is dealt to many tasks, and equal rows are interchangeable; an empty table
 gives no file and no row; extra columns are ignored; a long text may exceed a file's target size,
 which ends at the next document.
 """
@@ -28,12 +29,14 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geomlake.llm import common, word_ids
 
 MAGIC, BLOCK, FILE_IDS = b"GLTF", 1 << 16, 8 << 20
+#: Tasks that read files at most; a task reads its files one after the other.
+TASKS = 20_000
 NULL_ID = np.iinfo(np.int64).min
 _HEAD = "<4sBBBBIQQ"
 
@@ -117,7 +120,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     writes under a name of its own attempt and renames, so a repeated task leaves the same files.
     """
     source = common.texts(docs)
-    dealt = source.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    dealt = source.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, task = word_ids.loaded(tokenizer), TaskContext.get()
@@ -153,14 +156,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    The files' starts are prefix sums over one row per file, kept by the driver; everything that
-    grows with the documents stays on the executors, one task for each file.
+    A file's start is the sum over earlier files of its part, which a window adds up, and over earlier
+    parts, one number for each writing task, which the driver does. Tasks read a file at a time.
     """
     spark = files.sparkSession
-    listed = files.orderBy("part", "seq").select("path", "n_ids").toPandas()
-    starts = np.concatenate([[0], np.cumsum(listed["n_ids"].to_numpy(np.int64))])[: len(listed)]
-    plan = spark.createDataFrame(list(zip(listed["path"].tolist(), starts.tolist(), strict=True)), "path string, start long")
-    plan = plan.repartition(max(1, len(listed)))
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"), F.count("*").alias("files")).toPandas().sort_values("part")
+    ends = np.cumsum(parts["n"].to_numpy(np.int64))
+    before = spark.createDataFrame(list(zip(parts["part"].tolist(), (ends - parts["n"].to_numpy(np.int64)).tolist(), strict=True)), "part int, before long")
+    earlier = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    plan = files.withColumn("inside", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0))).join(F.broadcast(before), "part")  # a row for each task
+    plan = plan.select("path", (F.col("before") + F.col("inside")).alias("start")).repartition(max(1, min(TASKS, int(parts["files"].sum()))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")

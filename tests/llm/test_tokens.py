@@ -74,6 +74,16 @@ def test_token_files_equal_brute_force(spark, tmp_path, file_ids):
     assert sorted(got, key=lambda r: r[1]) == want
 
 
+def test_token_files_of_an_id_that_many_rows_share(spark, tmp_path):
+    rows = [(5, f"text {i % 40}") for i in range(200)] + [(4, "before"), (6, "after")]
+    files = token_files.write_token_files(frame(spark, rows).repartition(7), str(tmp_path / "f"), WORD, file_ids=50)
+    got = sorted((tuple(r) for r in token_files.read_token_files(files, str(tmp_path / "f")).collect()), key=lambda r: r[1])
+    library = word_ids.WordTokenizer(WORD).library
+    want = sorted((d, zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())) for d, t in rows)
+    assert sorted((r[0], r[3]) for r in got) == want and [r[0] for r in got] == sorted(d for d, _ in rows)
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got]).tolist()[:-1]]
+
+
 def test_token_files_of_an_empty_table(spark, tmp_path):
     files = token_files.write_token_files(frame(spark, []), str(tmp_path / "f"), WORD)
     assert token_files.read_token_files(files, str(tmp_path / "f")).count() == 0
@@ -99,6 +109,11 @@ def test_packing_covers_every_id_once(spark, window):
     for doc_id, ids in expected_ids(1):
         spans = sorted({(r["start"], r["length"], r["ids_crc32"]) for r in pieces[(doc_id, len(ids))]})
         assert {zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes()) == crc for a, n, crc in spans} == {True}
+        # One row of its id: its pieces follow one another from its first id to its last.
+        if doc_id != 3:
+            assert [a for a, _, _ in spans] == [0, *np.cumsum([n for _, n, _ in spans]).tolist()[:-1]]
+            assert sum(n for _, n, _ in spans) == len(ids) == pieces[(doc_id, len(ids))][0]["doc_tokens"]
+    assert sum(r["length"] for r in pieces[(3, len(dict(expected_ids(1))[3]))]) == 2 * len(dict(expected_ids(1))[3])
     assert packing.packed(frame(spark, []), WORD).count() == 0
 
 
