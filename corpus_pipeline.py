@@ -19,24 +19,43 @@ LOW_LANGUAGE, SHARE_LANGUAGE = 0.01, 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the documents themselves teach."""
+    """Documents in one of the languages that the documents themselves teach.
+
+    Null texts and texts without letters go; null languages teach nothing, and where none is learned all
+    rows go; whole texts are read; a cosine at the cut stays; repeated rows are judged alike; a null
+    doc_id is no reason to go; an empty table stays empty; extra columns are handed on, whatever their names.
+    """
     names, vectors = language_id.profiles(docs)
     return language_id.spoken(docs, names, vectors, language_id.cuts(docs, names, vectors, LOW_LANGUAGE, SHARE_LANGUAGE))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps."""
+    """Documents that the co-trained classifier keeps.
+
+    Null texts count as empty; null metadata and labels are as in quality; without enough labels of both
+    classes all rows stay; a score at the cut stays; repeated rows are judged alike; an empty table stays
+    empty; extra columns are handed on.
+    """
     model = quality.learned(docs, common.table(spark, sf_dir, "labels"))
     return quality.accepted(docs, model)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: five-word shingles, similarity 0.8."""
+    """One document of each class of near-duplicates: five-word shingles, similarity 0.8.
+
+    The row with the smallest doc_id of a class stays, then the smallest hash of its text. Rows without a
+    word (null, empty) or doc_id stay; rows that share a doc_id go or stay each by its text; of rows
+    equal in both one stays; an empty table stays empty; extra columns are handed on.
+    """
     return near_dups.one_each(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
+    """Pieces of the documents in sequences of 2048 tokens.
+
+    A null or empty text is its end id alone; a null doc_id and repeated rows are packed each; an empty
+    table gives no piece; other columns are not returned.
+    """
     return packing.packed(docs, public_tokenizers.path(WORD_BPE))
 
 
