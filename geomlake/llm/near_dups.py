@@ -385,10 +385,12 @@ def one_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     rows = labelled(docs, k, percent).where("label IS NOT NULL").groupBy("label", "doc_id", "mark").agg(F.count("*").alias("n"))
     rows = common.saved(rows, "components")
-    first = rows.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
-    marked = rows.join(first, "label").select("doc_id", "mark", "n", (F.struct("doc_id", "mark") == F.col("first")).alias("stays"))
-    gone = common.saved(marked.where("NOT stays").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct(), "gone")
-    twice = common.saved(marked.where("stays AND n > 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")), "twice")
+    first = rows.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("first")).select("label", "first.*")
+    # Joined by row, not by component: a component may hold a third of all rows.
+    of = ["label", "doc_id", "mark"]
+    named = lambda found: found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    gone = common.saved(named(rows.join(first, of, "left_anti")), "gone")
+    twice = common.saved(named(rows.where("n > 1").join(first, of, "left_semi")), "twice")
     here = lambda other: (docs["doc_id"].cast("long") == other["_id"]) & (F.xxhash64(docs["text"]) == other["_mark"])
     kept = docs.join(small(gone), here(gone), "left_anti")
     if twice.isEmpty():
