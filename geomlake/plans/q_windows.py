@@ -161,7 +161,10 @@ def global_regression(spark, sf_dir):
     return A.global_regression(T.signal(spark, sf_dir)).select("unit", "run", "k", r6("value").alias("v"))
 
 
-@query("A01 A02 A03 A04", _SMOOTH + ", b AS (SELECT *, avg(raw) OVER g AS base, avg(value) OVER g AS m FROM hp WINDOW g AS (PARTITION BY unit, run)), q AS (SELECT unit, run, k, (value - m) / CASE WHEN abs(base) < 1e-6 THEN 1 ELSE abs(base) END * 100 AS v FROM b) SELECT unit, run, k, 'sg_psc_gsr' AS steps, round(v - avg(v) OVER (PARTITION BY run, k), 6) + 0.0 AS v FROM q")
+_CLEAN = _SMOOTH + ", b AS (SELECT *, avg(raw) OVER g AS base, avg(value) OVER g AS m FROM hp WINDOW g AS (PARTITION BY unit, run)), q AS (SELECT unit, run, k, (value - m) / CASE WHEN abs(base) < 1e-6 THEN 1 ELSE abs(base) END * 100 AS v FROM b), z AS (SELECT unit, run, k, round(v - avg(v) OVER (PARTITION BY run, k), 6) + 0.0 AS v FROM q)"
+
+
+@query("A01 A02 A03 A04", _CLEAN + " SELECT unit, run, k, 'sg_psc_gsr' AS steps, v FROM z")
 def cleaned_signal(spark, sf_dir):
     s = T.signal(spark, sf_dir)
     base = s.groupBy("unit", "run").agg(F.avg("value").alias("base"))
@@ -169,6 +172,15 @@ def cleaned_signal(spark, sf_dir):
     return rows.select("unit", "run", "k", F.concat_ws("_", F.lit("sg"), F.lit("psc"), F.lit("gsr")).alias("steps"), r6("value").alias("v"))
 
 
+@query("S05 A04", _CLEAN + ", rn AS (SELECT run, max(k) + 1 AS n FROM z GROUP BY run), ro AS (SELECT run, n, coalesce(sum(n) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM rn) SELECT unit, run, CAST(n AS INT) AS run_trs, CAST(base + k AS INT) AS place, v FROM z JOIN ro USING (run)")
+def cleaned_runs_in_line(spark, sf_dir):
+    """Every run cleaned by itself, then all in one line: the place of a TR counts those of earlier runs."""
+    rows = cleaned_signal(spark, sf_dir)
+    trs = rows.groupBy("run").agg((F.max("k") + 1).cast("int").alias("run_trs"))  # a row for each run
+    before = F.coalesce(F.sum("run_trs").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(trs.withColumn("before", before), "run").select("unit", "run", "run_trs", (F.col("before") + F.col("k")).cast("int").alias("place"), "v")
+
+
 _HRF = special.hrf()[:16]
 
 
