@@ -66,15 +66,28 @@ def k_core(vertices: DataFrame, edges: DataFrame, least: int, rounds: int = 1000
     raise RuntimeError("the core did not settle")
 
 
-def geodesic_knn(edges: DataFrame, group: str, k: int) -> DataFrame:
-    """group, src, rk, dst, dist: the k nearest along weighted edges (group, src, dst, w), by Dijkstra per group."""
+def voxel_edges(voxels: DataFrame) -> DataFrame:
+    """src, dst, w of voxels (vertex, i, j, k) that touch by a face, an edge or a corner: equi-joins on shifted cells."""
+    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)]
+    moved = F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j"), (F.col("k") + c).alias("k"), F.lit(float(a * a + b * b + c * c) ** 0.5).alias("w")) for a, b, c in steps])
+    near = voxels.select(F.col("vertex").alias("src"), F.explode(moved).alias("n")).select("src", "n.*")
+    return near.join(voxels.withColumnRenamed("vertex", "dst"), ["i", "j", "k"]).select("src", "dst", "w")
 
-    def search(part: pd.DataFrame) -> pd.DataFrame:
+
+def geodesic_knn(edges: DataFrame, group: str, k: int, places: DataFrame | None = None) -> DataFrame:
+    """group, src, rk, dst, dist: the k nearest along weighted edges (group, src, dst, w), by Dijkstra per group.
+
+    With places (group, vertex, x), a vertex that reaches fewer than k others is filled up by the nearest in
+    space of those that it doesn't reach, with a null dist; a vertex without edges has them all so.
+    """
+
+    def search(part: pd.DataFrame, at: pd.DataFrame | None = None) -> pd.DataFrame:
         near: dict[int, list[tuple[float, int]]] = {}
         for s, d, w in zip(part["src"], part["dst"], part["w"], strict=True):
             near.setdefault(int(s), []).append((float(w), int(d)))
-        out = []
-        for source in sorted(near):
+        held = {} if at is None else {int(v): np.array(x, float) for v, x in zip(at["vertex"], at["x"], strict=True)}
+        name, out = (part if len(part) else at)[group].iloc[0], []
+        for source in sorted({*near, *held}):
             done, queue = {}, [(0.0, source)]
             while queue and len(done) <= k:
                 dist, v = heapq.heappop(queue)
@@ -84,11 +97,18 @@ def geodesic_knn(edges: DataFrame, group: str, k: int) -> DataFrame:
                 for w, u in near.get(v, ()):
                     if u not in done:
                         heapq.heappush(queue, (round(dist + w, 9), u))
-            out += [(part[group].iloc[0], source, r, v, d) for r, (d, v) in enumerate(sorted((d, v) for v, d in done.items() if v != source)[:k], 1)]
+            found: list[tuple[float | None, int]] = sorted((d, v) for v, d in done.items() if v != source)[:k]
+            if len(found) < k and held:
+                rest = sorted((round(float(((held[v] - held[source]) ** 2).sum()), 9), v) for v in held if v not in done)
+                found += [(None, v) for _, v in rest[: k - len(found)]]
+            out += [(name, source, r, v, d) for r, (d, v) in enumerate(found, 1)]
         return pd.DataFrame(out, columns=[group, "src", "rk", "dst", "dist"])
 
-    kind = dict(edges.dtypes)[group]
-    return edges.groupBy(group).applyInPandas(search, f"{group} {kind}, src int, rk int, dst int, dist double")
+    schema = f"{group} {dict(edges.dtypes)[group]}, src int, rk int, dst int, dist double"
+    if places is None:
+        return edges.groupBy(group).applyInPandas(lambda part: search(part), schema)
+    held = places.select(F.col(group).alias("_of"), "vertex", "x").groupBy("_of")
+    return edges.groupBy(group).cogroup(held).applyInPandas(lambda part, at: search(part, at.rename(columns={"_of": group})), schema)
 
 
 def grown_regions(values: np.ndarray, near: list[list[int]], seeds: list[list[int]], fraction: float, degree: int = 0, apart: bool = False) -> list[list[int]]:

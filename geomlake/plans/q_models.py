@@ -328,6 +328,17 @@ def graph_knn(spark, sf_dir):
     return N.geodesic_knn(ends.select("label", "src", "dst", (1 + F.abs(F.col("vs") - F.col("vd"))).alias("w")), "label", 6)
 
 
+@query("J07 J14")
+def voxel_knn(spark, sf_dir):
+    """The features as a cube of 4 by 4 by 4 voxels; a label's mask: those with a positive mean."""
+    d = F.col("d")
+    voxels = spark.range(64).select(F.col("id").cast("int").alias("d")).select(d.alias("vertex"), F.floor(d / 16).cast("int").alias("i"), (F.floor(d / 4) % 4).cast("int").alias("j"), (d % 4).cast("int").alias("k"))
+    mask = _field(spark, sf_dir).where("v > 0").select("label", d.alias("vertex"))
+    places = mask.join(voxels, "vertex").select("label", "vertex", F.array("i", "j", "k").cast("array<double>").alias("x"))
+    ends = N.voxel_edges(voxels).join(mask.withColumnRenamed("vertex", "src"), "src").join(mask.withColumnRenamed("vertex", "dst"), ["label", "dst"])
+    return N.geodesic_knn(ends.select("label", "src", "dst", "w"), "label", 8, places)
+
+
 @query("N04")
 def region_growing(spark, sf_dir):
     near = [[r * 8 + c for r, c in ((d // 8 - 1, d % 8), (d // 8 + 1, d % 8), (d // 8, d % 8 - 1), (d // 8, d % 8 + 1)) if 0 <= r < 8 and 0 <= c < 8] for d in range(64)]

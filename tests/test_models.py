@@ -135,6 +135,39 @@ def test_graph_knn(spark, patterns):
     assert len(got) == 64 * 6 * len(fields)
 
 
+def test_voxel_knn(spark, patterns):
+    got = {}
+    for r in QUERIES["voxel_knn"](spark, SF).collect():
+        got.setdefault((r["label"], r["src"]), []).append((r["rk"], r["dst"], r["dist"]))
+    at = {d: np.array([d // 16, d // 4 % 4, d % 4], float) for d in range(64)}
+    n = 0
+    for label, v in sheet(patterns)[0].items():
+        mask = [d for d in range(64) if v[d] > 0]
+        d = {(a, b): (0.0 if a == b else np.linalg.norm(at[a] - at[b]) if np.abs(at[a] - at[b]).max() <= 1 else np.inf) for a in mask for b in mask}
+        for m in mask:
+            d = {(a, b): min(w, d[a, m] + d[m, b]) for (a, b), w in d.items()}
+        for a in mask:
+            reached = sorted((round(d[a, b], 6), b) for b in mask if b != a and d[a, b] < np.inf)
+            rest = sorted((round(((at[a] - at[b]) ** 2).sum(), 6), b) for b in mask if d[a, b] == np.inf)
+            mine = sorted(got[label, a])
+            assert [m[0] for m in mine] == list(range(1, min(8, len(mask) - 1) + 1))
+            along = [m[2] for m in mine if m[2] is not None and not math.isnan(m[2])]
+            assert along == pytest.approx([w for w, _ in reached[:8]], abs=1e-6)
+            assert [m[1] for m in mine[len(along) :]] == [b for _, b in rest[: 8 - len(along)]]
+            n += 1
+    assert n == len(got)
+
+
+def test_neighbours_are_filled_up_in_space(spark):
+    from geomlake.operators import graph
+
+    voxels = spark.createDataFrame([(0, 0, 0, 0), (1, 1, 1, 0), (2, 5, 5, 5), (3, 9, 0, 0)], "vertex int, i int, j int, k int")
+    edges = graph.voxel_edges(voxels).selectExpr("1 AS g", "src", "dst", "w")
+    places = voxels.selectExpr("1 AS g", "vertex", "cast(array(i, j, k) AS array<double>) AS x")
+    found = {(r["src"], r["rk"]): r["dst"] for r in graph.geodesic_knn(edges, "g", 2, places).collect()}
+    assert found == {(0, 1): 1, (0, 2): 2, (1, 1): 0, (1, 2): 2, (2, 1): 1, (2, 2): 3, (3, 1): 1, (3, 2): 2}
+
+
 def test_region_growing(spark, patterns):
     got = {(r["label"], r["peak"]): r for r in rows(spark, "region_growing")}
     n = 0
