@@ -3,8 +3,8 @@
 A segmentation's probability is proportional to the product of its pieces' weights, to the power
 `theta`. Forward filtering sums the weights of all ways to reach each place of the piece lattice;
 backward sampling walks from the end, taking each piece with its share of that sum. A piece of the
-vocabulary has spaces at its front only, so a text's lattice falls apart before every run of
-spaces: each distinct stretch (spaces and the word behind them) is filtered once per worker, and
+vocabulary has spaces at its front only (a model with others is refused), so a text's lattice falls
+apart before every run of spaces: each distinct stretch (spaces and the word behind them) is filtered once per worker, and
 all stretches of a batch are sampled together, one step at a time.
 
 The random numbers are a hash of seed, row key, stretch and step: a row's segmentation does not
@@ -58,6 +58,8 @@ class PieceLattice:
         scores = {i: model.get_score(i) for i in plain}
         ranked = min(scores.values()) <= -1000  # ranks, not log probabilities
         self.pieces = {model.id_to_piece(i).replace(MARK, " "): (i, theta * (-math.log1p(-s) if ranked else s)) for i, s in scores.items()}
+        if odd := [t for t in self.pieces if " " in t.lstrip(" ")]:
+            raise ValueError(f"pieces with a space behind other characters, as {odd[0]!r}: stretches would not fall apart")
         self.octets = [0] * 256
         self.bytes = [b""] * n
         for i in range(n):

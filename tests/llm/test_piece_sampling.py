@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 
 from geomlake.llm import piece_sampling
 from geomlake.llm.queries import PIECE_BPE
@@ -23,14 +24,17 @@ def test_lossless_and_independent_of_batches():
     assert alone.tolist() == ids[at[700] : at[702]].tolist()
 
 
-def test_shares_equal_enumeration():
+@pytest.mark.parametrize("text", ["thing", "a the", "  of  it", "on\nin"])
+def test_shares_equal_enumeration(text):
     lattice = piece_sampling.PieceLattice(PIECE)
-    text, n = "thing", 20_000
+    n = 20_000
     weights = {}
 
     def walk(start, ids, w):
         if start == len(text) + 1:
             weights[tuple(ids)] = math.exp(w)
+        elif (c := (" " + text)[start]) not in lattice.pieces:
+            walk(start + 1, [*ids, *(lattice.octets[b] for b in c.encode())], w)
         for end in range(start + 1, len(text) + 2):
             if (p := lattice.pieces.get((" " + text)[start:end])) is not None:
                 walk(end, [*ids, p[0]], w + p[1])
@@ -45,6 +49,15 @@ def test_shares_equal_enumeration():
         assert abs(seen[segmentation] / n - share) < 5 * math.sqrt(share * (1 - share) / n) + 1e-4
 
 
+def test_a_model_with_spaces_inside_pieces_is_refused(monkeypatch):
+    import sentencepiece
+
+    plain = sentencepiece.SentencePieceProcessor.id_to_piece
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "id_to_piece", lambda self, i: "of▁the" if i == 500 else plain(self, i))
+    with pytest.raises(ValueError, match="stretches"):
+        piece_sampling.PieceLattice(PIECE)
+
+
 def test_table(spark):
     got = piece_sampling.sampled(frame(spark), PIECE).collect()
     assert len(got) == len(DOCS) and all(r["lossless"] for r in got)
