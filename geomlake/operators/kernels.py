@@ -149,7 +149,7 @@ def kmeans(x: np.ndarray, k: int, starts: int = 20, steps: int = 50) -> tuple[np
 def embedding_quality(x: np.ndarray, y: np.ndarray, k: int) -> dict[str, float]:
     """Trustworthiness, continuity, Spearman correlation of distances, and their score (0.4, 0.4, 0.2 of the correlation brought to 0..1)."""
     n = len(x)
-    high, low = (np.sqrt(np.maximum((m * m).sum(axis=1)[:, None] + (m * m).sum(axis=1) - 2 * m @ m.T, 0)) for m in (x, y))
+    high, low = (np.sqrt(_squares(m)) for m in (x, y))
 
     def places(d: np.ndarray) -> np.ndarray:
         d = d.copy()
@@ -166,26 +166,112 @@ def embedding_quality(x: np.ndarray, y: np.ndarray, k: int) -> dict[str, float]:
     return {"trust": trust, "continuity": continuity, "rho": rho, "score": 0.4 * trust + 0.4 * continuity + 0.2 * (rho + 1) / 2}
 
 
+def _squares(x: np.ndarray) -> np.ndarray:
+    d = np.maximum((x * x).sum(axis=1)[:, None] + (x * x).sum(axis=1) - 2 * x @ x.T, 0)
+    np.fill_diagonal(d, 0)
+    return d
+
+
+def _principal(x: np.ndarray, k: int) -> np.ndarray:
+    u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    return u[:, :k] * s[:k]
+
+
+def _descended(y: np.ndarray, gradient, steps: int, rate: float) -> np.ndarray:
+    """y after steps along the gradient(y, step), each coordinate scaled by its own running mean square."""
+    mean, square = np.zeros_like(y), np.zeros_like(y)
+    for t in range(1, steps + 1):
+        g = gradient(y, t)
+        mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
+        y = y - rate * (1 - t / (steps + 1)) * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-9)
+    return y
+
+
+def tsne(x: np.ndarray, k: int, perplexity: float = 30.0, steps: int = 500) -> tuple[np.ndarray, float]:
+    """Coordinates whose Student-t neighbourhoods are nearest to the rows' Gaussian ones, and the divergence left."""
+    d, n = _squares(x), len(x)
+    target = math.log(min(perplexity, (n - 1) / 3))
+    low, high, beta = np.zeros(n), np.full(n, np.inf), np.full(n, 1 / max(d.mean(), 1e-12))
+    away = np.where(np.eye(n, dtype=bool), np.inf, d - np.where(np.eye(n, dtype=bool), np.inf, d).min(axis=1, keepdims=True))
+    for _ in range(60):
+        p = np.exp(-np.where(np.isinf(away), np.inf, away * beta[:, None]))
+        p /= p.sum(axis=1, keepdims=True)
+        entropy = -(p * np.log(np.maximum(p, 1e-300))).sum(axis=1)
+        wide = entropy > target
+        low, high = np.where(wide, beta, low), np.where(wide, high, beta)
+        beta = np.where(np.isinf(high), beta * 2, (low + high) / 2)
+    p = np.maximum((p + p.T) / (2 * n), 1e-15)
+
+    def shares(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t = 1 / (1 + _squares(y))
+        np.fill_diagonal(t, 0)
+        return t, np.maximum(t / t.sum(), 1e-15)
+
+    def gradient(y: np.ndarray, step: int) -> np.ndarray:
+        t, q = shares(y)
+        w = ((4 if step <= steps // 4 else 1) * p - q) * t
+        return 4 * (w.sum(axis=1)[:, None] * y - w @ y)
+
+    start = _principal(x, k)
+    y = _descended(start / max(start.std(), 1e-12) * 0.1, gradient, steps, 0.2)
+    off = ~np.eye(n, dtype=bool)
+    return y, float((p * np.log(p / shares(y)[1]))[off].sum())
+
+
+def umap(x: np.ndarray, k: int, neighbours: int = 15, steps: int = 300) -> np.ndarray:
+    """Coordinates that lower the cross entropy of fuzzy neighbour graphs, over all pairs rather than samples of them."""
+    d, n = np.sqrt(_squares(x)), len(x)
+    near = min(neighbours, n - 1)
+    order = np.argsort(d + np.where(np.eye(n, dtype=bool), np.inf, 0), axis=1, kind="stable")[:, :near]
+    away = np.take_along_axis(d, order, 1)
+    away = np.maximum(away - away[:, :1], 0)
+    low, high, width = np.zeros(n), np.full(n, np.inf), np.ones(n)
+    for _ in range(60):
+        wide = np.exp(-away / width[:, None]).sum(axis=1) > math.log2(near)
+        high, low = np.where(wide, width, high), np.where(wide, low, width)
+        width = np.where(np.isinf(high), width * 2, np.maximum((low + high) / 2, 1e-9))
+    a = np.zeros((n, n))
+    np.put_along_axis(a, order, np.exp(-away / width[:, None]), 1)
+    w = a + a.T - a * a.T
+    # The curve 1 / (1 + a d ** 2b) for a least distance of 0.1 and a spread of 1.
+    ca, cb = 1.577, 0.895
+    start = _principal(x, k)
+
+    def gradient(y: np.ndarray, step: int) -> np.ndarray:
+        s = _squares(y) + np.eye(n)
+        power = ca * s**cb
+        pull = w * 2 * cb * power / s / (1 + power)
+        push = (1 - w) * 2 * cb / ((0.001 + s) * (1 + power))
+        f = pull - push
+        np.fill_diagonal(f, 0)
+        return f.sum(axis=1)[:, None] * y - f @ y
+
+    return _descended(start / max(np.abs(start).max(), 1e-12) * 10, gradient, steps, 0.2)
+
+
 def reduced(x: np.ndarray, method: str, k: int) -> tuple[np.ndarray, float]:
-    """Coordinates by pca, mds, isomap or fastica, and the method's own criterion.
+    """Coordinates by pca, mds, isomap, fastica, tsne or umap, and the method's own criterion.
 
-    pca: share of variance, to be large; mds: normalized stress; isomap: error of the centred geodesic Gram; fastica:
-    reconstruction error over variance, to be small.
+    pca: share of variance, and umap: quality score, to be large; mds: normalized stress, isomap: error of the centred
+    geodesic Gram, fastica: reconstruction error over variance, tsne: divergence, to be small.
     """
+    if method == "tsne":
+        return tsne(x, k)
+    if method == "umap":
+        y = umap(x, k)
+        return y, embedding_quality(x, y, 5)["score"]
     c = x - x.mean(axis=0)
     if method == "pca":
-        u, s, _ = np.linalg.svd(c, full_matrices=False)
-        return u[:, :k] * s[:k], float((s[:k] ** 2).sum() / (s**2).sum())
+        y = _principal(x, k)
+        return y, float((y**2).sum() / (c**2).sum())
     if method == "fastica":
         y = fast_ica(x, k)
         design = np.column_stack([y, np.ones(len(y))])
         return y, float(((x - design @ np.linalg.lstsq(design, x, rcond=None)[0]) ** 2).mean() / x.var())
-    d = np.sqrt(np.maximum((c * c).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * c @ c.T, 0))
-    np.fill_diagonal(d, 0)
+    d = np.sqrt(_squares(c))
     if method == "mds":
         y = classical_mds(d, k)
-        low = np.sqrt(np.maximum((y * y).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * y @ y.T, 0))
-        return y, float(np.sqrt(((d - low) ** 2).sum() / (d * d).sum()))
+        return y, float(np.sqrt(((d - np.sqrt(_squares(y))) ** 2).sum() / (d * d).sum()))
     g = geodesics(d, 6)
     y = classical_mds(g, k)
     centre = np.eye(len(x)) - 1 / len(x)

@@ -204,7 +204,7 @@ def embedding_quality(spark, sf_dir):
 
 
 #: Rows of the fixed sample that reducers and clusterers are compared on.
-SELECTION = 400
+SELECTION, REDUCERS = 400, ("pca", "mds", "isomap", "fastica", "tsne", "umap")
 
 
 def _swept(spark, sf_dir, configs, schema, kernel):
@@ -220,12 +220,22 @@ def _swept(spark, sf_dir, configs, schema, kernel):
     return spark.createDataFrame(*configs).groupBy(*names).applyInPandas(run, f"{configs[1]}, {schema}")
 
 
+@query("M13 R10")
+def neighbour_embeddings(spark, sf_dir):
+    """t-SNE and UMAP of the sample, and every row's place among its nearest of the sample."""
+    rows = T.patterns(spark, sf_dir)
+    marks = rows.orderBy((F.col("vec_id") * 7919 + 3) % 1_000_003, "vec_id").limit(SELECTION).toPandas()
+    x = np.stack(marks["x"]).astype(float)
+    places = np.concatenate([K.reduced(x, m, 2)[0] for m in ("tsne", "umap")], axis=1)
+    return M.landmark_extension(x, places, rows).select("vec_id", *[F.round(F.col("y")[k], 6).alias(n) for k, n in enumerate(("tsne0", "tsne1", "umap0", "umap1"))])
+
+
 @query("M14 M15 R05")
 def dimension_choice(spark, sf_dir):
     """For each reducer the dimension at the elbow of its own criterion."""
-    configs = [(m, k) for m in ("pca", "mds", "isomap", "fastica") for k in range(1, 7)]
+    configs = [(m, k) for m in REDUCERS for k in range(1, 7)]
     found = _swept(spark, sf_dir, (configs, "method string, k int"), "value double", lambda x, method, k: [K.reduced(x, method, k)[1]])
-    found = found.withColumn("rising", F.when(F.col("method") == "pca", F.col("value")).otherwise(-F.col("value")))
+    found = found.withColumn("rising", F.when(F.col("method").isin("pca", "umap"), F.col("value")).otherwise(-F.col("value")))
     return aggregates.elbow(found, "k", "rising", "method")
 
 
@@ -240,7 +250,7 @@ def model_grid(spark, sf_dir):
         labels = {"kmeans": lambda: K.kmeans(z, 4)[0], "hdbscan": lambda: K.hdbscan(z, 8, 4), "birch": lambda: K.birch(z, 0.5)}[clusterer]()
         return [value, q["trust"], q["continuity"], q["rho"], q["score"], int(labels.max() + 1), int((labels < 0).sum())]
 
-    configs = [(m, k, c) for m in ("pca", "mds", "isomap", "fastica") for k in (2, 3) for c in ("kmeans", "hdbscan", "birch")]
+    configs = [(m, k, c) for m in REDUCERS for k in (2, 3) for c in ("kmeans", "hdbscan", "birch")]
     return _swept(spark, sf_dir, (configs, "method string, k int, clusterer string"), "value double, trust double, continuity double, rho double, score double, clusters int, noise int", fit)
 
 

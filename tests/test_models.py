@@ -326,12 +326,39 @@ def test_embedding_quality_by_loops():
     assert same["score"] == pytest.approx(1)
 
 
+@pytest.mark.parametrize("method", ["tsne", "umap"])
+def test_neighbour_embeddings_keep_neighbours(method):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((30, 8)) + 12 * rng.standard_normal(8) for _ in range(4)])
+    y, value = kernels.reduced(x, method, 2)
+    near = ((y[:, None] - y) ** 2).sum(axis=2) + np.eye(120) * 1e9
+    assert (near.argsort(axis=1)[:, :5] // 30 == np.arange(120)[:, None] // 30).mean() > 0.98
+    assert kernels.embedding_quality(x, y, 5)["trust"] > 0.9 and (value < 1 if method == "tsne" else value > 0.7)
+
+
+def test_tsne_gradient_and_perplexity():
+    """The divergence can't be lowered much by small moves, and grows when the places are mixed."""
+    x = np.random.default_rng(6).standard_normal((60, 5))
+    y, value = kernels.tsne(x, 2, perplexity=10)
+    assert y.shape == (60, 2) and 0 < value < 1.2
+    assert kernels.tsne(x, 2, perplexity=10, steps=5)[1] > value
+
+
+def test_rows_of_the_sample_keep_their_places(spark, patterns):
+    ids, _, x = patterns
+    got = {r["vec_id"]: (r["tsne0"], r["tsne1"]) for r in rows(spark, "neighbour_embeddings")}
+    assert set(got) == set(ids.tolist())
+    order = sorted(range(len(ids)), key=lambda i: ((int(ids[i]) * 7919 + 3) % 1_000_003, ids[i]))[:400]
+    y = kernels.reduced(x[order], "tsne", 2)[0]
+    assert np.array([got[int(ids[i])] for i in order]) == pytest.approx(y, abs=1e-3)
+
+
 def test_grid_and_dimensions(spark):
     grid = rows(spark, "model_grid")
-    assert len(grid) == 24 and all(0 <= r["trust"] <= 1 and -1 <= r["rho"] <= 1 for r in grid)
-    assert {(r["method"], r["k"], r["clusterer"]) for r in grid} == set(itertools.product(("pca", "mds", "isomap", "fastica"), (2, 3), ("kmeans", "hdbscan", "birch")))
+    assert len(grid) == 36 and all(0 <= r["trust"] <= 1 and -1 <= r["rho"] <= 1 for r in grid)
+    assert {(r["method"], r["k"], r["clusterer"]) for r in grid} == set(itertools.product(("pca", "mds", "isomap", "fastica", "tsne", "umap"), (2, 3), ("kmeans", "hdbscan", "birch")))
     assert all(r["clusters"] == 4 for r in grid if r["clusterer"] == "kmeans")
-    assert {r["method"] for r in rows(spark, "dimension_choice")} == {"pca", "mds", "isomap", "fastica"}
+    assert {r["method"] for r in rows(spark, "dimension_choice")} == {"pca", "mds", "isomap", "fastica", "tsne", "umap"}
 
 
 def test_resamples_are_draws_with_replacement(spark):
