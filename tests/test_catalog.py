@@ -12,7 +12,11 @@ def test_equals_sql(spark, name):
     assert not differences(QUERIES[name](spark, SF), registry.SQL[name], SF)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in registry.SQL])
+#: These run in test_models.
+SLOW = {"model_grid", "dimension_choice"}
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in registry.SQL and n not in SLOW])
 def test_runs_without_sql(spark, name):
     rows = QUERIES[name](spark, SF).collect()
     assert rows and all(v is not None for v in rows[0])
