@@ -329,8 +329,9 @@ def visited(shards: DataFrame, asked: DataFrame, folder: str, chunks: int, mean:
                             if found:
                                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], schema=_FOUND)
 
+    # Ranges of so few rows are exact: a task for each tile, where dealing them round would leave some tasks several.
     n = shards.count() * chunks
-    return tiles.repartition(max(1, min(n, 10_000))).mapInArrow(visit, "query_id long, doc_id long, score double")
+    return tiles.repartitionByRange(max(1, min(n, 10_000)), "path", "chunk").mapInArrow(visit, "query_id long, doc_id long, score double")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
