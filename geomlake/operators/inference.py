@@ -96,7 +96,7 @@ def resamples(rows: DataFrame, item: str, n_boot: int) -> DataFrame:
     of drawing with replacement, and an item without a draw has no row.
     """
     items = aggregates.global_rank(rows.select(item).distinct(), F.col(item), name="_rank")
-    items = items.select(item, (F.col("_rank") - 1).alias("_j")).join(items.agg(F.count(F.lit(1)).alias("_n")))  # one row
+    items = items.select(item, (F.col("_rank").cast("long") - 1).alias("_j")).join(items.agg(F.count(F.lit(1)).alias("_n")))  # one row
     p = 1_000_003
     drawn = items.select("_n", "_j", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
     drawn = drawn.withColumn("_x", ((F.col("boot").cast("long") + 1) * 7919 + F.col("_j") * 104_729 + 17) % p)

@@ -1,5 +1,6 @@
 """Queries without SQL against plain versions of the same on small tables."""
 
+import collections
 import itertools
 import math
 
@@ -381,3 +382,14 @@ def test_loops_that_do_not_settle_raise(spark):
         graph.components(vertices, edges, rounds=1)
     with pytest.raises(RuntimeError):
         graph.k_core(vertices, edges, 2, rounds=1)
+
+
+def test_resamples_of_more_items_than_an_int_times_the_hash_factor_holds(spark):
+    from geomlake.operators import inference
+
+    n = 25_000
+    got = inference.resamples(spark.range(n).withColumnRenamed("id", "subject"), "subject", 2).toPandas()
+    for boot in range(2):
+        x = [((boot + 1) * 7919 + j * 104_729 + 17) % 1_000_003 for j in range(n)]
+        want = collections.Counter(((v * v % 1_000_003) * v % 1_000_003) % n for v in x)
+        assert dict(got[got["boot"] == boot][["subject", "w_subject"]].itertuples(index=False)) == want
