@@ -9,6 +9,7 @@ from geomlake.functions import special
 from geomlake.functions import vectors as V
 from geomlake.functions.vectors import r6
 from geomlake.operators import inference as H
+from geomlake.operators import ranking
 from geomlake.plans import q_geometry as Q2
 from geomlake.plans import q_pairs as Q
 from geomlake.plans.registry import query

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +34,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def read_folder(folder: str, columns: list[str]) -> pa.Table:
+    """The rows of a folder's Parquet files, inside a task; a folder that isn't there is an error."""
+    uri = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    place, path = pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+    names = sorted(f.path for f in place.get_file_info(pafs.FileSelector(path)) if f.base_name.endswith(".parquet"))
+    return pa.concat_tables(pq.ParquetFile(place.open_input_file(name)).read(columns) for name in names)
+
+
 def write_maps(maps: DataFrame, path: str) -> None:
     """Writes map_name, unit_id, value, one folder for each map; the rows are first brought together by map."""
     maps.repartition("map_name").write.mode("overwrite").partitionBy("map_name").parquet(path)
