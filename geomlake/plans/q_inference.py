@@ -36,7 +36,7 @@ def ttest_p_values(spark, sf_dir):
 
 @query("H09 G07", f"WITH {Q2.SQL_BR}, c AS (SELECT label, corr(rd, rda) AS r, count(*) AS n FROM br GROUP BY label) SELECT label, round(r * sqrt((n - 2) / (1 - r * r)), 5) AS t, n - 2 AS df FROM c")
 def corr_to_t(spark, sf_dir):
-    c = Q2._ranks_of(Q2._rdms(spark, sf_dir), "d", "da").groupBy("label").agg(F.corr("rd", "rda").alias("r"), F.count("*").alias("n"))
+    c = Q2.correlated(spark, sf_dir, ("d", "da")).withColumnRenamed("d_da", "r")
     return c.select("label", F.round(H.correlation_t(F.col("r"), F.col("n")), 5).alias("t"), (F.col("n") - 2).alias("df"))
 
 
