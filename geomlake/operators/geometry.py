@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +33,9 @@ def noise_ceiling(distances: DataFrame, *keys: str) -> DataFrame:
     return each.groupBy(*keys).agg(F.avg("up").alias("upper"), F.avg("lo").alias("lower"), F.count(F.lit(1)).alias("n"))
 
 
-def partial_2(y: str, x: str, z1: str, z2: str) -> Column:
-    """Aggregate: correlation of y and x with both z taken out of both, by recursion over correlations."""
-    p = lambda a, b, c: ranks.partial(F.corr(a, b), F.corr(a, c), F.corr(b, c))
+def partial_2(y: str, x: str, z1: str, z2: str, corr: Callable[[str, str], Column] = F.corr) -> Column:
+    """Correlation of y and x with both z taken out of both, by recursion over correlations: an aggregate, unless corr gives columns."""
+    p = lambda a, b, c: ranks.partial(corr(a, b), corr(a, c), corr(b, c))
     return ranks.partial(p(y, x, z1), p(y, z2, z1), p(x, z2, z1))
 
 
