@@ -80,10 +80,11 @@ def maxstat_fwe(spark, sf_dir):
 
 @query("H02 H03 J11 R08 G29", f"WITH {Q2.SQL_BR}, {Q.SQL_PERM}, n AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY i, j) - 1 AS k, count(*) OVER (PARTITION BY label) AS n, rd, rdj FROM br), o AS (SELECT label, corr(rd, rdj) AS r FROM br GROUP BY label), q AS (SELECT x.label, p, corr(x.rd, y.rdj) AS r FROM n x JOIN pm ON true JOIN n y ON x.label = y.label AND y.k = (x.k + off) % x.n GROUP BY ALL) SELECT label, round(any_value(o.r), 6) + 0.0 AS r, round((count(*) FILTER (q.r >= o.r - 1e-12) + 1) / 21.0, 6) AS p, round(max(q.r), 6) + 0.0 AS top FROM q JOIN o USING (label) GROUP BY label")
 def perm_shift(spark, sf_dir):
-    n = Q2._numbered(Q2._ranks_of(Q2._rdms(spark, sf_dir), "d", "dj"))
-    x = n.select("label", "n", "k", "rd").join(F.broadcast(Q.shifts(spark, 20, 64))).withColumn("k", (F.col("k") + F.col("off")) % F.col("n"))
-    null = x.join(n.select("label", "k", "rdj"), ["label", "k"]).groupBy("label", "p").agg(F.corr("rd", "rdj").alias("null"))
-    seen = n.groupBy("label").agg(F.corr("rd", "rdj").alias("r"))
+    shifts = Q.shifts(spark, 20, 64)
+    # SQL moves the second of two ranks on by the offset.
+    rows = ranking.shifted(T.patterns(spark, sf_dir), Q2.RDMS["d"], {"dj": Q2.RDMS["dj"]}, [0, *sorted({r["off"] for r in shifts.collect()})])  # 20 shifts
+    null = rows.join(F.broadcast(shifts), "off").select("label", "p", F.col("r_dj").alias("null"))
+    seen = rows.where("off = 0").select("label", F.col("r_dj").alias("r"))
     met = null.join(F.broadcast(seen), "label")
     return met.groupBy("label").agg(r6(F.first("r")).alias("r"), F.round((F.count_if(F.col("null") >= F.col("r") - 1e-12) + 1) / 21.0, 6).alias("p"), r6(F.max("null")).alias("top"))
 
