@@ -53,24 +53,62 @@ def band_draws(n: int, n_bands: int) -> np.ndarray:
 
 
 def ward(x: np.ndarray) -> np.ndarray:
-    """Merges (a, b, height, size) of Ward linkage by the Lance-Williams update; new clusters are numbered from n."""
+    """Merges (a, b, height, size) of Ward linkage; new clusters are numbered from n.
+
+    By chains of nearest neighbours over the clusters' means: the distances of one cluster are held, not all.
+    """
     n = len(x)
-    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
-    np.fill_diagonal(d, np.inf)
-    size, name, alive, out = np.ones(n), np.arange(n), np.ones(n, bool), []
-    for step in range(n - 1):
-        i, j = divmod(int(np.argmin(d)), n)
-        i, j = min(i, j), max(i, j)
-        height = d[i, j]
-        out.append((min(name[i], name[j]), max(name[i], name[j]), math.sqrt(height), size[i] + size[j]))
-        k = alive.copy()
-        k[[i, j]] = False
-        d[i, k] = ((size[i] + size[k]) * d[i, k] + (size[j] + size[k]) * d[j, k] - size[k] * height) / (size[i] + size[j] + size[k])
-        d[k, i] = d[i, k]
-        d[j], d[:, j], alive[j] = np.inf, np.inf, False
-        size[i] += size[j]
-        name[i] = n + step
-    return np.array(out)
+    c, size, out = x - x.mean(axis=0) if n else x.copy(), np.ones(n), []
+    square, alive, low = (c * c).sum(axis=1), np.ones(n, bool), np.zeros(n)
+    chain, chained = [], np.zeros(n, bool)
+    while len(out) < n - 1:
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+            chained[chain[0]] = True
+        a = chain[-1]
+        d = np.where(alive, np.maximum(square + square[a] - 2 * (c @ c[a]), 0) * (2 * size[a] * size / (size[a] + size)), np.inf)
+        d[a] = np.inf
+        b = int(np.argmin(d))
+        # Ties go back along the chain, which else might go round.
+        if len(chain) > 1 and (d[chain[-2]] <= d[b] or chained[b]):
+            b = chain[-2]
+        if len(chain) < 2 or b != chain[-2]:
+            chain.append(b)
+            chained[b] = True
+            continue
+        chained[chain[-2:]] = False
+        del chain[-2:]
+        height = max(d[b], low[a], low[b])
+        out.append((height, a, b))
+        a, b = min(a, b), max(a, b)
+        c[a] = (size[a] * c[a] + size[b] * c[b]) / (size[a] + size[b])
+        square[a], low[a], alive[b] = c[a] @ c[a], height, False
+        size[a] += size[b]
+    top, name, members, merges = list(range(n)), list(range(n)), [1] * n, []
+
+    def find(v: int) -> int:
+        while top[v] != v:
+            top[v] = v = top[top[v]]
+        return v
+
+    for step, (height, a, b) in enumerate(sorted(out, key=lambda m: m[0])):
+        a, b = find(a), find(b)
+        members[a] += members[b]
+        merges.append((min(name[a], name[b]), max(name[a], name[b]), math.sqrt(height), members[a]))
+        top[b], name[a] = a, n + step
+    return np.array(merges, float).reshape(-1, 4)
+
+
+def leaves(node: int, n: int, halves) -> list[int]:
+    """The rows below a node; halves(node): its two parts."""
+    found, stack = [], [node]
+    while stack:
+        v = stack.pop()
+        if v < n:
+            found.append(v)
+        else:
+            stack += map(int, halves(v))
+    return found
 
 
 def cut(merges: np.ndarray, n: int, k: int) -> np.ndarray:
@@ -281,19 +319,25 @@ def reduced(x: np.ndarray, method: str, k: int) -> tuple[np.ndarray, float]:
 def hdbscan(x: np.ndarray, least: int, samples: int) -> np.ndarray:
     """Labels (-1 noise) of the most stable clusters of the mutual-reachability hierarchy."""
     n = len(x)
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0))
-    core = np.sort(d, axis=1)[:, min(samples, n - 1)]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
+    gap = np.empty_like(x)
+
+    def away(v: int) -> np.ndarray:
+        """Distances of a row to all; no more of them are held."""
+        np.subtract(x, x[v], out=gap)
+        return np.sqrt(np.einsum("ij,ij->i", gap, gap))
+
+    core = np.array([np.partition(away(v), min(samples, n - 1))[min(samples, n - 1)] for v in range(n)])
     seen, best, link = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
     tree, v = [], 0
     for _ in range(n - 1):
         seen[v] = True
-        closer = ~seen & (reach[v] < best)
-        best[closer], link[closer] = reach[v][closer], v
+        reach = np.maximum(away(v), np.maximum(core, core[v]))
+        closer = ~seen & (reach < best)
+        best[closer], link[closer] = reach[closer], v
         v = int(np.argmin(np.where(seen, np.inf, best)))
         tree.append((best[v], link[v], v))
     tree.sort()
-    top, node, members, kids, height = list(range(n)), list(range(n)), {i: [i] for i in range(n)}, {}, {}
+    top, node, members, kids, height = list(range(n)), list(range(n)), [1] * n, {}, {}
 
     def find(v: int) -> int:
         while top[v] != v:
@@ -303,7 +347,8 @@ def hdbscan(x: np.ndarray, least: int, samples: int) -> np.ndarray:
     for step, (w, a, b) in enumerate(tree):
         a, b = find(a), find(b)
         new = n + step
-        kids[new], height[new], members[new] = (node[a], node[b]), w, members[node[a]] + members[node[b]]
+        kids[new], height[new] = (node[a], node[b]), w
+        members.append(members[node[a]] + members[node[b]])
         top[b], node[a] = a, new
     stability, chosen = {}, {}
 
@@ -316,8 +361,8 @@ def hdbscan(x: np.ndarray, least: int, samples: int) -> np.ndarray:
             while at >= n:
                 a, b = kids[at]
                 lam = 1 / max(height[at], 1e-12)
-                big = [c for c in (a, b) if len(members[c]) >= least]
-                total += (lam - birth) * (len(members[at]) - (len(members[big[0]]) if len(big) == 1 else 0))
+                big = [c for c in (a, b) if members[c] >= least]
+                total += (lam - birth) * (members[at] - (members[big[0]] if len(big) == 1 else 0))
                 if len(big) == 1:
                     at = big[0]
                     continue
@@ -337,9 +382,9 @@ def hdbscan(x: np.ndarray, least: int, samples: int) -> np.ndarray:
     labels = np.full(n, -1)
     if n > 1:
         walk(n + len(tree) - 1)
-        for k, c in enumerate(sorted(chosen[n + len(tree) - 1], key=lambda c: min(members[c]))):
-            if len(members[c]) >= least:
-                labels[members[c]] = k
+        for k, rows in enumerate(sorted((leaves(c, n, kids.get) for c in chosen[n + len(tree) - 1]), key=min)):
+            if len(rows) >= least:
+                labels[rows] = k
     return labels
 
 
@@ -499,16 +544,17 @@ def smooth_basis(near: list[list[int]], k: int) -> np.ndarray:
 
 def birch(x: np.ndarray, threshold: float) -> np.ndarray:
     """Labels of sub-clusters by one pass of clustering features: a row joins the nearest whose radius stays small."""
-    sums, squares, sizes, labels = [], [], [], np.zeros(len(x), int)
+    sums, centres, squares, sizes, labels = [], np.empty_like(x), [], [], np.zeros(len(x), int)
     for i, row in enumerate(x):
-        if sums:
-            centres = np.array(sums) / np.array(sizes)[:, None]
-            j = int(((centres - row) ** 2).sum(axis=1).argmin())
+        m = len(sums)
+        if m:
+            gap = centres[:m] - row
+            j = int(np.einsum("ij,ij->i", gap, gap).argmin())
             n, s, q = sizes[j] + 1, sums[j] + row, squares[j] + row @ row
             if math.sqrt(max(q / n - (s / n) @ (s / n), 0)) <= threshold:
-                sums[j], squares[j], sizes[j], labels[i] = s, q, n, j
+                sums[j], squares[j], sizes[j], labels[i], centres[j] = s, q, n, j, s / n
                 continue
-        labels[i] = len(sums)
+        labels[i], centres[m] = m, row
         sums.append(row.copy())
         squares.append(float(row @ row))
         sizes.append(1)

@@ -135,16 +135,14 @@ def banded_ridge(design: dict[str, np.ndarray], groups: np.ndarray, targets: Dat
     return targets.select("target", "y").mapInArrow(fit, f"target {kind}, subset string, r2 double")
 
 
-def per_group(rows: DataFrame, group: str, kernel, schema: str, most: int = 20_000) -> DataFrame:
+def per_group(rows: DataFrame, group: str, kernel, schema: str) -> DataFrame:
     """kernel(ids, matrix) of each group's rows (vec_id, x), as a DataFrame of schema after the group.
 
-    Kernels hold squares of a group, so a group of more than `most` rows is an error, not a lost executor.
+    Kernels hold a group's rows and a few numbers for each, not its pairs.
     """
     kind = dict(rows.dtypes)[group]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        if len(part) > most:
-            raise ValueError(f"a group of {len(part)} rows; {most} at most")
         part = part.sort_values("vec_id")
         out = kernel(part["vec_id"].to_numpy(), np.stack(part["x"]).astype(float))
         out.insert(0, group, part[group].iloc[0])

@@ -323,3 +323,27 @@ def test_global_rank_spans_partitions(spark):
     want = sorted(range(1000), key=lambda i: (-(i * 7919 % 1009), i))
     assert found == {i: k + 1 for k, i in enumerate(want)}
     assert aggregates.global_rank(rows.limit(0), F.col("v")).count() == 0
+
+
+@pytest.mark.parametrize("method", ["ward", "hdbscan", "birch"])
+def test_clusterings_hold_rows_not_pairs(method):
+    import tracemalloc
+
+    x = np.random.default_rng(1).standard_normal((1500, 16))
+    merges = kernels.ward(x) if method == "selective" else None
+    tracemalloc.start()
+    {"ward": lambda: kernels.ward(x), "hdbscan": lambda: kernels.hdbscan(x, 5, 3), "birch": lambda: kernels.birch(x, 0.9), "selective": lambda: kernels.selective_clusters(merges, lambda m: 0.0, len(x), 4, 20)}[method]()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6  # a square of the rows has 18e6 bytes
+
+
+def test_ward_of_distances_is_the_least_first():
+    x = np.random.default_rng(2).standard_normal((40, 3))
+    clusters, want = {i: [i] for i in range(40)}, []
+    while len(clusters) > 1:
+        cost = lambda a, b: 2 * len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(axis=0) - x[b].mean(axis=0)) ** 2).sum()
+        d, i, j = min((cost(clusters[i], clusters[j]), i, j) for i in clusters for j in clusters if i < j)
+        clusters[40 + len(want)] = clusters.pop(i) + clusters.pop(j)
+        want.append((i, j, math.sqrt(d), len(clusters[40 + len(want)])))
+    assert kernels.ward(x) == pytest.approx(np.array(want))
