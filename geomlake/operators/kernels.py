@@ -133,10 +133,9 @@ def selective_clusters(merges: np.ndarray, score, n: int, low: int, high: int) -
     A half that scores below its node ends there; a node both of whose halves do stays whole. Lists of
     fewer than `low` or more than `high` members score lowest.
     """
-    members = {i: [i] for i in range(n)}
-    for step, (a, b, *_) in enumerate(merges):
-        members[n + step] = members[int(a)] + members[int(b)]
-    value = lambda node: score(members[node]) if low <= len(members[node]) <= high else -math.inf
+    members = lambda node: leaves(node, n, lambda v: merges[v - n][:2])
+    size = lambda node: merges[node - n][3] if node >= n else 1
+    value = lambda node: score(members(node)) if low <= size(node) <= high else -math.inf
     ends, open_ = [], [n + len(merges) - 1] if n else []
     while open_:
         node = open_.pop()
@@ -148,7 +147,7 @@ def selective_clusters(merges: np.ndarray, score, n: int, low: int, high: int) -
             continue
         for half, falls in zip(halves, falling, strict=True):
             (ends if falls else open_).append(half)
-    return sorted(sorted(members[node]) for node in ends)
+    return sorted(sorted(members(node)) for node in ends)
 
 
 def median_welch_t(x: np.ndarray, members: list[int]) -> float:

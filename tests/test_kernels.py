@@ -325,7 +325,7 @@ def test_global_rank_spans_partitions(spark):
     assert aggregates.global_rank(rows.limit(0), F.col("v")).count() == 0
 
 
-@pytest.mark.parametrize("method", ["ward", "hdbscan", "birch"])
+@pytest.mark.parametrize("method", ["ward", "hdbscan", "birch", "selective"])
 def test_clusterings_hold_rows_not_pairs(method):
     import tracemalloc
 
