@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geomlake.functions import ranks
+from geomlake.operators import blocked
 
 
 def crossnobis(pairs: DataFrame, *keys: str, delta: str = "delta") -> DataFrame:
@@ -143,6 +144,42 @@ def searchlight(patterns: DataFrame, neighbours: dict[int, list[int]], seed_feat
     return dealt.groupBy("label", "block").applyInArrow(run, "label int, centre int, value double")
 
 
+def searchlight_cka(patterns: DataFrame, neighbours: dict[int, list[int]], seed_features: list[int]) -> DataFrame:
+    """label, centre, value: cosine of each neighbourhood's column-centred Gram with the seed features'.
+
+    The inner product of two Grams of rows is the sum of squares of their features' cross products, so a
+    label is summed up to features by features, and no matrix of its rows is built. Under 2 features: 0.
+    """
+    kind = dict(patterns.dtypes)["label"]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            if batch.num_rows:
+                labels, x = np.array(batch.column(0).to_pylist(), object), np.array(batch.column(1).to_pylist(), np.float64)
+                for label in set(labels.tolist()):
+                    here = x[labels == label]
+                    held[label] = held.get(label, 0) + here.T @ here
+        for label, total in held.items():
+            i, j = np.divmod(np.arange(total.size, dtype=np.int32), len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(total.size, label, np.int32)), pa.array(i), pa.array(j), pa.array(total.ravel())], ["label", "i", "j", "s"])
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table["i"].to_numpy(), table["j"].to_numpy()
+        c = np.zeros((i.max() + 1, i.max() + 1))
+        c[i, j] = table["s"].to_numpy()
+        norm = lambda a, b: float((c[np.ix_(a, b)] ** 2).sum())
+        own, centres, values = norm(seed_features, seed_features), sorted(neighbours), []
+        for centre in centres:
+            near = neighbours[centre]
+            base = np.sqrt(norm(near, near)) * np.sqrt(own)
+            values.append(norm(near, seed_features) / base if len(near) >= 2 and base > 1e-24 else 0.0)
+        return pa.table({"label": pa.array([table["label"][0].as_py()] * len(values), pa.int32()), "centre": pa.array(centres, pa.int32()), "value": values})
+
+    sums = blocked.centred(patterns).select("label", "x").mapInArrow(add, f"label {kind}, i int, j int, s double")
+    return sums.groupBy("label", "i", "j").agg(F.sum("s").alias("s")).groupBy("label").applyInArrow(run, "label int, centre int, value double")
+
+
 def band_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """X'X of a partition's rows (array x), one row each of the matrix: partial sums to be added up."""
     total = None

@@ -347,3 +347,18 @@ def test_ward_of_distances_is_the_least_first():
         clusters[40 + len(want)] = clusters.pop(i) + clusters.pop(j)
         want.append((i, j, math.sqrt(d), len(clusters[40 + len(want)])))
     assert kernels.ward(x) == pytest.approx(np.array(want))
+
+
+def test_searchlight_cka_builds_no_matrix_of_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    data = [(v, v % 2, [float(c) for c in rng.standard_normal(6)]) for v in range(41)]
+    rows = spark.createDataFrame(data, "vec_id long, label int, x array<double>")
+    near, seed = {0: [0, 1, 2], 1: [3], 2: [2, 5]}, [3, 4, 5]
+    got = {(r["label"], r["centre"]): r["value"] for r in geometry.searchlight_cka(rows, near, seed).collect()}
+    for label in range(2):
+        x = np.array([v for _, k, v in data if k == label])
+        gram = lambda chosen: (c := x[:, chosen] - x[:, chosen].mean(axis=0)) @ c.T
+        for centre, chosen in near.items():
+            a, b = gram(chosen), gram(seed)
+            want = (a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()) if len(chosen) > 1 else 0.0
+            assert got[label, centre] == pytest.approx(want)
