@@ -79,21 +79,33 @@ def savgol(window: int, order: int) -> np.ndarray:
     return powers @ np.linalg.pinv(powers)
 
 
+def inversions(y: np.ndarray) -> int:
+    """How many pairs of places have the larger number first; y: whole numbers from 0. Bit by bit, from the highest."""
+    found, y = 0, y.astype(np.int64)
+    for bit in range(int(y.max()).bit_length() - 1 if len(y) else -1, -1, -1):
+        # Numbers equal in the higher bits lie together, in their first order.
+        one = y >> bit & 1
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(y >> (bit + 1)) != 0]))
+        size = np.diff(np.append(starts, len(y)))
+        ones = np.cumsum(one)
+        before = ones - np.repeat(ones[starts] - one[starts], size)
+        found += int(before[one == 0].sum())
+        start, zeros = np.repeat(starts, size), np.repeat(size - np.add.reduceat(one, starts), size)
+        moved = np.empty_like(y)
+        moved[np.where(one == 1, start + zeros + before - 1, np.arange(len(y)) - before)] = y
+        y = moved
+    return found
+
+
 def kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float:
-    """Tau-b in n log n: sort by x, count the inversions of y by merging."""
+    """Tau-b in n log n: sort by x, count the inversions of y."""
     n = len(x)
     order = np.lexsort((y, x))
     x, y = x[order], np.unique(y[order], return_inverse=True)[1]
     pairs = lambda c: int((c * (c - 1) // 2).sum())
     tied_x, tied_y = (pairs(np.unique(v, return_counts=True)[1]) for v in (x, y))
     tied_both = pairs(np.unique(np.stack([np.unique(x, return_inverse=True)[1], y]), axis=1, return_counts=True)[1])
-    swaps, width, runs = 0, 1, y.copy()
-    while width < n:
-        for start in range(0, n - width, 2 * width):
-            left, right = runs[start : start + width], runs[start + width : start + 2 * width]
-            swaps += int((len(left) - np.searchsorted(left, right, side="right")).sum())
-            runs[start : start + 2 * width] = np.sort(runs[start : start + 2 * width], kind="stable")
-        width *= 2
+    swaps = inversions(y)
     total = n * (n - 1) // 2
     base = math.sqrt(float(total - tied_x) * float(total - tied_y))
     return (total - tied_x - tied_y + tied_both - 2 * swaps) / base if base else math.nan

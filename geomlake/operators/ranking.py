@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geomlake.functions import special
+from geomlake.operators import blocked
 from geomlake.sources import store
 
 #: Pairs that a task owns, that it sorts at a time; rows of a band at most.
@@ -33,7 +35,7 @@ class Pairs:
     def __init__(self, ids: np.ndarray, x: np.ndarray, part: int, parts: int):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
-        self.n = len(ids) * (len(ids) - 1) // 2
+        self.n, self.part, self.parts = len(ids) * (len(ids) - 1) // 2, part, parts
         step = max(1, min(BAND, CHUNK // 6 // max(1, len(ids))))
         self.bands = [(s, min(s + step, len(ids))) for s in range(0, len(ids), step)]
         owner = [s * (s - 1) // 2 * parts // max(1, self.n) for s, _ in self.bands]
@@ -45,6 +47,9 @@ class Pairs:
         """The number of the first pair whose i is the row."""
         return row * (row - 1) // 2
 
+    #: Which of several jobs on the same pairs.
+    job = 0
+
     def of(self, measure: Callable, band: tuple[int, int]) -> np.ndarray:
         s, e = band
         return measure(self.x[s:e], self.x[:e])[np.arange(e) < np.arange(s, e)[:, None]]
@@ -108,18 +113,17 @@ class Pairs:
         return out, own
 
 
-def over_pairs(rows: DataFrame, kernel: Callable[[Pairs], Iterator[dict]], schema: str, own: int | None = None) -> DataFrame:
+def over_pairs(rows: DataFrame, kernel: Callable[[Pairs], Iterator[dict]], schema: str, jobs: int = 1) -> DataFrame:
     """label and what kernel(pairs) yields (columns of arrays), for each task of each label of rows (vec_id, label, x).
 
-    Rows without a label have no pairs.
+    With several jobs a task has one of them, pairs.job. Rows without a label have no pairs.
     """
     spark = rows.sparkSession
     held = rows.where("label IS NOT NULL").select("vec_id", F.col("label").cast("int").alias("label"), "x")
     folder = store.shared_folder(spark, "labels")
     held.repartition("label").write.partitionBy("label").parquet(folder)
     sizes = [(r["label"], r["count"]) for r in held.groupBy("label").count().collect()]  # a row for each label
-    most = own or OWN
-    tiles = [(label, k, parts) for label, n in sizes for parts in [max(1, -(-(n * (n - 1) // 2) // most))] for k in range(parts)]
+    tiles = [(label, k, parts, job) for label, n in sizes for parts in [max(1, -(-(n * (n - 1) // 2) // OWN))] for k in range(parts) for job in range(jobs)]
     fields = [f.name for f in spark.createDataFrame([], schema).schema]
     types = pa.schema([("label", pa.int32()), *[(name, kind) for name, kind in zip(fields, _kinds(schema), strict=True)]])
 
@@ -128,7 +132,8 @@ def over_pairs(rows: DataFrame, kernel: Callable[[Pairs], Iterator[dict]], schem
             for tile in batch.to_pylist():
                 table = store.read_folder(f"{folder}/label={tile['label']}", ["vec_id", "x"])
                 pairs = Pairs(table["vec_id"].to_numpy(), np.array(table["x"].to_pylist(), float), tile["part"], tile["parts"])
-                if not pairs.last > pairs.first:
+                pairs.job = tile["job"]
+                if not pairs.n:
                     continue
                 for out in kernel(pairs):
                     n = len(out[fields[0]])
@@ -137,9 +142,9 @@ def over_pairs(rows: DataFrame, kernel: Callable[[Pairs], Iterator[dict]], schem
                         label = pa.array(np.full(len(cut[fields[0]]), tile["label"], np.int32))
                         yield pa.RecordBatch.from_arrays([label, *(pa.array(cut[f], types.field(f).type) for f in fields)], schema=types)
 
-    dealt = spark.createDataFrame(tiles, "label int, part int, parts int")
+    dealt = spark.createDataFrame(tiles, "label int, part int, parts int, job int")
     # Ranges of so few rows are exact: a task for each tile.
-    return dealt.repartitionByRange(max(1, min(len(tiles), 10_000)), "label", "part").mapInArrow(run, f"label int, {schema}")
+    return dealt.repartitionByRange(max(1, min(len(tiles), 10_000)), "label", "part", "job").mapInArrow(run, f"label int, {schema}")
 
 
 def _kinds(schema: str) -> list[pa.DataType]:
@@ -203,3 +208,110 @@ def numbered(rows: DataFrame, measure: Callable) -> DataFrame:
         yield {"i": i, "j": j, "rk": rank.astype(np.int64) - 1}
 
     return over_pairs(rows, places, "i long, j long, rk long")
+
+
+def searchlights(rows: DataFrame, neighbours: dict[int, list[int]], seed: list[int], block: int = 16) -> DataFrame:
+    """label, centre, value: Spearman correlation over a label's pairs of each neighbourhood's correlation distances with the seed features'.
+
+    Distances count to 12 decimals. Under 2 features, or without variation: 0.
+    """
+    centres = sorted(neighbours)
+    blocks = [centres[at : at + block] for at in range(0, len(centres), block)]
+    on = lambda features: lambda x, y: np.round(blocked.correlation(x[:, features], y[:, features]), 12)
+
+    def sums(pairs: Pairs) -> Iterator[dict]:
+        middle, model = (pairs.n + 1) / 2, pairs.ranks(on(seed))[0]
+        model -= middle
+        for centre in blocks[pairs.job]:
+            r = pairs.ranks(on(neighbours[centre]))[0] - middle if len(neighbours[centre]) > 1 else np.zeros(len(model))
+            yield {"centre": [centre], "p": [r @ model], "q": [r @ r], "m": [model @ model]}
+
+    found = over_pairs(rows, sums, "centre int, p double, q double, m double", len(blocks)).groupBy("label", "centre").agg(*[F.sum(c).alias(c) for c in "pqm"])
+    return found.select("label", "centre", F.when(F.col("q") * F.col("m") > 0, F.col("p") / F.sqrt(F.col("q") * F.col("m"))).otherwise(0.0).alias("value"))
+
+
+def kept_neighbours(rows: DataFrame, high: Callable, low: Callable, k: int) -> DataFrame:
+    """label, n (rows), trust, continuity: sums over rows of how far beyond k the ranks by high of the k nearest by low lie, and the other way round.
+
+    Ranks are among the label's other rows, ties by vec_id. A task has the rows of its bands against all of the label.
+    """
+
+    def beyond(near: np.ndarray, far: np.ndarray, most: int) -> int:
+        kth = np.partition(near, most - 1, axis=1)[:, most - 1 : most]
+        chosen = near <= kth
+        for row in np.flatnonzero(chosen.sum(axis=1) != most).tolist():
+            chosen[row] = False
+            chosen[row, np.argsort(near[row], kind="stable")[:most]] = True
+        at, total, places = np.nonzero(chosen)[1].reshape(-1, most), 0, np.arange(near.shape[1])
+        for column in at.T:
+            d = np.take_along_axis(far, column[:, None], 1)
+            rank = 1 + (far < d).sum(axis=1) + ((far == d) & (places < column[:, None])).sum(axis=1)
+            total += int(np.maximum(rank - k, 0).sum())
+        return total
+
+    def sums(pairs: Pairs) -> Iterator[dict]:
+        n, trust, continuity = len(pairs.ids), 0, 0
+        for s, e in pairs.own:
+            h, l = (m(pairs.x[s:e], pairs.x) for m in (high, low))  # noqa: E741
+            for d in (h, l):
+                d[np.arange(e - s), np.arange(s, e)] = np.inf
+            trust, continuity = trust + beyond(l, h, min(k, n - 1)), continuity + beyond(h, l, min(k, n - 1))
+        yield {"n": [n], "trust": [trust], "continuity": [continuity]}
+
+    found = over_pairs(rows, sums, "n long, trust long, continuity long")
+    return found.groupBy("label").agg(F.max("n").alias("n"), F.sum("trust").alias("trust"), F.sum("continuity").alias("continuity"))
+
+
+def kendall(rows: DataFrame, a: Callable, b: Callable) -> DataFrame:
+    """label, tau: Kendall's tau-b of two measures over a label's pairs.
+
+    A task has a stretch of a's values, by quantiles of a few rows: its pairs are met with one another by
+    their places, and with the pairs of smaller a by sorting those by b. Equal values stay in one task.
+    """
+    tied = lambda v: int((c * (c - 1) // 2).sum()) if len(v) and len(c := np.diff(np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1], [True]])))) else 0
+
+    def sums(pairs: Pairs) -> Iterator[dict]:
+        x = pairs.x[:: -(-len(pairs.x) // 1000)] if len(pairs.x) > 1000 else pairs.x
+        lower = np.tri(len(x), k=-1, dtype=bool)
+
+        def stretch(measure: Callable) -> tuple[float, float]:
+            splits = np.quantile(measure(x, x)[lower], np.arange(1, pairs.parts) / pairs.parts)
+            ends = [-np.inf, *splits.tolist(), np.inf]
+            return ends[pairs.part], ends[pairs.part + 1]
+
+        low, high = stretch(a)
+        parts = []
+        for band in pairs.bands:
+            v = pairs.of(a, band)
+            here = (v >= low) & (v < high)
+            parts.append((v[here], pairs.of(b, band)[here]))
+        u, w = (np.concatenate(c) for c in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((w, u))
+        u, w = u[order], w[order]
+        places = np.unique(w, return_inverse=True)
+        discordant, tied_a = special.inversions(places[1]), tied(u)
+        same = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1]), [True]]))
+        tied_both = int((np.diff(same) * (np.diff(same) - 1) // 2).sum()) if len(u) else 0
+        count, held = len(u), np.sort(w)
+        del u, w, order, places, same
+        waiting, size = [], 0
+        for k, band in enumerate(pairs.bands):
+            waiting.append(pairs.of(b, band)[pairs.of(a, band) < low] if low > -np.inf else np.zeros(0))
+            size += len(waiting[-1])
+            if size and (size >= CHUNK // 2 or k == len(pairs.bands) - 1):
+                chunk, waiting, size = np.sort(np.concatenate(waiting)), [], 0
+                discordant += len(chunk) * count - int(np.searchsorted(chunk, held, side="right").sum())
+        low, high = stretch(b)
+        mine = np.sort(np.concatenate([v[(v >= low) & (v < high)] for band in pairs.bands for v in [pairs.of(b, band)]]))
+        yield {"n": [pairs.n], "own_a": [count], "own_b": [len(mine)], "discordant": [discordant], "tied_a": [tied_a], "tied_b": [tied(mine)], "tied_both": [tied_both]}
+
+    names = ["own_a", "own_b", "discordant", "tied_a", "tied_b", "tied_both"]
+    found = over_pairs(rows, sums, "n long, " + ", ".join(f"{c} long" for c in names))
+    c, n = F.col, F.col("n")
+    held = found.groupBy("label").agg(F.max("n").alias("n"), *[F.sum(name).alias(name) for name in names])
+    # Tasks compute the splits themselves: had machines differed in a last bit, a pair might be missing.
+    held = held.withColumn("n", F.when((c("own_a") == n) & (c("own_b") == n), n).otherwise(F.raise_error(F.lit("tasks disagree on the stretches of values"))))
+    total = F.shiftright(n * (n - 1), 1)
+    base = F.sqrt((total - c("tied_a")).cast("double") * (total - c("tied_b")).cast("double"))
+    return held.select("label", F.when(base > 0, (total - c("tied_a") - c("tied_b") + c("tied_both") - 2 * c("discordant")) / base).alias("tau"))

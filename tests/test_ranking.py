@@ -10,7 +10,7 @@ from geomlake.sources import store
 from tests.compare import differences
 
 QUERIES = catalog.queries()
-TABLELESS = ["rdm_spearman", "corr_to_t", "ordinal_rank", "full_sheet_pair", "grouped_rsa", "parcel_rsa", "partial_corr_suite", "partial_rsa_1", "partial_rsa_2", "perm_shift", "rdm_label_summary"]
+TABLELESS = ["rdm_spearman", "corr_to_t", "ordinal_rank", "full_sheet_pair", "grouped_rsa", "parcel_rsa", "partial_corr_suite", "partial_rsa_1", "partial_rsa_2", "perm_shift", "rdm_label_summary", "rdm_kendall"]
 
 
 def coarse(x, y):
@@ -74,3 +74,37 @@ def test_spearman_of_least_ranks_equals_sql_with_ties(spark, tmp_path):
     data = [(v, [float(c) for c in rng.integers(0, 2, 64) * (v % 7 > 3)], v % 2) for v in range(60)]
     spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").coalesce(1).toPandas().to_parquet(tmp_path / "embeddings.parquet")
     assert not differences(QUERIES["rdm_spearman"](spark, str(tmp_path)), registry.SQL["rdm_spearman"], str(tmp_path))
+
+
+def test_inversions_equal_pairs():
+    from geomlake.functions import special
+
+    for seed in range(20):
+        y = np.random.default_rng(seed).integers(0, 1 + 3 * seed, 5 * seed)
+        assert special.inversions(y) == sum(int(y[a] > y[b]) for b in range(len(y)) for a in range(b))
+
+
+@pytest.mark.parametrize("own", [40, 10**6])
+def test_kendall_neighbours_and_searchlights_over_several_tasks(spark, own, monkeypatch):
+    from geomlake.functions import special
+    from geomlake.operators import kernels
+
+    monkeypatch.setattr(ranking, "OWN", own)
+    rng = np.random.default_rng(9)
+    data = [(v, v % 2, [float(c) for c in rng.standard_normal(6).round(v % 2)]) for v in range(64)]
+    rows = spark.createDataFrame(data, "vec_id long, label int, x array<double>")
+    a, b = blocked.squared, blocked.band(coarse, 1, 3)
+    tau = {r["label"]: r["tau"] for r in ranking.kendall(rows, a, b).collect()}
+    near = {r["label"]: r for r in ranking.kept_neighbours(rows, a, blocked.band(a, 1, 3), 5).collect()}
+    lights = {(r["label"], r["centre"]): r["value"] for r in ranking.searchlights(rows, {0: [0, 1, 2], 1: [2]}, [3, 4, 5], 1).collect()}
+    for label in range(2):
+        x = np.array([v for _, k, v in data if k == label])
+        at = np.tril_indices(len(x), -1)
+        assert tau[label] == pytest.approx(special.kendall_tau_b(a(x, x)[at], b(x, x)[at]))
+        n, want = len(x), kernels.embedding_quality(x, x[:, :3], 5)
+        assert near[label]["n"] == n
+        if label:  # few ties
+            got = [1 - 2 / (n * 5 * (2 * n - 16)) * near[label][c] for c in ("trust", "continuity")]
+            assert got == pytest.approx([want["trust"], want["continuity"]])
+        d = [pd.Series(blocked.correlation(x[:, f], x[:, f])[at].round(12)).rank().to_numpy() for f in ([0, 1, 2], [3, 4, 5])]
+        assert lights[label, 0] == pytest.approx(np.corrcoef(*d)[0, 1]) and lights[label, 1] == 0
