@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geomlake.functions import vectors as V
 from geomlake.functions.vectors import r6
-from geomlake.operators import aggregates, blocked
+from geomlake.operators import aggregates, blocked, ranking
 from geomlake.operators import graph as N
 from geomlake.operators import inference as H
 from geomlake.operators import kernels as K
@@ -192,13 +192,10 @@ def manifold_extension(spark, sf_dir):
 
 @query("M14", f"WITH {T.SQL_V}, p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_distance(a.x, b.x) ** 2 AS h, list_distance(a.x[1:3], b.x[1:3]) ** 2 AS l FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT label, i, row_number() OVER (PARTITION BY i ORDER BY h, j) AS rh, row_number() OVER (PARTITION BY i ORDER BY l, j) AS rl, count(*) OVER (PARTITION BY i) + 1 AS n FROM p), tc AS (SELECT label, 1 - 2.0 / (any_value(n) * 5 * (2 * any_value(n) - 16)) * sum(CASE WHEN rl <= 5 AND rh > 5 THEN rh - 5 ELSE 0 END) AS trust, 1 - 2.0 / (any_value(n) * 5 * (2 * any_value(n) - 16)) * sum(CASE WHEN rh <= 5 AND rl > 5 THEN rl - 5 ELSE 0 END) AS continuity FROM r GROUP BY label), k AS (SELECT label, rank() OVER (PARTITION BY label ORDER BY h) + (count(*) OVER (PARTITION BY label, h) - 1) / 2.0 AS rh, rank() OVER (PARTITION BY label ORDER BY l) + (count(*) OVER (PARTITION BY label, l) - 1) / 2.0 AS rl FROM p WHERE i > j), c AS (SELECT label, corr(rh, rl) AS rho FROM k GROUP BY label) SELECT label, round(trust, 6) AS trust, round(continuity, 6) AS continuity, round(rho, 6) + 0.0 AS rho, round(0.4 * trust + 0.4 * continuity + 0.2 * (rho + 1) / 2, 6) AS score FROM tc JOIN c USING (label)")
 def embedding_quality(spark, sf_dir):
-    pairs = blocked.within(T.patterns(spark, sf_dir), {"h": blocked.squared, "l": blocked.band(blocked.squared, 1, 3)})
-    w = Window.partitionBy("i")
-    r = P.both_ways(pairs).select("label", F.row_number().over(w.orderBy("h", "j")).alias("rh"), F.row_number().over(w.orderBy("l", "j")).alias("rl"), (F.count("*").over(w) + 1).alias("n"))
-    scale = F.lit(2.0) / (F.first("n") * 5 * (2 * F.first("n") - 16))
-    excess = lambda near, far: F.sum(F.when((F.col(near) <= 5) & (F.col(far) > 5), F.col(far) - 5).otherwise(0))
-    found = r.groupBy("label").agg((1 - scale * excess("rl", "rh")).alias("trust"), (1 - scale * excess("rh", "rl")).alias("continuity"))
-    found = found.join(P.compared(pairs, "h", "l", "label").select("label", "rho"), "label")
+    rows, measures, n = T.patterns(spark, sf_dir), {"h": blocked.squared, "l": blocked.band(blocked.squared, 1, 3)}, F.col("n")
+    share = lambda c: (1 - F.lit(2.0) / (n * 5 * (2 * n - 16)) * F.col(c)).alias(c)
+    found = ranking.kept_neighbours(rows, *measures.values(), 5).select("label", share("trust"), share("continuity"))
+    found = found.join(ranking.correlations(rows, measures, [("h", "l")]).select("label", F.col("h_l").alias("rho")), "label")
     score = 0.4 * F.col("trust") + 0.4 * F.col("continuity") + 0.2 * (F.col("rho") + 1) / 2
     return found.select("label", F.round("trust", 6).alias("trust"), F.round("continuity", 6).alias("continuity"), r6("rho").alias("rho"), F.round(score, 6).alias("score"))
 
