@@ -90,60 +90,6 @@ def partition(r: dict[str, Column]) -> dict[str, Column]:
     return dict(zip(REGIONS, (full - vj, full - aj, full - av, aj + vj - j - full, av + vj - v - full, av + aj - a - full, a + v + j - av - aj - vj + full), strict=True))
 
 
-def searchlight(patterns: DataFrame, neighbours: dict[int, list[int]], seed_features: list[int], kind: str = "rsa", block: int = 16) -> DataFrame:
-    """label, centre, value: each neighbourhood's geometry against the seed features', by Arrow-batched NumPy.
-
-    patterns: label, vec_id, x. One task holds one label's patterns (a run or clip: bounded by the
-    design) for a block of centres, and of these only the features that the block's neighbourhoods and
-    the seed have, and loops over its centres with matrix products. rsa: Spearman of correlation
-    distances over conditions; cka: cosine of column-centred Grams. Under 2 features: 0.
-    """
-    spark = patterns.sparkSession
-    centres = sorted(neighbours)
-    blocks = [centres[at : at + block] for at in range(0, len(centres), block)]
-    features = [sorted({*seed_features}.union(*(neighbours[c] for c in b))) for b in blocks]
-    shared = spark.sparkContext.broadcast((neighbours, seed_features, blocks, features))
-    kind_of = dict(patterns.dtypes)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.array(batch.column(2).to_pylist(), np.float64)
-            for at, kept in enumerate(shared.value[3]):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(x), at, np.int32)), batch.column(1), pa.array([r.tobytes() for r in x[:, kept]], pa.binary())], ["label", "block", "vec_id", "x"])
-
-    def average_ranks(v: np.ndarray) -> np.ndarray:
-        _, inverse, count = np.unique(v, return_inverse=True, return_counts=True)
-        ends = np.cumsum(count)
-        return ((2 * ends - count + 1) / 2)[inverse]
-
-    def geometry(x: np.ndarray) -> np.ndarray:
-        if kind == "cka":
-            c = x - x.mean(axis=0)
-            v = (c @ c.T).ravel()
-        else:
-            c = x - x.mean(axis=1, keepdims=True)
-            c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-30)
-            v = average_ranks(np.round(1 - c @ c.T, 12)[np.tril_indices(len(x), -1)])
-            v = v - v.mean()
-        n = np.linalg.norm(v)
-        return v / n if n > 1e-12 else v * 0
-
-    def run(table: pa.Table) -> pa.Table:
-        near, seed, blocks, features = shared.value
-        at = table["block"][0].as_py()
-        x = np.frombuffer(b"".join(table["x"].to_pylist())).reshape(table.num_rows, -1)
-        place = {f: k for k, f in enumerate(features[at])}
-        pick = lambda chosen: x[:, [place[f] for f in chosen]]
-        model = geometry(pick(seed))
-        values = [float(geometry(pick(near[c])) @ model) if len(near[c]) >= 2 and len(x) >= 2 else 0.0 for c in blocks[at]]
-        return pa.table({"label": pa.array([table["label"][0].as_py()] * len(values), pa.int32()), "centre": pa.array(blocks[at], pa.int32()), "value": values})
-
-    dealt = patterns.select("label", "vec_id", "x").mapInArrow(deal, f"label {kind_of['label']}, block int, vec_id {kind_of['vec_id']}, x binary")
-    return dealt.groupBy("label", "block").applyInArrow(run, "label int, centre int, value double")
-
-
 def searchlight_cka(patterns: DataFrame, neighbours: dict[int, list[int]], seed_features: list[int]) -> DataFrame:
     """label, centre, value: cosine of each neighbourhood's column-centred Gram with the seed features'.
 

@@ -10,7 +10,7 @@ from geomlake.sources import store
 from tests.compare import differences
 
 QUERIES = catalog.queries()
-TABLELESS = ["rdm_spearman", "corr_to_t", "ordinal_rank", "full_sheet_pair", "grouped_rsa", "parcel_rsa", "partial_corr_suite", "partial_rsa_1", "partial_rsa_2", "perm_shift", "rdm_label_summary", "embedding_quality", "rdm_kendall"]
+TABLELESS = ["rdm_spearman", "corr_to_t", "ordinal_rank", "full_sheet_pair", "grouped_rsa", "parcel_rsa", "partial_corr_suite", "partial_rsa_1", "partial_rsa_2", "perm_shift", "rdm_label_summary", "embedding_quality", "rdm_kendall", "searchlight_rsa"]
 
 
 def coarse(x, y):
