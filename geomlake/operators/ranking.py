@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geomlake.functions import special
@@ -193,8 +193,9 @@ def shifted(rows: DataFrame, base: Callable, others: Measures, offsets: list[int
     columns = ["qx", *[f"{k}_{name}" for name in others for k in "qp"]]
     found = over_pairs(rows, sums, "off int, " + ", ".join(f"{c} double" for c in columns))
     held = found.groupBy("label", "off").agg(*[F.sum(c).alias(c) for c in columns])
-    norms = found.groupBy("label").agg(*[F.sum(c).alias(f"_{c}") for c in columns if c.startswith("q")])
-    held = held.select("label", "off", *[f"p_{name}" for name in others]).join(norms, "label")
+    # Over a label's few offsets, so that the passes are made once.
+    whole = Window.partitionBy("label")
+    held = held.withColumns({f"_{c}": F.sum(c).over(whole) for c in columns if c.startswith("q")})
     r = lambda name: F.when(F.col("_qx") * F.col(f"_q_{name}") > 0, F.col(f"p_{name}") / F.sqrt(F.col("_qx") * F.col(f"_q_{name}")))
     return held.select("label", "off", *[r(name).alias(f"r_{name}") for name in others])
 

@@ -83,9 +83,8 @@ def perm_shift(spark, sf_dir):
     shifts = Q.shifts(spark, 20, 64)
     # SQL moves the second of two ranks on by the offset.
     rows = ranking.shifted(T.patterns(spark, sf_dir), Q2.RDMS["d"], {"dj": Q2.RDMS["dj"]}, [0, *sorted({r["off"] for r in shifts.collect()})])  # 20 shifts
-    null = rows.join(F.broadcast(shifts), "off").select("label", "p", F.col("r_dj").alias("null"))
-    seen = rows.where("off = 0").select("label", F.col("r_dj").alias("r"))
-    met = null.join(F.broadcast(seen), "label")
+    seen = F.max(F.when(F.col("off") == 0, F.col("r_dj"))).over(Window.partitionBy("label"))
+    met = rows.withColumn("r", seen).join(F.broadcast(shifts), "off").withColumnRenamed("r_dj", "null")
     return met.groupBy("label").agg(r6(F.first("r")).alias("r"), F.round((F.count_if(F.col("null") >= F.col("r") - 1e-12) + 1) / 21.0, 6).alias("p"), r6(F.max("null")).alias("top"))
 
 
