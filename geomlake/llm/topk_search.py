@@ -1,24 +1,24 @@
-"""Exact BM25 top-k search: an inverted index in shards, block-max WAND in each, exact merge.
+"""Exact BM25 top-k search: an inverted index in shards, block-max pruning in groups of them, exact merge.
 
 Index. A shard holds about SHARD words. Its documents are ordered so that neighbours are alike (by
 the signs of a few principal components of their most frequent words, then by length) and cut into
 blocks of WIDTH; equal texts are one document with all their ids. Document counts and lengths add
 up over all shards to global statistics, so a score does not depend on the shard.
 
-Search in a shard. A query's terms are cursors over doc-ordered postings, which move together, a
-window of pivots at a time. Cursors of terms below COMMON of the documents are summed in place;
-those above it are bounded by their largest part in each block. A document whose sum and bounds
-reach the query's threshold is a pivot; all others are skipped unread. Pivots are scored in the
-order of documents, and the threshold, the k-th best so far, rises from window to window. Queries
-that leave more than DENSE of a shard as pivots score these together as one matrix product. Up to
-here scores are single-precision with a proven leeway; what can still be among the k best is
-scored again in double precision, term by term in one fixed order, so ties are exact.
-
-Plan. Queries are a stored table, a row each. A tile is a shard and a chunk of QUERIES queries;
-each task reads its shard and then its queries, BATCH by BATCH, from the shared folder, so neither
-the driver nor a broadcast holds queries, and a task's work has a bound. A root of the shards is
-visited first; its k-th best is the floor that the others start from, a column of the queries. The
-shards' best are merged by score, then doc_id.
+Search. A task joins GROUP shards and searches them as one, for BATCH queries at a time. Parts of
+terms below COMMON of the documents are summed in place; those above it are bounded by their largest
+part in each block. Only windows with a block whose sum and bounds reach the query's threshold are
+scored, by a matrix product over the common terms for all queries that need the window. The
+threshold is a floor from other shards, or the k-th best in the blocks of the largest bounds. Up to
+here scores are single-precision, and parts kept in 16 bits, with a proven leeway; what can still be
+among the k best is scored again in double precision, term by term in one fixed order, so ties are
+exact.
+
+Plan. Queries are a stored table, a row each. A tile is a group of shards and a chunk of QUERIES
+queries; each task reads its shards and then its queries from the shared folder, so neither the
+driver nor a broadcast holds queries, and a task's work has a bound. A root of the shards is visited
+first; its k-th best is the floor that the others start from, a column of the queries. The groups'
+best are merged by score, then doc_id.
 
 A document as a query asks with all its distinct words, weighted by inverse document frequency;
 with `terms` given, only for so many of its most telling words: those with the largest count times
@@ -39,16 +39,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geomlake.llm import common
 
 K1, B, SHARD, QUERIES = 1.2, 0.75, 4_000_000, 16_384
-#: Documents of a shard at most, of a block; queries searched together; pivots scored together.
-DOCS, WIDTH, BATCH, WINDOW = 65_536, 16, 64, 512
-#: Shares of a shard's documents: terms in more are bounded by blocks, queries with more pivots scored together.
-COMMON, DENSE = 0.08, 0.03
+#: Documents of a shard at most, of a block; queries searched together; documents scored together; postings added together.
+DOCS, WIDTH, BATCH, WINDOW, RUN = 65_536, 16, 256, 512, 16_384
+#: Postings of a term up to which it is gathered, not sliced; places that fit 16 bits; a term's part of a score, at most K1 + 1, is kept in steps.
+FEW, MANY, STEP = 256, 65_536, (K1 + 1) / 65_535
+#: Shards searched as one, where there are enough of them for all cores.
+GROUP = 3
+#: Share of a shard's documents: terms in more are bounded by blocks and scored by matrix products.
+COMMON = 0.08
 #: Words a document asks with: all.
 TERMS = None
 _TABLE = np.array([b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256)], np.uint8)
@@ -111,6 +115,13 @@ def shard_row(ids: np.ndarray, classes: np.ndarray, hashes: np.ndarray, doc: np.
     return pa.RecordBatch.from_arrays([*(pa.array([p.tobytes()], pa.binary()) for p in parts), pa.array([len(ids)]), pa.array([int((length * copies).sum())])], [c.split(" ")[0] for c in _SHARD.split(", ")])
 
 
+def emptied(held: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """The arrays of a list one after the other; the list is empty then, so they are in memory once."""
+    out = [np.concatenate(x) for x in zip(*held, strict=True)]
+    held.clear()
+    return out
+
+
 def index(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """The stored index, a row and a file for each shard."""
 
@@ -130,13 +141,13 @@ def index(docs: DataFrame, shard: int = SHARD) -> DataFrame:
                 ids.append(doc_id)
             distinct, doc, word, tf, length = counts(batch.column(1).take(pa.array(new, pa.int64())))
             hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()), np.uint64, len(distinct)).view(np.int64)
-            held.append((hashes[word], doc + len(known) - len(new), tf, length))
+            held.append((hashes[word], (doc + len(known) - len(new)).astype(np.int32), tf.astype(np.int32), length))
             size += int(length.sum())
             if size >= shard or len(known) >= DOCS or len(ids) >= 16 * DOCS:
-                yield shard_row(np.array(ids), np.array(classes), *map(np.concatenate, zip(*held, strict=True)))
-                held, known, ids, classes, size = [], {}, [], [], 0
+                yield shard_row(np.array(ids), np.array(classes), *emptied(held))
+                known, ids, classes, size = {}, [], [], 0
         if ids:
-            yield shard_row(np.array(ids), np.array(classes), *map(np.concatenate, zip(*held, strict=True)))
+            yield shard_row(np.array(ids), np.array(classes), *emptied(held))
 
     return common.saved(common.texts(docs.where("doc_id IS NOT NULL")).mapInArrow(build, _SHARD), "search-index", maxRecordsPerFile=1)
 
@@ -178,52 +189,105 @@ def telling_terms(asked: DataFrame, shards: DataFrame, terms: int | None = TERMS
     return chosen.select("query_id", F.explode("best").alias("x")).select("query_id", F.col("x.term").alias("term"), F.col("x.idf").alias("weight"))
 
 
+def joined(rows: list[dict]) -> dict:
+    """Several shards as one: their documents stand one after the other, their postings by term."""
+    if len(rows) == 1:
+        return rows[0]
+    parts = [{c: np.frombuffer(r[c], kind).astype(to, copy=False) for c, kind, to in (("ids", "<i8", "<i8"), ("id_starts", "<u4", np.int64), ("lengths", "<u4", "<u4"), ("terms", "<i8", "<i8"), ("starts", "<u4", np.int64), ("docs", "<u4", "<u4"), ("tfs", "<u4", "<u4"))} for r in rows]
+    names = np.unique(np.concatenate([x["terms"] for x in parts]))
+    places, sizes = [np.searchsorted(names, x["terms"]) for x in parts], [np.diff(x["starts"]) for x in parts]
+    starts = np.zeros(len(names) + 1, np.int64)
+    for place, size in zip(places, sizes, strict=True):
+        starts[place + 1] += size
+    np.cumsum(starts, out=starts)
+    free, docs, tfs, n, m = starts[:-1].copy(), np.empty(starts[-1], "<u4"), np.empty(starts[-1], "<u4"), 0, 0
+    for x, place, size in zip(parts, places, sizes, strict=True):
+        at = np.repeat(free[place] - x["starts"][:-1], size)
+        at += np.arange(len(at))
+        docs[at], tfs[at] = x["docs"] + np.uint32(n), x["tfs"]
+        free[place] += size
+        x["id_starts"] = x["id_starts"][n > 0 :] + m
+        n, m = n + len(x["lengths"]), m + len(x["ids"])
+    return {"ids": np.concatenate([x["ids"] for x in parts]), "id_starts": np.concatenate([x["id_starts"] for x in parts]).astype("<u4"), "lengths": np.concatenate([x["lengths"] for x in parts]), "terms": names, "starts": starts.astype("<u4"), "docs": docs, "tfs": tfs}
+
+
+def placed(docs: np.ndarray) -> np.ndarray:
+    """Places of documents: in each WINDOW, first the first of each block, then the second."""
+    return docs // WINDOW * WINDOW + docs % WIDTH * (WINDOW // WIDTH) + docs % WINDOW // WIDTH
+
+
+def unplaced(places: np.ndarray) -> np.ndarray:
+    """The documents at some places."""
+    return places // WINDOW * WINDOW + places % (WINDOW // WIDTH) * WIDTH + places % WINDOW // (WINDOW // WIDTH)
+
+
 class Shard:
     """One shard's postings by term and by document, and the blocks of its common terms."""
 
     def __init__(self, row: dict, mean: float):
         self.ids, self.id_starts = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["id_starts"], "<u4").astype(np.int64)
-        length, self.terms = np.frombuffer(row["lengths"], "<u4").astype(np.float64), np.frombuffer(row["terms"], "<i8")
-        self.start = np.frombuffer(row["starts"], "<u4").astype(np.int64)
-        self.n, self.doc, tf = len(length), np.frombuffer(row["docs"], "<u4").astype(np.int32), np.frombuffer(row["tfs"], "<u4").astype(np.float64)
-        self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / mean))
+        self.length, self.terms = np.frombuffer(row["lengths"], "<u4").astype(np.float64), np.frombuffer(row["terms"], "<i8")
+        self.start, self.mean = np.frombuffer(row["starts"], "<u4").astype(np.int64), mean
+        self.n, doc, tf = len(self.length), np.frombuffer(row["docs"], "<i4"), np.frombuffer(row["tfs"], "<u4")
         df = np.diff(self.start)
+        # All postings by document: its terms in the order of their hashes, so equal texts add up to equal scores.
+        by_doc = np.argsort(doc.astype(np.uint16) if self.n <= MANY else doc, kind="stable")
+        self.own = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=self.n))])
+        self.own_tf = tf.astype(np.min_scalar_type(tf.max(initial=0)))[by_doc]
+        self.own_term = np.repeat(np.arange(len(df), dtype=np.int32), df)[by_doc]
+        del by_doc
+        weight = tf.astype(np.float32)
+        weight *= np.float32(K1 + 1) / (weight + (K1 * (1 - B + B * self.length / mean)).astype(np.float32)[doc])
+        place = placed(np.arange(self.n, dtype=np.uint32))[doc]
+        # Postings by term: a document's place and, in the lower 16 bits, its part in steps.
+        self.posts = np.rint(weight / np.float32(STEP)).astype(np.uint32 if self.n <= MANY else np.uint64)
+        self.posts |= place.astype(self.posts.dtype) << 16
         common_terms = np.flatnonzero(df > max(COMMON * self.n, WIDTH))
         self.column = np.full(len(df), -1, np.int32)
         self.column[common_terms] = np.arange(len(common_terms))
-        term = np.repeat(np.arange(len(df), dtype=np.int32), df)
-        # Common terms: the parts of every document, a row each, and the largest of each block.
-        self.part = np.zeros((-(-self.n // WIDTH) * WIDTH, len(common_terms)), np.float32)
-        here = self.column[term] >= 0
-        self.part[self.doc[here], self.column[term[here]]] = self.weight[here]
-        self.most = self.part.reshape(len(self.part) // WIDTH, WIDTH, len(common_terms)).max(axis=1)
-        # All postings by document: its terms in the order of their hashes, so equal texts add up to equal scores.
-        by_doc = np.argsort(self.doc, kind="stable")
-        self.own = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=self.n))])
-        self.own_term, self.own_weight = term[by_doc], self.weight[by_doc]
-        self.asked = np.zeros(len(df))
+        # Common terms: the parts of every document, a row for each place, and the largest of each block.
+        self.part = np.zeros((-(-self.n // WINDOW) * WINDOW, len(common_terms)), np.float32)
+        for column, (a, b) in enumerate(zip(self.start[common_terms].tolist(), self.start[common_terms + 1].tolist(), strict=True)):
+            self.part[place[a:b], column] = weight[a:b]
+        self.most = self.part.reshape(-1, WIDTH, WINDOW // WIDTH, len(common_terms)).max(axis=1).reshape(-1, len(common_terms)) if len(common_terms) else np.zeros((len(self.part) // WIDTH, 0), np.float32)
+        del place, weight
+        self.asked, self.marked = np.zeros(len(df)), np.zeros(len(df), bool)
         self.read = self.scored = 0
 
-    def sums(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Every document's sum over the query's terms that are not common."""
-        spans = [slice(a, b) for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True)]
-        if not spans:
-            return np.zeros(self.n)
-        parts = np.concatenate([self.weight[x] for x in spans]) * np.repeat(weights, self.start[terms + 1] - self.start[terms])
-        self.read += len(parts)
-        return np.bincount(np.concatenate([self.doc[x] for x in spans]), parts, self.n)
+    def add(self, sums: np.ndarray, query: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        """Adds to sums, by query and place, the parts of some terms, in the order of queries; RUN postings at a time, which stay in the cache."""
+        begin, size, weights = self.start[terms], self.start[terms + 1] - self.start[terms], (weights * STEP).astype(np.float32)
+        self.read += int(size.sum())
+        for few in (True, False):
+            chosen = np.flatnonzero((size <= FEW) == few)
+            ends = np.cumsum(size[chosen])
+            cuts = np.unique(np.concatenate([[0, len(chosen)], np.flatnonzero(np.diff(query[chosen])) + 1, np.searchsorted(ends, np.arange(RUN, ends[-1], RUN)) if len(ends) else []]).astype(int)).tolist()
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                here = chosen[i:j]
+                first, n = begin[here], size[here]
+                if few:
+                    at = np.repeat(first - (np.cumsum(n) - n), n)
+                    at += np.arange(len(at))
+                    posts = self.posts[at]
+                else:
+                    posts = np.concatenate([self.posts[a:b] for a, b in zip(first.tolist(), (first + n).tolist(), strict=True)])
+                np.add.at(sums[query[here[0]]], (posts >> 16).astype(np.intp), (posts & 0xFFFF).astype(np.float32) * np.repeat(weights[here], n))
 
     def holding(self, terms: np.ndarray) -> np.ndarray:
-        """The documents that have any of the terms."""
-        return np.unique(np.concatenate([self.doc[a:b] for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True)]))
+        """The places of documents that have any of the terms."""
+        return np.unique(np.concatenate([self.posts[a:b] for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True)]) >> 16).astype(np.intp)
 
     def exact(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Scores in double precision, to nine decimals."""
-        m = self.own[docs + 1] - self.own[docs]
-        at = np.repeat(self.own[docs] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-        self.asked[terms] = weights
-        out = np.bincount(np.repeat(np.arange(len(docs)), m), self.own_weight[at] * self.asked[self.own_term[at]], len(docs))
-        self.asked[terms] = 0
+        spans = list(zip(self.own[docs].tolist(), self.own[docs + 1].tolist(), strict=True))
+        self.asked[terms], self.marked[terms] = weights, True
+        every = np.concatenate([self.own_term[a:b] for a, b in spans])
+        here = np.flatnonzero(self.marked[every])
+        asked = self.asked[every[here]]
+        self.marked[terms] = False
+        tf = np.concatenate([self.own_tf[a:b] for a, b in spans])[here].astype(np.float64)
+        which = np.searchsorted(np.cumsum([b - a for a, b in spans]), here, side="right")
+        out = np.bincount(which, tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.length[docs[which]] / self.mean)) * asked, len(docs))
         self.scored += len(docs)
         return np.round(out, 9)
 
@@ -240,85 +304,91 @@ class Shard:
         order = np.lexsort((ids, -scores))[:k]
         return ids[order], scores[order]
 
-    def pivots(self, sums: np.ndarray, bounds: np.ndarray, asked: np.ndarray, k: int, floor: float, leeway: float) -> np.ndarray | None:
-        """The documents that may be among the k best, or None if too many are pivots or the threshold says nothing.
-
-        sums: over terms that are not common; bounds: of the common ones, by block; asked: weights of those.
-        """
-        limit = sums + np.repeat(bounds, WIDTH)[: self.n]
-        threshold, found, scores = floor - leeway, [], []
-
-        def visit(docs: np.ndarray) -> None:
-            nonlocal threshold
-            found.append(docs)
-            scores.append(sums[docs] + self.part[docs] @ asked)
-            every = np.concatenate(scores)
-            if len(every) >= k:
-                threshold = max(threshold, np.partition(every, len(every) - k)[len(every) - k] - 2 * leeway)
-
-        # The documents of the largest limits give a first threshold.
-        first = np.argpartition(limit, self.n - 4 * k)[-4 * k :] if self.n > 4 * k else np.arange(self.n)
-        visit(first)
-        limit[first] = -np.inf
-        waiting = np.flatnonzero(limit >= threshold)
-        if threshold <= leeway or len(waiting) > DENSE * self.n + WINDOW:
-            return None
-        for at in range(0, len(waiting), WINDOW):
-            window = waiting[at : at + WINDOW]
-            window = window[limit[window] >= threshold]
-            if len(window):
-                visit(window)
-        docs, scores = np.concatenate(found), np.concatenate(scores)
-        return docs[scores >= threshold]
-
     def search(self, queries: list[tuple[np.ndarray, np.ndarray, float]], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each of some queries (term hashes, weights, floor): its number, doc_ids and scores of the k best."""
-        asked, held = np.zeros((len(queries), self.part.shape[1]), np.float32), []
-        for i, (hashes, weights, floor) in enumerate(queries):
-            place = np.minimum(np.searchsorted(self.terms, hashes), max(0, len(self.terms) - 1))
-            here = self.terms[place] == hashes if len(self.terms) else np.zeros(len(hashes), bool)
-            terms, weights = place[here], weights[here]
+        asked, sums, held = np.zeros((len(queries), self.part.shape[1]), np.float32), np.zeros((len(queries), len(self.part)), np.float32), []
+        rare = []
+        known, which = np.unique(np.concatenate([hashes for hashes, _, _ in queries]), return_inverse=True)
+        place = np.minimum(np.searchsorted(self.terms, known), max(0, len(self.terms) - 1))
+        place = np.where(self.terms[place] == known, place, -1)[which] if len(self.terms) else np.full(len(which), -1)
+        bounds = np.cumsum([0, *(len(hashes) for hashes, _, _ in queries)]).tolist()
+        for i, (_, weights, floor) in enumerate(queries):
+            terms = place[bounds[i] : bounds[i + 1]]
+            terms, weights = terms[terms >= 0], weights[terms >= 0]
             column = self.column[terms]
             asked[i, column[column >= 0]] = weights[column >= 0]
-            # Single-precision sums of m parts err by a share of m half-units in the last place, at most.
-            leeway = 1e-7 * (asked.shape[1] + 16) * float(weights.sum()) * (K1 + 1) + 1e-8
-            held.append((terms, weights, column < 0, floor, leeway))
-        bounds = asked @ self.most.T
-        left: list[tuple[int, np.ndarray]] = []
-        for i, (terms, weights, rare, floor, leeway) in enumerate(held):
-            if not len(terms):
-                continue
-            sums = self.sums(terms[rare], weights[rare])
-            docs = self.pivots(sums, bounds[i] + np.float32(leeway), asked[i], k, floor, leeway)
-            if docs is None:
-                left.append((i, sums))
-            elif len(docs):
-                yield i, *self.best(docs, terms, weights, k, floor)
-        if left:
-            product = asked[[i for i, _ in left]] @ self.part.T
-            for (i, sums), row in zip(left, product, strict=True):
-                terms, weights, _, floor, leeway = held[i]
-                scores = sums + row[: self.n]
-                threshold = max(floor, np.partition(scores, self.n - k)[self.n - k] if self.n >= k else 0.0) - 2 * leeway
-                docs = np.flatnonzero(scores >= threshold) if threshold > leeway else self.holding(terms)
-                yield i, *self.best(docs, terms, weights, k, floor)
+            rare.append((np.full(len(terms), i)[column < 0], terms[column < 0], weights[column < 0]))
+            held.append((terms, weights, floor))
+        self.add(sums, *map(np.concatenate, zip(*rare, strict=True)))
+        # A single-precision sum of m parts, none negative, errs by a share of m half-units in the last place, at most.
+        leeway = 1.2e-7 * (16 + np.array([len(terms) for terms, _, _ in held]))
+        # Parts of terms that are not common are off by half a step each.
+        slack = np.array([float(weights.sum()) for _, _, weights in rare]) * (STEP * 0.501) + 1e-8
+        limit = asked @ self.most.T
+        limit += sums.reshape(len(held), -1, WIDTH, WINDOW // WIDTH).max(axis=2).reshape(limit.shape)
+        threshold = np.array([floor for _, _, floor in held]) * (1 - leeway) - slack
+        for i in np.flatnonzero(threshold == -np.inf).tolist():
+            # The blocks of the largest limits give a first threshold.
+            blocks = np.argpartition(limit[i], -k)[-k:] if limit.shape[1] > k else np.arange(limit.shape[1])
+            at = placed((blocks[:, None] * WIDTH + np.arange(WIDTH)).ravel())
+            if len(at) >= k:
+                threshold[i] = np.partition(sums[i, at] + self.part[at] @ asked[i], len(at) - k)[len(at) - k] * (1 - 2 * leeway[i]) - 2 * slack[i]
+        # Documents that no threshold above zero excludes are those with any term.
+        found = [(np.full(len(at), i), at, np.full(len(at), np.inf, np.float32)) for i in np.flatnonzero(threshold <= 0).tolist() if len(held[i][0]) for at in [self.holding(held[i][0])]]
+        threshold[threshold <= 0] = np.inf
+        low = (threshold * (1 - 3 * leeway)).astype(np.float32)[:, None]
+        pivots = (limit >= low).reshape(len(held), -1, WINDOW // WIDTH).any(axis=2)
+        for window in np.flatnonzero(pivots.any(axis=0)).tolist():
+            which, here = np.flatnonzero(pivots[:, window]), slice(window * WINDOW, (window + 1) * WINDOW)
+            scores = asked[which] @ self.part[here].T
+            scores += sums[which, here]
+            at = np.flatnonzero(scores >= low[which])
+            if len(at):
+                found.append((which[at // WINDOW], at % WINDOW + here.start, scores.ravel()[at]))
+        if not found:
+            return
+        query, at, scores = map(np.concatenate, zip(*found, strict=True))
+        order = np.argsort(query, kind="stable")
+        query, docs, scores = query[order], unplaced(at[order]), scores[order]
+        cuts = [0, *(np.flatnonzero(np.diff(query)) + 1).tolist(), len(query)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            i, own = int(query[a]), scores[a:b]
+            near = own >= np.partition(own, b - a - k)[b - a - k] * (1 - 2 * leeway[i]) - 2 * slack[i] if b - a > k else slice(None)
+            terms, weights, floor = held[i]
+            yield i, *self.best(docs[a:b][near], terms, weights, k, floor)
 
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
 
-def visited(shards: DataFrame, asked: DataFrame, folder: str, chunks: int, mean: float, k: int) -> DataFrame:
-    """query_id, doc_id, score: each shard's k best of every query; asked: a stored table in `folder`, by chunk."""
-    tiles = shards.select(F.input_file_name().alias("path"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+def grouped(shards: list[tuple[str, int]], size: int) -> list[list[str]]:
+    """Files of shards (file, documents) in groups of `size` and of DOCS documents at most."""
+    groups, held = [], DOCS
+    for path, n in shards:
+        if not groups or len(groups[-1]) >= size or held + n > DOCS:
+            groups.append([])
+            held = 0
+        groups[-1].append(path)
+        held += n
+    return groups
+
+
+def visited(spark: SparkSession, groups: list[list[str]], folder: str, chunks: int, mean: float, k: int) -> DataFrame:
+    """query_id, doc_id, score: each group's k best of every query; folder: the stored queries, by chunk."""
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tile in batch.to_pylist():
-                store, path = common.store(tile["path"])
-                with store.open_input_file(path) as source:
-                    shard = Shard(pq.read_table(source).to_pylist()[0], mean)
-                size = max(1, min(BATCH, 2_000_000 // max(1, shard.n)))
-                for path in common.files(f"{folder}/chunk={tile['chunk']}"):
+            for tile in batch.column(0).to_pylist():
+                rows = []
+                for path in groups[tile // chunks]:
+                    store, path = common.store(path)
+                    with store.open_input_file(path) as source:
+                        rows += pq.read_table(source).to_pylist()
+                rows = joined(rows)
+                shard = Shard(rows, mean)
+                rows = None
+                size = max(1, min(BATCH, 8_000_000 // max(1, shard.n)))
+                for path in common.files(f"{folder}/chunk={tile % chunks}"):
                     store, path = common.store(path)
                     with store.open_input_file(path) as source:
                         for part in pq.ParquetFile(source).iter_batches(batch_size=size):
@@ -329,9 +399,8 @@ def visited(shards: DataFrame, asked: DataFrame, folder: str, chunks: int, mean:
                             if found:
                                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], schema=_FOUND)
 
-    # Ranges of so few rows are exact: a task for each tile, where dealing them round would leave some tasks several.
-    n = shards.count() * chunks
-    return tiles.repartitionByRange(max(1, min(n, 10_000)), "path", "chunk").mapInArrow(visit, "query_id long, doc_id long, score double")
+    n = len(groups) * chunks
+    return spark.range(0, n, 1, max(1, min(n, 10_000))).mapInArrow(visit, "query_id long, doc_id long, score double")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -346,7 +415,7 @@ def search(shards: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     shards: as index() gives them, a file each.
     """
     spark = shards.sparkSession
-    stats = shards.agg(F.count("*").alias("shards"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("w")).first()
+    stats = shards.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("w")).first()
     mean = stats["w"] / max(1, stats["n"]) or 1.0
     entry = F.struct("term", F.col("weight").cast("double").alias("weight"))
     summed = queries.repartition("query_id").groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))
@@ -354,20 +423,22 @@ def search(shards: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     chunks = max(1, -(-whole.count() // QUERIES))
     chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")
 
-    def dealt(asked: DataFrame) -> tuple[DataFrame, str]:
+    def dealt(asked: DataFrame) -> str:
         folder = common.new_folder(spark, "search-chunks")
         asked.withColumn("chunk", chunk).repartition(chunks, "chunk").write.partitionBy("chunk").parquet(folder)
-        return asked, folder
+        return folder
 
     # A root of the shards goes first: the others then give only what passes a query's k-th best there.
-    ahead = max(1, round(stats["shards"] ** 0.5))
-    first_ones = F.pmod(F.xxhash64(F.input_file_name()), F.lit(ahead)) == 0
-    found = visited(shards.where(first_ones), *dealt(whole), chunks, mean, k)
-    if ahead > 1:
+    files = sorted((r["path"], r["n_docs"]) for r in shards.select(F.input_file_name().alias("path"), "n_docs").collect())
+    ahead, cores = max(1, round(len(files) ** 0.5)), spark.sparkContext.defaultParallelism
+    first, rest = files[::ahead], [x for i, x in enumerate(files) if i % ahead]
+    groups = [grouped(x, max(1, min(GROUP, len(x) * chunks // (2 * cores)))) for x in (first, rest)]
+    found = visited(spark, groups[0], dealt(whole), chunks, mean, k)
+    if rest:
         found = common.saved(found, "search-first")
         kth = ranked(found, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
         raised = whole.join(kth, "query_id", "left").select("query_id", "terms", "weights", F.col("kth").alias("floor"))
-        found = found.union(visited(shards.where(~first_ones), *dealt(raised), chunks, mean, k))
+        found = found.union(visited(spark, groups[1], dealt(raised), chunks, mean, k))
     return ranked(found, k)
 
 

@@ -88,3 +88,43 @@ def test_hot_copies_and_scores_in_many_shards(spark):
     shards = topk_search.index(docs, 3000)
     assert shards.count() == 6 and shards.agg(F.sum("n_docs")).first()[0] == 1200
     same(topk_search.search(shards, topk_search.telling_terms(docs.where("doc_id % 10 = 0"), shards), 10), plain(docs.toPandas(), 10, None, 10))
+
+
+def test_shards_searched_as_one_give_what_each_gives(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 5 < 2").repartition(5)
+    rows = [r.asDict() for r in topk_search.index(docs, 30_000).collect()]
+    assert len(rows) == 5
+    asked = topk_search.telling_terms(docs.where("doc_id % 20 = 0"), topk_search.index(docs)).toPandas()
+    queries = [(np.array(x["term"]), np.array(x["weight"]), -np.inf) for _, x in asked.sort_values("term").groupby("query_id")]
+
+    def best(shards, queries):
+        found = [[] for _ in queries]
+        for shard in shards:
+            for i, ids, scores in shard.search(queries, 10):
+                found[i] += zip((-scores).tolist(), ids.tolist(), strict=True)
+        return [sorted(x)[:10] for x in found]
+
+    want = best([topk_search.Shard(r, 300.0) for r in rows], queries)
+    assert all(len(x) == 10 for x in want)
+    one = topk_search.Shard(topk_search.joined(rows), 300.0)
+    assert best([one], queries) == want
+    # With the last scores as floors the same are found; so they are with postings of 64 bits.
+    assert best([one], [(*q[:2], -x[-1][0]) for q, x in zip(queries, want, strict=True)]) == want
+    monkeypatch.setattr(topk_search, "MANY", 0)
+    assert best([topk_search.Shard(topk_search.joined(rows), 300.0)], queries) == want
+
+
+def test_groups_of_shards_hold_a_bounded_number_of_documents():
+    shards = [("a", 10), ("b", 20), ("c", topk_search.DOCS), ("d", 5), ("e", 5), ("f", 5), ("g", 5)]
+    assert topk_search.grouped(shards, 3) == [["a", "b"], ["c"], ["d", "e", "f"], ["g"]]
+    assert topk_search.grouped(shards, 1) == [[p] for p, _ in shards] and topk_search.grouped([], 3) == []
+
+
+@pytest.mark.parametrize("size", [1, 4])
+def test_groups_of_shards_do_not_change_the_result(spark, monkeypatch, size):
+    real = topk_search.grouped
+    monkeypatch.setattr(topk_search, "grouped", lambda shards, _: real(shards, size))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    shards = topk_search.index(docs.repartition(9))
+    assert shards.count() == 9
+    same(topk_search.search(shards, topk_search.telling_terms(docs.where("doc_id % 50 = 0"), shards), 10), plain(docs.toPandas(), 10, None, 50))
