@@ -200,10 +200,11 @@ def shifted(rows: DataFrame, base: Callable, others: Measures, offsets: list[int
     return held.select("label", "off", *[r(name).alias(f"r_{name}") for name in others])
 
 
-def numbered(rows: DataFrame, measure: Callable) -> DataFrame:
-    """label, i, j, rk: each pair's number from 0 in its label's order of (measure, i, j)."""
+def numbered(rows: DataFrame, measure: Callable, prepared: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> DataFrame:
+    """label, i, j, rk: each pair's number from 0 in its label's order of (measure of prepared rows, i, j)."""
 
     def places(pairs: Pairs) -> Iterator[dict]:
+        pairs.x = prepared(pairs.x)
         rank = pairs.ranks(measure, "ordinal")[0]
         i, j = pairs.names()
         yield {"i": i, "j": j, "rk": rank.astype(np.int64) - 1}

@@ -108,3 +108,32 @@ def test_kendall_neighbours_and_searchlights_over_several_tasks(spark, own, monk
             assert got == pytest.approx([want["trust"], want["continuity"]])
         d = [pd.Series(blocked.correlation(x[:, f], x[:, f])[at].round(12)).rank().to_numpy() for f in ([0, 1, 2], [3, 4, 5])]
         assert lights[label, 0] == pytest.approx(np.corrcoef(*d)[0, 1]) and lights[label, 1] == 0
+
+
+def test_ordinal_ranks_equal_sql_on_copies_and_rows_without_variation(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    few = np.concatenate([rng.standard_normal((120, 64)), np.full((2, 64), 0.5)])
+    data = [(k * 1000 + v, [float(c) for c in row], 4) for k in range(3) for v, row in enumerate(few)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").coalesce(1).toPandas().to_parquet(tmp_path / "embeddings.parquet")
+    assert not differences(QUERIES["ordinal_rank"](spark, str(tmp_path)), registry.SQL["ordinal_rank"], str(tmp_path))
+
+
+@pytest.mark.parametrize("length", [1, 6, 64, 300])
+@pytest.mark.parametrize("trusted", [True, False])
+def test_fused_products_have_the_bits_of_fused_additions(monkeypatch, length, trusted):
+    import math
+
+    from geomlake.operators import fused
+
+    if not trusted:
+        monkeypatch.setattr(fused, "tiles_agree", lambda length: False)
+    rng = np.random.default_rng(13)
+    x, y = rng.standard_normal((21, length)) * 10.0 ** rng.integers(-6, 6, (21, 1)), rng.standard_normal((33, length))
+
+    def plain(a, b):
+        total = 0.0
+        for p, q in zip(a.tolist(), b.tolist()):
+            total = math.fma(p, q, total)
+        return total
+
+    assert (fused.products(x, y) == [[plain(a, b) for b in y] for a in x]).all()
