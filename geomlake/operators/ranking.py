@@ -7,7 +7,8 @@ and counts how many are below each of its own: so its ranks are exact and its me
 whatever the label's size or its ties. What leaves a task are sums, or its own pairs.
 
 Rows are linear in a label and pairs are not: the passes take pairs times tasks of a label, so time
-grows with the square of a label's pairs over OWN where a table of pairs would grow in disk.
+grows with the square of a label's pairs over OWN where a table of pairs would grow in disk. Searchlights
+rank many times, so their tasks own more (LIGHT) and carry the seed's ranks along while they sort.
 Distances are computed by bands of rows, always the same ones, so that a value equals itself.
 """
 
@@ -26,17 +27,19 @@ from geomlake.sources import store
 
 #: Pairs that a task owns, that it sorts at a time; rows of a band at most.
 OWN, CHUNK, BAND = 6_000_000, 12_000_000, 256
+#: Of searchlights: pairs that a task owns, that it sorts at a time, and of a band.
+LIGHT, STRETCH, CELLS = 72_000_000, 2**24, 2**17
 Measures = dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]]
 
 
 class Pairs:
     """The pairs of one label's rows, numbered in the order of (i, j); a task owns those from first to last."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, part: int, parts: int):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, part: int, parts: int, cells: int | None = None):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
         self.n, self.part, self.parts = len(ids) * (len(ids) - 1) // 2, part, parts
-        step = max(1, min(BAND, CHUNK // 6 // max(1, len(ids))))
+        step = max(1, min(BAND, (cells or CHUNK // 6) // max(1, len(ids))))
         self.bands = [(s, min(s + step, len(ids))) for s in range(0, len(ids), step)]
         owner = [s * (s - 1) // 2 * parts // max(1, self.n) for s, _ in self.bands]
         self.own = [b for b, at in zip(self.bands, owner, strict=True) if at == part]
@@ -113,17 +116,18 @@ class Pairs:
         return out, own
 
 
-def over_pairs(rows: DataFrame, kernel: Callable[[Pairs], Iterator[dict]], schema: str, jobs: int = 1) -> DataFrame:
+def over_pairs(rows: DataFrame, kernel: Callable[[Pairs], Iterator[dict]], schema: str, jobs: int = 1, own: int | None = None, cells: int | None = None) -> DataFrame:
     """label and what kernel(pairs) yields (columns of arrays), for each task of each label of rows (vec_id, label, x).
 
-    With several jobs a task has one of them, pairs.job. Rows without a label have no pairs.
+    With several jobs a task has one of them, pairs.job. Rows without a label have no pairs. own, cells: pairs
+    of a task, if not OWN, and of a band.
     """
     spark = rows.sparkSession
     held = rows.where("label IS NOT NULL").select("vec_id", F.col("label").cast("int").alias("label"), "x")
     folder = store.shared_folder(spark, "labels")
     held.repartition("label").write.partitionBy("label").parquet(folder)
     sizes = [(r["label"], r["count"]) for r in held.groupBy("label").count().collect()]  # a row for each label
-    tiles = [(label, k, parts, job) for label, n in sizes for parts in [max(1, -(-(n * (n - 1) // 2) // OWN))] for k in range(parts) for job in range(jobs)]
+    tiles = [(label, k, parts, job) for label, n in sizes for parts in [max(1, -(-(n * (n - 1) // 2) // (own or OWN)))] for k in range(parts) for job in range(jobs)]
     fields = [f.name for f in spark.createDataFrame([], schema).schema]
     types = pa.schema([("label", pa.int32()), *[(name, kind) for name, kind in zip(fields, _kinds(schema), strict=True)]])
 
@@ -131,7 +135,7 @@ def over_pairs(rows: DataFrame, kernel: Callable[[Pairs], Iterator[dict]], schem
         for batch in batches:
             for tile in batch.to_pylist():
                 table = store.read_folder(f"{folder}/label={tile['label']}", ["vec_id", "x"])
-                pairs = Pairs(table["vec_id"].to_numpy(), np.array(table["x"].to_pylist(), float), tile["part"], tile["parts"])
+                pairs = Pairs(table["vec_id"].to_numpy(), np.array(table["x"].to_pylist(), float), tile["part"], tile["parts"], cells)
                 pairs.job = tile["job"]
                 if not pairs.n:
                     continue
@@ -212,23 +216,146 @@ def numbered(rows: DataFrame, measure: Callable, prepared: Callable[[np.ndarray]
     return over_pairs(rows, places, "i long, j long, rk long")
 
 
+class Lights:
+    """Ranks of all of a label's pairs by one measure after another, by sorting them a stretch of values at a time.
+
+    A measure is correlation distances of some features, counted in units of 1e-12. What a pair carries
+    along, an integer, lies in the lower bits of its key, so that sorting keys is all there is to do. A stretch holds
+    STRETCH pairs at most and is sorted in pieces narrow enough for the key's upper bits; each stretch
+    computes all distances anew. Of a task's own pairs their rank by the seed is carried, of others none.
+    """
+
+    def __init__(self, pairs: Pairs):
+        self.pairs, self.n = pairs, pairs.n
+        self.band = np.empty(max(((e - s) * e for s, e in pairs.bands), default=0))
+        rows = max((e - s for s, e in pairs.bands), default=0)
+        self.beyond = np.triu(np.ones((rows, rows), bool))
+        self.at, size = {}, 0
+        for s, e in pairs.own:
+            self.at[s] = size
+            size += (e - s) * e
+        #: Of the own bands, whole rectangles of (i, j): twice the centred rank by the seed, plus n.
+        self.model = np.full(size, self.n, np.int32 if self.n < 2**30 else np.int64)
+
+    def keys(self, z: np.ndarray, band: tuple[int, int]) -> np.ndarray:
+        """A band's distances in units of 1e-12, infinite where j is not below i."""
+        s, e = band
+        d = self.band[: (e - s) * e].reshape(e - s, e)
+        np.matmul(z[s:e], z[:e].T, out=d)
+        np.subtract(1, d, out=d)
+        np.multiply(d, 1e12, out=d)
+        np.rint(d, out=d)
+        np.copyto(d[:, s:e], np.inf, where=self.beyond[: e - s, : e - s])
+        return d.ravel()
+
+    def stretches(self, z: np.ndarray) -> list[tuple[int, int]]:
+        """Bounds of values with as many pairs each, more or less, by quantiles of a few rows."""
+        few = z[:: -(-len(z) // 1000)]
+        d = np.rint((1 - few @ few.T)[np.tri(len(few), k=-1, dtype=bool)] * 1e12)
+        parts = max(1, -(-self.n // max(1, STRETCH * 7 // 8)))
+        inner = np.unique(np.quantile(d, np.arange(1, parts) / parts).astype(np.int64)).tolist() if len(d) else []
+        ends = [-(2**20), *[v for v in inner if 0 < v < 2 * 10**12], 2 * 10**12 + 2**20]  # 0 to 2 but for rounding
+        return [*zip(ends, ends[1:], strict=False)]
+
+    def chosen(self, z: np.ndarray, low: int, high: int) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray]]:
+        """Bands, the places in their rectangles and the keys of pairs from low to below high."""
+        for band in self.pairs.bands:
+            key = self.keys(z, band)
+            here = np.flatnonzero((key >= low) & (key < high))
+            if len(here):
+                yield band, here, key.take(here)
+
+    def ranks(self, features: list[int], carried: Callable, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What carried(band, places) gives for all pairs, 0 to most, and twice their centred ranks; equal distances share a rank."""
+        x = self.pairs.x[:, features]
+        c = x - x.mean(axis=1, keepdims=True)
+        z = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+        bits, below, waiting = most.bit_length(), 0, self.stretches(z)
+        while waiting:
+            low, high = waiting.pop(0)
+            if high - low == 1:  # one value
+                count = sum(len(here) for _, here, _ in self.chosen(z, low, high))
+                for band, here, _ in self.chosen(z, low, high):
+                    yield carried(band, here), np.full(len(here), 2.0 * below + count - self.n)
+                below += count
+                continue
+            pieces: list[list[np.ndarray]] = [[] for _ in range((high - low >> 64 - bits) + 1)]
+            count = 0
+            for band, here, key in self.chosen(z, low, high):
+                count += len(here)
+                if count > STRETCH:
+                    waiting[:0] = [(low, (low + high) // 2), ((low + high) // 2, high)]
+                    break
+                key -= low
+                value = key.astype(np.int64)
+                of = value >> 64 - bits
+                value <<= bits
+                value |= carried(band, here)
+                for k, piece in enumerate(pieces):
+                    piece.append(value.take(np.flatnonzero(of == k)) if len(pieces) > 1 else value)
+            else:
+                for piece in pieces:
+                    held = np.concatenate(piece or [np.zeros(0, np.int64)]).view(np.uint64)
+                    piece.clear()
+                    held.sort()
+                    yield from self._ranked(held, bits, below)
+                    below += len(held)
+            del pieces
+
+    def _ranked(self, held: np.ndarray, bits: int, below: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Slices of whole groups of equal values."""
+        start, lower = 0, np.uint64(2**bits - 1)
+        while start < len(held):
+            stop = min(start + 2**15, len(held))
+            stop = int(np.searchsorted(held, held[stop - 1] | lower, side="right"))
+            part = held[start:stop]
+            rank = np.arange(2 * (below + start) + 1 - self.n, 2 * (below + stop) + 1 - self.n, 2, dtype=float)
+            again = np.flatnonzero((part[1:] ^ part[:-1]) <= lower)
+            if len(again):
+                new = np.flatnonzero(np.diff(again, prepend=-2) > 1)
+                first, last = again[new], again[np.append(new[1:], len(again)) - 1] + 1
+                size = last - first + 1
+                among = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                rank[np.repeat(first, size) + among] = np.repeat((rank[first] + rank[last]) / 2, size)
+            yield (part & lower).view(np.int64), rank
+            start = stop
+
+    def rank_model(self, features: list[int]) -> float:
+        """Sets the own pairs' ranks by the seed features; the sum of squares of all."""
+        total = 0.0
+        at = lambda band, here: here + (self.at[band[0]] + 1) if band[0] in self.at else 0
+        for where, rank in self.ranks(features, lambda band, here: np.broadcast_to(at(band, here), len(here)), len(self.model)):
+            own = where > 0
+            self.model[where[own] - 1] = rank[own] + self.n
+            total += rank @ rank
+        return total
+
+    def against_model(self, features: list[int]) -> tuple[float, float]:
+        """Sums of the products of ranks with the seed's, of own pairs, and of squares of all."""
+        p = q = 0.0
+        seed = lambda band, here: self.model[self.at[band[0]] :].take(here) if band[0] in self.at else np.broadcast_to(self.n, len(here))
+        for model, rank in self.ranks(features, seed, 2 * self.n):
+            p, q = p + rank @ (model - float(self.n)), q + rank @ rank
+        return float(p), float(q)
+
+
 def searchlights(rows: DataFrame, neighbours: dict[int, list[int]], seed: list[int], block: int = 16) -> DataFrame:
     """label, centre, value: Spearman correlation over a label's pairs of each neighbourhood's correlation distances with the seed features'.
 
-    Distances count to 12 decimals. Under 2 features, or without variation: 0.
+    Distances count to 12 decimals. Under 2 features, or without variation: 0. A task has a block of a label's
+    centres, for LIGHT of its pairs, and sorts all pairs once for each centre.
     """
     centres = sorted(neighbours)
     blocks = [centres[at : at + block] for at in range(0, len(centres), block)]
-    on = lambda features: lambda x, y: np.round(blocked.correlation(x[:, features], y[:, features]), 12)
 
     def sums(pairs: Pairs) -> Iterator[dict]:
-        middle, model = (pairs.n + 1) / 2, pairs.ranks(on(seed))[0]
-        model -= middle
+        lights, once = Lights(pairs), pairs.part == 0  # sums over all pairs count once
+        m = lights.rank_model(seed)
         for centre in blocks[pairs.job]:
-            r = pairs.ranks(on(neighbours[centre]))[0] - middle if len(neighbours[centre]) > 1 else np.zeros(len(model))
-            yield {"centre": [centre], "p": [r @ model], "q": [r @ r], "m": [model @ model]}
+            p, q = lights.against_model(neighbours[centre]) if len(neighbours[centre]) > 1 else (0.0, 0.0)
+            yield {"centre": [centre], "p": [p], "q": [q * once], "m": [m * once]}
 
-    found = over_pairs(rows, sums, "centre int, p double, q double, m double", len(blocks)).groupBy("label", "centre").agg(*[F.sum(c).alias(c) for c in "pqm"])
+    found = over_pairs(rows, sums, "centre int, p double, q double, m double", len(blocks), LIGHT, CELLS).groupBy("label", "centre").agg(*[F.sum(c).alias(c) for c in "pqm"])
     return found.select("label", "centre", F.when(F.col("q") * F.col("m") > 0, F.col("p") / F.sqrt(F.col("q") * F.col("m"))).otherwise(0.0).alias("value"))
 
 

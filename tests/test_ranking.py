@@ -137,3 +137,34 @@ def test_fused_products_have_the_bits_of_fused_additions(monkeypatch, length, tr
         return total
 
     assert (fused.products(x, y) == [[plain(a, b) for b in y] for a in x]).all()
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+@pytest.mark.parametrize("stretch", [90, 4000])
+def test_searchlights_sort_all_pairs_a_stretch_at_a_time(monkeypatch, parts, stretch):
+    monkeypatch.setattr(ranking, "STRETCH", stretch)
+    rng = np.random.default_rng(15)
+    x = rng.integers(0, 3, (60, 6)).astype(float)
+    x[10:25] = x[10]  # 105 pairs at distance 0
+    x[30:] += rng.standard_normal((30, 6))
+    ids, at = np.arange(60), np.tril_indices(60, -1)
+    near, seed = [0, 1, 4, 5], [2, 3, 4]
+    a, b = (2 * pd.Series(blocked.correlation(x[:, f], x[:, f])[at].round(12)).rank().to_numpy() - len(at[0]) - 1 for f in (near, seed))
+    total = 0.0
+    for part in range(parts):
+        lights = ranking.Lights(ranking.Pairs(ids, x, part, parts, 200))
+        assert lights.rank_model(seed) == pytest.approx(b @ b)
+        seen, keys = [], lights.keys
+        lights.keys = lambda z, band: seen.append(band) or keys(z, band)
+        p, q = lights.against_model(near)
+        assert q == pytest.approx(a @ a)
+        total += p
+        if stretch == 4000:
+            assert seen == lights.pairs.bands  # each distance once, where a task went over all pairs for each of OWN
+    assert total == pytest.approx(a @ b)
+
+
+def test_searchlights_of_several_tasks_equal_sql(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "LIGHT", 300)
+    sf = "/root/testdata/sf0.001"
+    assert not differences(QUERIES["searchlight_rsa"](spark, sf), registry.SQL["searchlight_rsa"], sf)
